@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import overlaps
+from .neardup import near_duplicates
 from .urls import filter_urls
 from .warc import derive, responses
 
@@ -29,8 +30,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages"))).drop("block")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op7_url_filter, op8_warc)}
+    return {f.__name__: f for f in (op2_decontamination, op7_url_filter, op8_warc, op10_near_duplicates)}
 
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,5 +69,20 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 }
 
 
+ORACLES["op10_near_duplicates"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWERED.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+g AS (SELECT rid, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + n - 1], ' ') AS s FROM g),
+c AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+j AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT j.a, j.b FROM j JOIN c x ON x.rid = j.a JOIN c y ON y.rid = j.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, component_id, coalesce(d.doc_id = component_id, d.doc_id IS NULL AND component_id IS NULL) AS kept
+FROM d LEFT JOIN c USING (rid) JOIN m USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

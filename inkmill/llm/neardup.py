@@ -63,7 +63,7 @@ def _shingle_sets(words: pa.ListArray, size: int) -> list[np.ndarray]:
             sets.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
             short = h[a:b]
-            sets.append(_mix(np.array([(short * c[: b - a]).sum() + np.uint64(b - a) * c[5]], np.uint64)))
+            sets.append(_mix((short * c[: b - a]).sum(keepdims=True) + np.array([b - a], np.uint64) * c[5]))
         else:
             sets.append(h[:0])
     return sets

@@ -6,10 +6,12 @@ Kneser-Ney model of orders 5 to 1 (continuation counts below the highest) over e
 a class has hardly seen gets the shared estimate and tells little. Counts are kept in hashed tables of BUCKETS cells,
 which bounds what is broadcast however large the corpus is.
 
-A document's statistic is the difference of its log-likelihoods divided by its number of words; two parameters,
-fitted on a bounded sample of a fold that the counts don't hold (``calibrate_rows``), turn it into a probability.
+A document's statistic is the toxic log-likelihood of its words beyond the ordinary one, divided by its number of
+words. A word counts with what its ratio exceeds MARGIN by: chance and the languages' unlike shares of the classes
+stay below it. Two parameters, fitted to the statistic's logarithm on a bounded sample of a fold that the counts don't
+hold (``calibrate_rows``), turn it into a probability. Of labelled rows with equal texts one is counted.
 
-Nulls and odd input: null text, or text without letters and digits, has statistic 0. Null labels are ignored; rows
+Nulls and odd input: null text, or text without letters and digits, has the smallest statistic. Null labels are ignored; rows
 that repeat count as often as they stand. Without labels of both classes every score is 0.5 (no labels) or the
 class's share. Extra columns are ignored.
 """
@@ -30,7 +32,11 @@ from .subwords import code_points, coded, gram_hashes, sums
 
 ORDER, DISCOUNT = 5, 0.75
 #: Weight of the shared estimate in a class's distribution, in counts, beside the discounted mass.
-PRIOR = 5.0
+PRIOR = 30.0
+#: A word's log-likelihood ratio counts beyond this many nats.
+MARGIN = 2.0
+#: Added to the statistic before its logarithm is taken.
+FLOOR = 1e-3
 BUCKETS = 1 << 21
 CALIBRATE_ROWS = 4000
 PIECE = 20_000
@@ -110,6 +116,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
     n = known.count()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     counted = known.where(fold < 4).groupBy("doc_id").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("fp")).join(broadcast_if(counted.select("doc_id"), n, BROADCAST_LABELS), "doc_id", "left_semi")
+    counted = counted.join(texts.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "doc_id")
     each = documents.select("doc_id", "text").join(broadcast_if(counted, n, BROADCAST_LABELS), "doc_id", "left")
     each = each.select(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("o", F.lit(0)).alias("o"), F.explode(words(F.col("text"))).alias("word"))
     counts = each.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("c"))
@@ -152,7 +160,8 @@ def _statistics(documents: DataFrame, sent, extra: str | None = None) -> DataFra
         for b in batches:
             vocabulary, index, off = coded(b.column(3))
             ratios = word_ratios(vocabulary, sent.value)
-            x = sums(ratios[index] if len(index) else np.empty(0), off) / np.maximum(np.diff(off), 1)
+            beyond = np.maximum(ratios - MARGIN, 0)
+            x = np.log(FLOOR + sums(beyond[index] if len(index) else np.empty(0), off) / np.maximum(np.diff(off), 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x), b.column(2)], ["doc_id", "fp", "x", "extra"])
 
     passed = F.col(extra).cast("long") if extra else F.lit(None).cast("long")

@@ -7,11 +7,12 @@ is split into 12 chunks of 4 symbols. By the pigeonhole principle, two signature
 symbols have a chunk with at most one difference, so indexing each chunk with each one of its symbols left out
 finds every such pair. At similarity 0.75 more than 23 differences have a chance of about 1 in 10,000.
 
-Pairs of a bucket are not all formed. First every member of a bucket is compared with the bucket's smallest
-member, and components are formed from the confirmed links. A bucket whose members are then in one component
-needs nothing more. In the others pairs across components are compared if the bucket has up to ``small``
-members; the members of larger ones go through an exact prefix join: shingles ordered by rarity, those
-a partner must share joined, again smallest member first, then pairs across components. No pair is given up.
+Pairs of a bucket are not all formed. First every document is compared with the smallest document that it meets in
+any bucket, and components are formed from the confirmed links. A bucket whose members are then in one
+component needs nothing more. In the others every member is compared with the bucket's smallest. In what is still open, pairs
+across components are compared if the bucket has up to ``small`` members; the members of larger ones go
+through an exact prefix join: shingles ordered by rarity, those a partner must share joined, again smallest member
+first, then pairs across components. The signature distance is part of each join's condition. No pair is given up.
 
 Nulls and odd input: null or empty text has an empty set and links with nothing. A null doc_id is never a
 component's id; such a row gets the component of its class, or null. Rows that repeat a doc_id are one node.
@@ -24,17 +25,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ascii_lower, broadcast_if, cut
 from .graph import components
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, CHUNK = 48, 4
+#: Symbols are kept three to a long, so that lanes can be compared without a carry into the sign.
+LANES, LOW, HIGH = 3, 0x7FFF7FFF7FFF, 0x800080008000
 #: Two signatures this far apart or less share a bucket.
 MOST_DIFFERENCES = 2 * (SYMBOLS // CHUNK) - 1
 SMALL_BUCKET = 32
@@ -79,6 +80,28 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _packed(symbols: np.ndarray) -> pa.ListArray:
+    """Signatures as lists of SYMBOLS / LANES longs."""
+    s = symbols.astype(np.int64).reshape(-1, LANES)
+    longs = sum(s[:, k] << (16 * k) for k in range(LANES))
+    width = SYMBOLS // LANES
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, width), pa.int32()), pa.array(longs))
+
+
+def _unpacked(sigs: pa.ListArray) -> np.ndarray:
+    longs = sigs.flatten().to_numpy(zero_copy_only=False)
+    return np.stack([longs >> (16 * k) & 0xFFFF for k in range(LANES)], 1).reshape(-1, SYMBOLS)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two signatures differ in at most MOST_DIFFERENCES symbols: a lane that differs leaves its top bit."""
+    total = F.lit(0)
+    for k in range(SYMBOLS // LANES):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        total = total + F.bit_count((x.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(x).bitwiseAND(F.lit(HIGH)))
+    return total <= MOST_DIFFERENCES
+
+
 def _hashed_words(documents: DataFrame) -> DataFrame:
     w = F.coalesce(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
     return documents.select("doc_id", F.transform(w, lambda x: F.xxhash64(x)).alias("w"))
@@ -91,12 +114,13 @@ def sketches(documents: DataFrame, shingle: int = 5) -> DataFrame:
         for b in batches:
             sets = _shingle_sets(b.column(1), shingle)
             full = [s for s in sets if len(s)]
-            sigs = iter(_signatures(full) if full else [])
+            packed = _packed(_signatures(full)) if full else pa.array([], pa.list_(pa.int64()))
+            row = np.cumsum([0, *(len(s) > 0 for s in sets[:-1])])
+            sig = packed.take(pa.array([int(r) if len(s) else None for r, s in zip(row, sets, strict=True)], pa.int64()))
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            sig = [next(sigs).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), sig], ["doc_id", "n", "digest", "sig"])
 
-    return _hashed_words(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "w").mapInArrow(make, "doc_id long, n long, digest binary, sig binary")
+    return _hashed_words(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "w").mapInArrow(make, "doc_id long, n long, digest binary, sig array<long>")
 
 
 def _sets_of(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -122,7 +146,7 @@ def _keys(reps: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+            sig = _unpacked(b.column(1)).astype(np.uint64)
             keys = []
             for c in range(0, SYMBOLS, CHUNK):
                 for out in range(CHUNK):
@@ -136,16 +160,10 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("node", "sig").mapInArrow(make, "key long, node long")
 
 
-@F.pandas_udf(T.IntegerType())
-def _differences(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, SYMBOLS) for s in (a, b))
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
-
-
 def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most MOST_DIFFERENCES symbols."""
+    """The pairs (a, b) whose signatures are alike."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_differences("a_sig", "b_sig") <= MOST_DIFFERENCES).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("a_sig"), F.col("b_sig"))).select("a", "b").distinct()
 
 
 def _confirm(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -169,16 +187,19 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are in different components."""
+    """Alike pairs of members of a bucket that are in different components."""
     m = _labelled(members, labels)
-    one, two = m.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), m.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return one.join(two, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    one, two = (m.select("key", F.col("node").alias(x), F.col("component").alias(f"{x}_c"), F.col("sig").alias(f"{x}_sig")) for x in "ab")
+    fits = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _alike(F.col("a_sig"), F.col("b_sig"))
+    return one.join(two, fits).select("a", "b").distinct()
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Each bucket's smallest member with every other one."""
-    low = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").drop("hi")
-    return members.withColumnRenamed("node", "b").join(low, "key").where("a <> b").select("a", "b").distinct()
+def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each bucket's smallest member with every other one that is alike and in another component."""
+    m = _labelled(members, labels)
+    low = m.groupBy("key").agg(F.min(F.struct("node", "component", "sig")).alias("x")).select(F.col("key").alias("k"), F.col("x.node").alias("a"), F.col("x.component").alias("a_c"), F.col("x.sig").alias("a_sig"))
+    fits = (m["key"] == low["k"]) & (m["component"] != low["a_c"]) & _alike(m["sig"], low["a_sig"])
+    return m.join(low, fits).select("a", F.col("node").alias("b")).distinct()
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -197,26 +218,26 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, s
     classes = cut(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "classes")
     reps = classes.select("node", "sig")
     keys = _keys(reps)
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = cut(keys.join(shared, "key").select("key", "node").distinct(), "buckets")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("hi")).where("low <> hi").select("key", "low")
+    met = cut(keys.join(shared, "key").distinct(), "buckets")
+    members = cut(met.select("key", "node").join(reps, "node").select("key", "node", "sig"), "members")
+    confirm = lambda pairs: cut(_confirm(cut(pairs, "pairs"), documents, shingle, percent), "links")
 
-    links = _confirm(cut(_near(_stars(members), reps), "pairs"), documents, shingle, percent)
-    links = cut(links, "links")
+    first = met.groupBy("node").agg(F.min("low").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    links = confirm(_near(first, reps))
+    labels = cut(components(links), "labels")
+    links = links.unionByName(confirm(_stars(members.join(_open_buckets(members, labels).select("key"), "key"), labels)))
     labels = cut(components(links), "labels")
 
     still = cut(_open_buckets(members, labels), "open")
-    rest = _across(members.join(still.where(F.col("size") <= small), "key").select("key", "node"), labels)
-    crowd = members.join(still.where(F.col("size") > small), "key").select("node").distinct()
-    more = [_confirm(cut(_near(rest, reps), "pairs"), documents, shingle, percent)]
-    crowd = cut(crowd, "crowd")
+    more = [confirm(_across(members.join(still.where(F.col("size") <= small), "key"), labels))]
+    crowd = cut(members.join(still.where(F.col("size") > small), "key").select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        lists = cut(_prefixes(_sets_of(documents, crowd, shingle), percent), "prefixes")
-        todo = lists.join(_open_buckets(lists, labels).select("key"), "key")
-        found = cut(_confirm(cut(_near(_stars(todo), reps), "pairs"), documents, shingle, percent), "links")
+        lists = cut(_prefixes(_sets_of(documents, crowd, shingle), percent).join(reps, "node"), "prefixes")
+        found = confirm(_stars(lists.join(_open_buckets(lists, labels).select("key"), "key"), labels))
         more.append(found)
         labels = cut(components(links.unionByName(found)), "labels")
-        todo = lists.join(_open_buckets(lists, labels).select("key"), "key")
-        more.append(_confirm(cut(_near(_across(todo, labels), reps), "pairs"), documents, shingle, percent))
+        more.append(confirm(_across(lists.join(_open_buckets(lists, labels).select("key"), "key"), labels)))
     for x in more:
         links = links.unionByName(x)
     labels = cut(components(links), "labels")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, quality, toxicity
+from . import ann, pieces, quality, toxicity
 from .common import table
 from .decontaminate import overlaps
 from .neardup import near_duplicates
@@ -49,12 +50,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages"))).drop("block")
 
 
+def piece_model() -> dict:
+    """The public piece model of /opt/tokenizers; elsewhere pass another path to pieces.read_model."""
+    return pieces.read_model(os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
 
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

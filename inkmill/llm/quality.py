@@ -4,8 +4,8 @@ A token is a run of non-space characters as it stands; a token equal to the one
 feature AGAIN. A token's vector is the mean of the vectors of its word hash and of its 2- to 5-character grams,
 a document's the mean over its tokens, and two softmax outputs give the class.
 
-The model is fitted on at most ``train_rows`` labelled rows of at most ``train_chars`` characters (those with the
-smallest hash of doc_id), so what reaches the driver is bounded; scoring reads every whole text. As softmax of a mean
+The model is fitted on at most ``train_rows`` labels (those with the smallest hash of doc_id) whose texts have at most
+``train_chars`` characters, so what reaches the driver is bounded; scoring reads every whole text. As softmax of a mean
 is a function of the mean of scalars, scoring needs one scalar a distinct token.
 
 Nulls and odd input: null or empty text has a zero vector and gets the bias's score. Null labels and labels of
@@ -128,8 +128,10 @@ def tokens(text: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
     """A model from labels(doc_id, label) outside the held-out fold; the bounds are documented parameters."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1))
-    docs = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")) & (F.length("text") <= train_chars))
-    sample = docs.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows)
+    # The sample is drawn from the labels, so texts of other rows never move.
+    chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows))  # train_rows rows
+    sample = documents.select("doc_id", "text").where(F.length("text") <= train_chars).join(chosen, "doc_id")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(train_rows)
     rows = sample.select(tokens(F.col("text")).alias("w"), F.col("y").cast("int").alias("y")).toArrow()
     y = rows["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:

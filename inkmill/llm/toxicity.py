@@ -129,8 +129,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
         model[name][part["cell"].to_numpy()] = part[["t", "o", "c"]].to_numpy(np.float32)
     model["total"] = np.float64(cells.loc[cells["kind"] == 3, "c"].sum())
     # Class sizes differ, and so do the words per row; the calibration's constant takes both in.
-    sample = documents.select("doc_id", "text").where(fold == 4).join(broadcast_if(known.where(fold == 4), n, BROADCAST_LABELS), "doc_id")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(calibrate_rows)
+    # The sample is drawn from the labels, so texts of other rows never move.
+    chosen = F.broadcast(known.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(calibrate_rows))  # calibrate_rows rows
+    sample = documents.select("doc_id", "text").join(chosen, "doc_id")
     rows = _statistics(sample.select("doc_id", "text", F.col("y").alias("extra")), spark.sparkContext.broadcast(model), "extra").toPandas()
     model["slope"], model["constant"] = _logistic(rows["x"].to_numpy(np.float64), rows["extra"].to_numpy(np.float64))
     return model

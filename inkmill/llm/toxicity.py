@@ -37,7 +37,7 @@ PRIOR = 30.0
 MARGIN = 2.0
 #: Added to the statistic before its logarithm is taken.
 FLOOR = 1e-3
-BUCKETS = 1 << 21
+BUCKETS = 1 << 19
 CALIBRATE_ROWS = 4000
 PIECE = 20_000
 LEFT, RIGHT = "<" * (ORDER - 1), ">"
@@ -132,7 +132,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
     # The sample is drawn from the labels, so texts of other rows never move.
     chosen = F.broadcast(known.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(calibrate_rows))  # calibrate_rows rows
     sample = documents.select("doc_id", "text").join(chosen, "doc_id")
-    rows = _statistics(sample.select("doc_id", "text", F.col("y").alias("extra")), spark.sparkContext.broadcast(model), "extra").toPandas()
+    sent = spark.sparkContext.broadcast(model)
+    rows = _statistics(sample.select("doc_id", "text", F.col("y").alias("extra")), sent, "extra").toPandas()
+    sent.destroy()
     model["slope"], model["constant"] = _logistic(rows["x"].to_numpy(np.float64), rows["extra"].to_numpy(np.float64))
     return model
 

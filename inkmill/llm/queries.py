@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, pieces, quality, toxicity
-from .common import table
+from . import ann, pieces, quality, tokens, toxicity
+from .common import scratch, table
 from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .urls import filter_urls
@@ -27,6 +27,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokens.write_ids(table(spark, sf_dir, "documents"), path, os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json"))
+    return tokens.read_ids(spark, path)
+
+
 def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -64,7 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op3_repair_tokens, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
 
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

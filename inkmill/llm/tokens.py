@@ -15,6 +15,7 @@ text. Empty tables give empty tables. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ SHARD_SCHEMA = "part int, seq int, before long, n_docs int, n_ids long, shard bi
 
 _LETTERS_AND_MARKS = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿĀ-ſ]+)(?P<mark>[.,;:!?|]*)$"
 
+_BETWEEN = "~"
+
 _cache: dict = {}
 
 
@@ -137,6 +140,7 @@ class Shard:
 
 def _tokenizer(path: str):
     if _cache.get("path") != path:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         _cache.clear()
@@ -152,6 +156,24 @@ def _library(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
+def _library_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words without white space: many in one text, with a mark between them that none of them holds."""
+    mark = _tokenizer(path).encode(_BETWEEN, add_special_tokens=False).ids
+    apart = pc.match_substring(words, _BETWEEN).to_numpy(zero_copy_only=False)
+    if len(mark) != 1 or apart.any() or not len(words):
+        plain = np.flatnonzero(~apart) if len(mark) == 1 else np.empty(0, np.int64)
+        other = np.setdiff1d(np.arange(len(words)), plain)
+        ids, sizes = _library(words.take(pa.array(other)).to_pylist(), path)
+        if len(plain):
+            more, more_sizes = _library_words(words.take(pa.array(plain)), path)
+            ids, sizes, other = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes]), np.concatenate([other, plain])
+        return _gather(ids, np.concatenate([[0], np.cumsum(sizes)]), np.argsort(other, kind="stable"))
+    listed = words.to_pylist()
+    ids, _ = _library([f" {_BETWEEN} ".join([*listed[k : k + 500], ""]) for k in range(0, len(listed), 500)], path)
+    stop = ids == mark[0]
+    return ids[~stop], np.diff(np.flatnonzero(stop), prepend=-1) - 1
+
+
 def _gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists numbered by index, one after another, and their sizes."""
     size = np.diff(off)[index]
@@ -178,7 +200,7 @@ def encode_texts(texts: pa.Array, path: str, per_word: bool = True) -> tuple[np.
     vocabulary, part = parts.dictionary, parts.indices.to_numpy(zero_copy_only=False)
     known = pc.index_in(vocabulary, value_set=_cache["words"])
     new = vocabulary.filter(pc.is_null(known))
-    ids, sizes = _library(new.to_pylist(), path)
+    ids, sizes = _library_words(new, path)
     # The kept parts and the new ones in one table; vocabulary[k] is its row place[k].
     all_flat = np.concatenate([_cache["flat"], ids])
     all_off = np.concatenate([_cache["off"], _cache["off"][-1] + np.cumsum(sizes)])

@@ -10,17 +10,17 @@ is a function of the mean of scalars, scoring needs one scalar a distinct token.
 
 Nulls and odd input: null or empty text has a zero vector and gets the bias's score. Null labels and labels of
 absent documents are ignored; repeated rows count as often as they stand. With no usable labels, or one class
-only, every score is that class's share (0.5 without labels). Extra columns are ignored.
+only, every score is that class's share (0.5 without labels). Extra columns are kept; a column
+score is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .subwords import code_points, coded, gram_hashes, sums
 
@@ -141,17 +141,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
 
 
 def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, text's hash fp and score (chance of label 1) of every row."""
+    """documents with score, the chance of label 1, of every row's whole text."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score_lists(b.column(2), sent.value))], ["doc_id", "fp", "score"])
+    @F.arrow_udf(T.DoubleType())
+    def run(words: pa.Array) -> pa.Array:
+        return pa.array(score_lists(words, sent.value))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), tokens(F.col("text")).alias("w")).mapInArrow(run, "doc_id long, fp long, score double")
+    return documents.withColumn("score", run(tokens(F.col("text"))))
 
 
-def reject(documents: DataFrame, scored: DataFrame, bad: Column) -> DataFrame:
-    """The rows of documents whose score doesn't meet ``bad``."""
-    out = scored.where(bad).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    return documents.join(out, documents["doc_id"].eqNullSafe(out["_id"]) & (F.xxhash64(documents["text"]) == out["_fp"]), "left_anti")
+def accept(documents: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The rows of documents that a model trained on labels gives at least this score."""
+    keep = documents.columns
+    return score(documents, train(documents, labels)).where(F.col("score") >= least).select(*keep)

@@ -13,18 +13,19 @@ hold (``calibrate_rows``), turn it into a probability. Of labelled rows with equ
 
 Nulls and odd input: null text, or text without letters and digits, has the smallest statistic. Null labels are ignored; rows
 that repeat count as often as they stand. Without labels of both classes every score is 0.5 (no labels) or the
-class's share. Extra columns are ignored.
+class's share. Extra columns are kept; a column score is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import broadcast_if, cut
 from .quality import held_out
@@ -133,9 +134,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
     chosen = F.broadcast(known.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(calibrate_rows))  # calibrate_rows rows
     sample = documents.select("doc_id", "text").join(chosen, "doc_id")
     sent = spark.sparkContext.broadcast(model)
-    rows = _statistics(sample.select("doc_id", "text", F.col("y").alias("extra")), sent, "extra").toPandas()
+    rows = sample.select("y", _statistic(sent)(F.col("text")).alias("x")).toPandas()
     sent.destroy()
-    model["slope"], model["constant"] = _logistic(rows["x"].to_numpy(np.float64), rows["extra"].to_numpy(np.float64))
+    model["slope"], model["constant"] = _logistic(rows["x"].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
     return model
 
 
@@ -156,23 +157,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def _statistics(documents: DataFrame, sent, extra: str | None = None) -> DataFrame:
-    """doc_id, fp, x (the length-normalised difference) and a column passed through."""
+def _statistic(sent) -> Callable[[Column], Column]:
+    """The column function from a text to the logarithm of its length-normalised difference."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vocabulary, index, off = coded(b.column(3))
-            ratios = word_ratios(vocabulary, sent.value)
-            beyond = np.maximum(ratios - MARGIN, 0)
-            x = np.log(FLOOR + sums(beyond[index] if len(index) else np.empty(0), off) / np.maximum(np.diff(off), 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x), b.column(2)], ["doc_id", "fp", "x", "extra"])
+    @F.arrow_udf(T.DoubleType())
+    def run(lists: pa.Array) -> pa.Array:
+        vocabulary, index, off = coded(lists)
+        beyond = np.maximum(word_ratios(vocabulary, sent.value) - MARGIN, 0)
+        return pa.array(np.log(FLOOR + sums(beyond[index] if len(index) else np.empty(0), off) / np.maximum(np.diff(off), 1)))
 
-    passed = F.col(extra).cast("long") if extra else F.lit(None).cast("long")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), passed.alias("extra"), words(F.col("text")).alias("w")).mapInArrow(run, "doc_id long, fp long, x double, extra long")
+    return lambda text: run(words(text))
 
 
 def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, text's hash fp and score (chance of label 1) of every row."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # 3 tables of BUCKETS cells
-    z = F.col("x") * F.lit(float(model["slope"])) + F.lit(float(model["constant"]))
-    return _statistics(documents, sent).select("doc_id", "fp", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+    """documents with score, the chance of label 1, of every row's whole text."""
+    x = _statistic(documents.sparkSession.sparkContext.broadcast(model))(F.col("text"))  # 3 tables of BUCKETS cells
+    z = F.greatest(F.least(x * F.lit(float(model["slope"])) + F.lit(float(model["constant"])), F.lit(30.0)), F.lit(-30.0))
+    return documents.withColumn("score", 1 / (1 + F.exp(-z)))
+
+
+def accept(documents: DataFrame, labels: DataFrame, most: float) -> DataFrame:
+    """The rows of documents that a model trained on labels gives a score below ``most``."""
+    keep = documents.columns
+    return score(documents, train(documents, labels)).where(F.col("score") < most).select(*keep)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, pieces, quality, tokens, toxicity
+from . import ann, licences, pieces, quality, tokens, toxicity
 from .common import scratch, table
 from .decontaminate import overlaps
 from .neardup import near_duplicates
@@ -33,6 +33,10 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(spark, path)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -70,7 +74,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op3_repair_tokens, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op3_repair_tokens, op4_licences, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
 
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

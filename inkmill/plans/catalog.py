@@ -1,9 +1,226 @@
-"""Registered queries of the engine and their SQL."""
+"""The engine's queries over whole tables, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import text as tx
+from ..operators import checks, chunks, knowledge
+from ..streaming import jobs
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunk rows: the language stands in for a region, the length for a time."""
+    d = _table(spark, sf_dir, "documents")
+    return d.select("source", F.concat("source", F.lit("."), "lang").alias("filename"), F.col("lang").alias("region_code"), F.col("n_chars").alias("created_at"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"))
+
+
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+
+
+def marker_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(f"\n{chunks.CHILD}\n")))
+    return chunks.marker_explode(d)
+
+
+def kb_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.overview(_kb(spark, sf_dir))
+
+
+def kb_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.totals(_kb(spark, sf_dir))
+
+
+def kb_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.overview_by_source(_kb(spark, sf_dir))
+
+
+def check_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.filename_count(_kb(spark, sf_dir), "src0.en")
+
+
+def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.chunk_preview(_kb(spark, sf_dir), F.lit("src0"))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.status_counts(_table(spark, sf_dir, "events"), "event_type")
+
+
+def job_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
+    return knowledge.job_page(e, 3, 50).select("id", "status")
+
+
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest_state(_table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id").select("user_id", "status", "n_events")
+
+
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return jobs.changes(e, "user_id", "at", "event_type").groupBy("user_id").agg(F.count("*").alias("n_changes"))
+
+
+def catalog_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.lit("main").alias("owner"), F.col("o_orderkey").cast("string").alias("table_name"))
+    c = _table(spark, sf_dir, "customer").select(F.lit("main").alias("owner"), F.col("c_custkey").cast("string").alias("table_name"), F.col("c_name").alias("comments"))
+    return o.join(c, ["owner", "table_name"], "left").select("table_name", F.coalesce("comments", F.lit("")).alias("table_comment"))
+
+
+def region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("13"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0"), F.when(F.col("c_custkey") % 3 == 0, "001").otherwise("")).alias("region_code"))
+    s = _table(spark, sf_dir, "nation").where("n_nationkey <> 7").select(F.concat(F.lit("13"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0")).alias("MOF_DIV_CODE"), F.col("n_name").alias("MOF_DIV_NAME"))
+    return knowledge.with_region(c, s, miss="code")
+
+
+def metadata_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has_label", F.lit(True))
+    return _table(spark, sf_dir, "documents").join(labelled, "doc_id", "left").select("doc_id", F.coalesce("has_label", F.lit(False)).alias("has_label"))
+
+
+def dup_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"), "n_chars")
+    w = Window.partitionBy("hash", "n_chars").orderBy("doc_id")
+    return d.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("copy_no"))
+
+
+def split_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.get_strategy("default")(_table(spark, sf_dir, "documents"))
+
+
+def merge_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return chunks.merge_lines(lines, ["doc_id"])
+
+
+def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    flag = F.length("line") <= 100
+    rows = lines.withColumn("short", flag).withColumn("new", F.col("short") & ~F.coalesce(F.lag("short").over(w), F.lit(False)))
+    return rows.groupBy("doc_id").agg(F.sum(F.col("new").cast("long")).alias("runs"), F.sum(F.col("short").cast("long")).alias("short_lines"))
+
+
+def heading_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.select("doc_id", "pos", F.last(F.when(F.length("line") <= 60, F.col("line")), ignorenulls=True).over(w).alias("heading"))
+
+
+def preview_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", knowledge.preview(F.col("text"), 3).alias("preview"))
+
+
+def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.turn_chunks(_table(spark, sf_dir, "conversations"))
+
+
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.search(_table(spark, sf_dir, "documents"), "LICENSE", ["text", "source"], lang="en").select("doc_id")
+
+
+def column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.column_report(_table(spark, sf_dir, "customer"))
+
+
+def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _table(spark, sf_dir, "supplier")
+    new = s.where("s_suppkey % 10 <> 1").withColumn("s_name", F.when(F.col("s_suppkey") % 7 == 0, F.lower("s_name")).otherwise(F.col("s_name")))
+    return checks.sync_changes(s.where("s_suppkey % 10 <> 2"), new, "s_suppkey")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, latest_state, state_changes,
+        catalog_left_join, region_lookup, metadata_flag, dup_upload, split_rules, merge_body, list_islands, heading_carry, preview_text, turn_chunks, document_search, column_report, sync_changes,
+    )
+    return {f.__name__: f for f in found}
+
+
+# White space as the column functions take it; the other engine's \s is ASCII.
+_S = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _clean_sql() -> str:
+    c = "text"
+    rules = [
+        (tx.CONTROL, ""), (tx.FOREIGN, ""), (r"(^|[^\d])%" + _S + r"*([^%\d]{1,30}?)(\d+\.?\d*)", r"\1\3%\2"), (rf"([\d%]){_S}+({tx.CJK})", r"\1\2"), (rf"({tx.CJK}){_S}+([\d])", r"\1\2"),
+        (rf"([a-zA-Z]){_S}+({tx.CJK})", r"\1\2"), (rf"({tx.CJK}){_S}+([a-zA-Z])", r"\1\2"), (rf"{_S}*,{_S}*({tx.CJK})", r"，\1"), (rf"({tx.CJK}){_S}*,{_S}*", r"\1，"),
+        (_S + r"+([，。、；：！？》）])", r"\1"), (rf"([，。、；：！？]){_S}+({tx.CJK})", r"\1\2"), (r"[ \t]+", " "),
+    ]
+    for pattern, to in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"SELECT doc_id, {_strip_sql(c)} AS text FROM documents"
+
+
+_KB = "(SELECT source, source || '.' || lang AS filename, lang AS region_code, n_chars AS created_at, doc_id AS chunk_id, text AS document FROM documents)"
+_LINES = "(SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
+
+
+def oracle_sql() -> dict[str, str]:
+    wide = f"regexp_replace(text, '{tx.WIDE}', '', 'g')"
+    return {
+        "token_estimate": f"SELECT doc_id, CAST(ceil(length(text) - length({wide}) + length(regexp_replace({wide}, '{_S}', '', 'g')) / 4) AS BIGINT) AS tokens FROM documents",
+        "clean_text": _clean_sql(),
+        "marker_explode": f"""
+WITH b AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || '<-split->' || chr(10)), chr(10)), lambda x: {_strip_sql("x")}), lambda x: x <> ''), chr(10)) AS body FROM documents),
+p AS (SELECT doc_id, unnest(range(len(x))) AS p_idx, unnest(x) AS parent FROM (SELECT doc_id, string_split(body, '***') AS x FROM b)),
+c AS (SELECT doc_id, p_idx, unnest(range(len(x))) AS c_idx, unnest(x) AS child FROM (SELECT doc_id, p_idx, string_split(parent, '<-split->') AS x FROM p))
+SELECT doc_id AS source, CAST(p_idx AS INT) AS p_idx, CAST(c_idx AS INT) AS c_idx, CAST(doc_id AS VARCHAR) || chr(10) || {_strip_sql("child")} AS document FROM c WHERE {_strip_sql("child")} <> ''
+""",
+        "kb_overview": f"SELECT source, filename, count(*) AS chunks, max(created_at) AS created_at, max(region_code) AS region_code FROM {_KB} GROUP BY 1, 2",
+        "kb_totals": f"SELECT count(DISTINCT source) AS sources, count(*) AS chunks FROM {_KB} WHERE source <> ''",
+        "kb_by_source": f"SELECT source, count(*) AS chunks, max(created_at) AS created_at FROM {_KB} GROUP BY 1",
+        "check_filename": f"SELECT count(*) AS n FROM {_KB} WHERE filename = 'src0.en'",
+        "chunk_preview": f"SELECT chunk_id, substr(document, 1, 2000) AS document FROM {_KB} WHERE source = 'src0' ORDER BY chunk_id LIMIT 20",
+        "status_counts": "SELECT coalesce(event_type, 'unknown') AS status, count(*) AS n FROM events GROUP BY 1",
+        "job_page": "SELECT event_id AS id, event_type AS status FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100",
+        "latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_events FROM events GROUP BY 1",
+        "state_changes": "SELECT user_id, count(*) AS n_changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b GROUP BY 1",
+        "catalog_left_join": "SELECT CAST(o_orderkey AS VARCHAR) AS table_name, coalesce(c_name, '') AS table_comment FROM orders LEFT JOIN customer ON c_custkey = o_orderkey",
+        "region_lookup": """
+WITH c AS (SELECT c_custkey, '13' || lpad(CAST(c_nationkey AS VARCHAR), 5, '0') || CASE WHEN c_custkey % 3 = 0 THEN '001' ELSE '' END AS region_code FROM customer),
+n AS (SELECT '13' || lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS code, n_name FROM nation WHERE n_nationkey <> 7)
+SELECT c_custkey, region_code, region_code AS region_label, coalesce(a.n_name, b.n_name, region_code) AS region_name FROM c LEFT JOIN n a ON a.code = region_code LEFT JOIN n b ON b.code = substr(region_code, 1, 7)
+""",
+        "metadata_flag": "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS has_label FROM documents",
+        "dup_upload": "SELECT doc_id, row_number() OVER (PARTITION BY md5(text), n_chars ORDER BY doc_id) - 1 AS copy_no FROM documents",
+        "list_islands": f"""
+SELECT doc_id, CAST(sum(CASE WHEN s AND NOT coalesce(b, false) THEN 1 ELSE 0 END) AS BIGINT) AS runs, CAST(sum(CASE WHEN s THEN 1 ELSE 0 END) AS BIGINT) AS short_lines
+FROM (SELECT doc_id, length(line) <= 100 AS s, lag(length(line) <= 100) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM {_LINES}) GROUP BY 1
+""",
+        "heading_carry": f"""
+SELECT doc_id, CAST(pos AS INT) AS pos, last_value(CASE WHEN length(line) <= 60 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM {_LINES}
+""",
+        "preview_text": f"""
+SELECT doc_id, array_to_string(CASE WHEN len(x) >= 3 THEN list_concat(x[1:3], ['...']) ELSE x END, chr(10)) AS preview
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip_sql("l")}), lambda l: l <> '') AS x FROM documents)
+""",
+        "turn_chunks": """
+SELECT conv_id, p_idx, count(*) AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text
+FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p_idx FROM conversations) GROUP BY 1, 2
+""",
+        "document_search": "SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license')) AND lang = 'en'",
+        "column_report": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
+        "sync_changes": """
+WITH a AS (SELECT * FROM supplier WHERE s_suppkey % 10 <> 2), b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN lower(s_name) ELSE s_name END AS s_name FROM supplier WHERE s_suppkey % 10 <> 1)
+SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN a.s_suppkey IS NULL THEN 'added' WHEN b.s_suppkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey WHERE a.s_suppkey IS NULL OR b.s_suppkey IS NULL OR a.s_name <> b.s_name
+""",
+    }

@@ -13,7 +13,7 @@ hold (``calibrate_rows``), turn it into a probability. Of labelled rows with equ
 
 Nulls and odd input: null text, or text without letters and digits, has the smallest statistic. Null labels are ignored; rows
 that repeat count as often as they stand. Without labels of both classes every score is 0.5 (no labels) or the
-class's share. Extra columns are kept; a column score is replaced.
+class's share. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,13 +122,16 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
     each = documents.select("doc_id", "text").join(broadcast_if(counted, n, BROADCAST_LABELS), "doc_id", "left")
     each = each.select(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("o", F.lit(0)).alias("o"), F.explode(words(F.col("text"))).alias("word"))
     counts = each.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("c"))
-    cells = _hashed(_gram_tables(counts)).toPandas()  # at most 3 * BUCKETS + 1 rows
+    cells = cut(_hashed(_gram_tables(counts)).select("kind", F.col("cell").cast("int").alias("cell"), *(F.col(x).cast("float").alias(x) for x in "toc")), "cells")
     model = {}
     for kind, name in enumerate(("gram", "context", "types")):
+        part = cells.where(F.col("kind") == kind).drop("kind").toArrow()  # at most BUCKETS rows
         model[name] = np.zeros((BUCKETS, 3), np.float32)
-        part = cells[cells["kind"] == kind]
-        model[name][part["cell"].to_numpy()] = part[["t", "o", "c"]].to_numpy(np.float32)
-    model["total"] = np.float64(cells.loc[cells["kind"] == 3, "c"].sum())
+        for k, x in enumerate("toc"):
+            model[name][part["cell"].to_numpy(), k] = part[x].to_numpy()
+        del part
+    total = cells.where("kind = 3").agg(F.sum("c")).first()[0]
+    model["total"] = np.float64(total or 0.0)
     # Class sizes differ, and so do the words per row; the calibration's constant takes both in.
     # The sample is drawn from the labels, so texts of other rows never move.
     chosen = F.broadcast(known.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(calibrate_rows))  # calibrate_rows rows
@@ -169,14 +172,18 @@ def _statistic(sent) -> Callable[[Column], Column]:
     return lambda text: run(words(text))
 
 
-def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """documents with score, the chance of label 1, of every row's whole text."""
-    x = _statistic(documents.sparkSession.sparkContext.broadcast(model))(F.col("text"))  # 3 tables of BUCKETS cells
+def chance(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> Column:
+    """The chance of label 1 of a whole text."""
+    x = _statistic(spark.sparkContext.broadcast(model))(text)  # 3 tables of BUCKETS cells
     z = F.greatest(F.least(x * F.lit(float(model["slope"])) + F.lit(float(model["constant"])), F.lit(30.0)), F.lit(-30.0))
-    return documents.withColumn("score", 1 / (1 + F.exp(-z)))
+    return 1 / (1 + F.exp(-z))
+
+
+def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """documents with score, the chance of label 1 of every row's whole text; a column score is replaced."""
+    return documents.withColumn("score", chance(documents.sparkSession, model, F.col("text")))
 
 
 def accept(documents: DataFrame, labels: DataFrame, most: float) -> DataFrame:
     """The rows of documents that a model trained on labels gives a score below ``most``."""
-    keep = documents.columns
-    return score(documents, train(documents, labels)).where(F.col("score") < most).select(*keep)
+    return documents.where(chance(documents.sparkSession, train(documents, labels), F.col("text")) < most)

@@ -10,15 +10,14 @@ is a function of the mean of scalars, scoring needs one scalar a distinct token.
 
 Nulls and odd input: null or empty text has a zero vector and gets the bias's score. Null labels and labels of
 absent documents are ignored; repeated rows count as often as they stand. With no usable labels, or one class
-only, every score is that class's share (0.5 without labels). Extra columns are kept; a column
-score is replaced.
+only, every score is that class's share (0.5 without labels). Extra columns are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,18 +139,22 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
     return fit(rows["w"].combine_chunks().cast(pa.list_(pa.string())), y)
 
 
-def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """documents with score, the chance of label 1, of every row's whole text."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
+def chance(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> Column:
+    """The chance of label 1 of a whole text."""
+    sent = spark.sparkContext.broadcast(model)  # BUCKETS floats
 
     @F.arrow_udf(T.DoubleType())
     def run(words: pa.Array) -> pa.Array:
         return pa.array(score_lists(words, sent.value))
 
-    return documents.withColumn("score", run(tokens(F.col("text"))))
+    return run(tokens(text))
+
+
+def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """documents with score, the chance of label 1 of every row's whole text; a column score is replaced."""
+    return documents.withColumn("score", chance(documents.sparkSession, model, F.col("text")))
 
 
 def accept(documents: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """The rows of documents that a model trained on labels gives at least this score."""
-    keep = documents.columns
-    return score(documents, train(documents, labels)).where(F.col("score") >= least).select(*keep)
+    return documents.where(chance(documents.sparkSession, train(documents, labels), F.col("text")) >= least)

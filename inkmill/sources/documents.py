@@ -41,21 +41,21 @@ def content_blocks(lists: DataFrame) -> DataFrame:
     return pages.unionByName(flat).select("stem", "page", "pos", "b.type", "b.text", F.col("b.text_level").isNotNull().alias("has_text_level"), "b.text_level", "b.bbox", "b.img_path", "b.table_body")
 
 
-def _body(data: bytes) -> Iterator[tuple[str, str, bool]]:
-    """(style, text, in_table) of a DOCX body's paragraphs and table rows, in order."""
+def _body(data: bytes) -> Iterator[tuple[str, str, bool, bool]]:
+    """(style, text, in_table, bold) of a DOCX body's paragraphs and table rows, in order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
     for node in body if body is not None else ():
         if node.tag == f"{W}p":
             style = node.find(f"{W}pPr/{W}pStyle")
-            yield (style.get(f"{W}val", "") if style is not None else ""), "".join(t.text or "" for t in node.iter(f"{W}t")), False
+            yield (style.get(f"{W}val", "") if style is not None else ""), "".join(t.text or "" for t in node.iter(f"{W}t")), False, any(r.find(f"{W}rPr/{W}b") is not None and any((t.text or "").strip() for t in r.iter(f"{W}t")) for r in node.iter(f"{W}r"))
         elif node.tag == f"{W}tbl":
             for row in node.iter(f"{W}tr"):
-                yield "", " | ".join("".join(t.text or "" for t in cell.iter(f"{W}t")) for cell in row.iter(f"{W}tc")), True
+                yield "", " | ".join("".join(t.text or "" for t in cell.iter(f"{W}t")) for cell in row.iter(f"{W}tc")), True, False
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
-    """(path, pos, style, text, in_table) of DOCX files; a file that can't be read gives no rows."""
+    """(path, pos, style, text, in_table, bold) of DOCX files; a file that can't be read gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,9 +64,9 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
                     rows = list(_body(data))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
                     continue
-                yield pd.DataFrame([(path, k, *r) for k, r in enumerate(rows)], columns=["path", "pos", "style", "text", "in_table"])
+                yield pd.DataFrame([(path, k, *r) for k, r in enumerate(rows)], columns=["path", "pos", "style", "text", "in_table", "bold"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, pos int, style string, text string, in_table boolean")
+    return files.select("path", "content").mapInPandas(run, "path string, pos int, style string, text string, in_table boolean, bold boolean")
 
 
 def marked_text(files: DataFrame) -> DataFrame:

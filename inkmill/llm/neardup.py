@@ -1,18 +1,18 @@
 """Near-duplicates: a multi-index Hamming join over b-bit MinHash signatures, confirmed on full shingle sets.
 
 A document's set holds its distinct five-word shingles (fewer words: the whole sequence as one). Documents with
-equal sets form a class, and only one member of a class goes on. A signature is 48 symbols of 16 bits, each cut
+equal sets form a class, and only one member of a class goes on. A signature is 48 symbols of 14 bits, each cut
 from the minimum of one hash of the set; two sets of similarity J differ in about 48 * (1 - J) symbols. The signature
 is split into 12 chunks of 4 symbols. By the pigeonhole principle, two signatures that differ in at most 23
 symbols have a chunk with at most one difference, so indexing each chunk with each one of its symbols left out
 finds every such pair. At similarity 0.75 more than 23 differences have a chance of about 1 in 10,000.
 
-Pairs of a bucket are not all formed. First every document is compared with the smallest document that it meets in
-any bucket, and components are formed from the confirmed links. A bucket whose members are then in one
-component needs nothing more. In the others every member is compared with the bucket's smallest. In what is still open, pairs
-across components are compared if the bucket has up to ``small`` members; the members of larger ones go
-through an exact prefix join: shingles ordered by rarity, those a partner must share joined, again smallest member
-first, then pairs across components. The signature distance is part of each join's condition. No pair is given up.
+Pairs of a bucket are not all formed. First every document is compared with the smallest one among those that lead its
+buckets and whose signatures are within the distance, and components are formed from the confirmed links. A bucket whose
+members are then in one component needs nothing more. The members of the others go through an exact prefix
+join: shingles ordered by rarity, the lists of those that a partner must share, again the smallest partner first, then,
+in lists still open, all pairs across components that are within the signature distance, each in one of its lists. No
+pair is given up: a list costs more only while texts in it stay unlinked.
 
 Nulls and odd input: null or empty text has an empty set and links with nothing. A null doc_id is never a
 component's id; such a row gets the component of its class, or null. Rows that repeat a doc_id are one node.
@@ -34,12 +34,14 @@ from .graph import components
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, CHUNK = 48, 4
-#: Symbols are kept three to a long, so that lanes can be compared without a carry into the sign.
-LANES, LOW, HIGH = 3, 0x7FFF7FFF7FFF, 0x800080008000
+#: A chunk's symbols share a long, 15 bits apart, so that lanes can be compared without a carry between them.
+BITS, LANE = 14, 15
+LOW, HIGH = (sum(((1 << BITS) - 1 if low else 1 << BITS) << (LANE * k) for k in range(CHUNK)) for low in (True, False))
 #: Two signatures this far apart or less share a bucket.
 MOST_DIFFERENCES = 2 * (SYMBOLS // CHUNK) - 1
-SMALL_BUCKET = 32
 BROADCAST_NODES = 200_000
+#: Rounds of smallest partners in the lists of the prefix join, before pairs across components are formed.
+ROUNDS = 2
 
 _rng = np.random.default_rng(20240501)
 _WORD_MULTIPLIERS = _rng.integers(1, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,34 +73,34 @@ def _shingle_sets(words: pa.ListArray, size: int) -> list[np.ndarray]:
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of SYMBOLS 16-bit symbols; sets must not be empty."""
+    """Rows of SYMBOLS symbols; sets must not be empty."""
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     flat = np.concatenate(sets)
     out = np.empty((len(sets), SYMBOLS), np.uint16)
     for k in range(SYMBOLS):
-        out[:, k] = _mix(np.minimum.reduceat((flat ^ _XOR[k]) * _MULTIPLY[k], starts)) >> np.uint64(48)
+        out[:, k] = _mix(np.minimum.reduceat((flat ^ _XOR[k]) * _MULTIPLY[k], starts)) >> np.uint64(64 - BITS)
     return out
 
 
 def _packed(symbols: np.ndarray) -> pa.ListArray:
-    """Signatures as lists of SYMBOLS / LANES longs."""
-    s = symbols.astype(np.int64).reshape(-1, LANES)
-    longs = sum(s[:, k] << (16 * k) for k in range(LANES))
-    width = SYMBOLS // LANES
+    """Signatures as lists of SYMBOLS / CHUNK longs."""
+    s = symbols.astype(np.int64).reshape(-1, CHUNK)
+    longs = sum(s[:, k] << (LANE * k) for k in range(CHUNK))
+    width = SYMBOLS // CHUNK
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, width), pa.int32()), pa.array(longs))
 
 
 def _unpacked(sigs: pa.ListArray) -> np.ndarray:
     longs = sigs.flatten().to_numpy(zero_copy_only=False)
-    return np.stack([longs >> (16 * k) & 0xFFFF for k in range(LANES)], 1).reshape(-1, SYMBOLS)
+    return np.stack([longs >> (LANE * k) & ((1 << BITS) - 1) for k in range(CHUNK)], 1).reshape(-1, SYMBOLS)
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """Whether two signatures differ in at most MOST_DIFFERENCES symbols: a lane that differs leaves its top bit."""
+    """Whether two signatures differ in at most MOST_DIFFERENCES symbols: a lane that differs fills its top bit."""
     total = F.lit(0)
-    for k in range(SYMBOLS // LANES):
+    for k in range(SYMBOLS // CHUNK):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        total = total + F.bit_count((x.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(x).bitwiseAND(F.lit(HIGH)))
+        total = total + F.bit_count((x + F.lit(LOW)).bitwiseAND(F.lit(HIGH)))
     return total <= MOST_DIFFERENCES
 
 
@@ -153,19 +155,13 @@ def _keys(reps: DataFrame) -> DataFrame:
                     key = np.full(len(sig), c + out, np.uint64)
                     for k in range(c, c + CHUNK):
                         if k != c + out:
-                            key = key << np.uint64(16) | sig[:, k]
+                            key = key << np.uint64(BITS) | sig[:, k]
                     keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(b.column(0).to_numpy(), SYMBOLS))], ["key", "node"])
 
     return reps.select("node", "sig").mapInArrow(make, "key long, node long")
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are alike."""
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("a_sig"), F.col("b_sig"))).select("a", "b").distinct()
-
-
 def _confirm(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -180,66 +176,72 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, size) of the buckets whose members are not yet in one component."""
-    found = _labelled(members, labels).groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return found.where("lo <> hi").select("key", "size")
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members(key, node, ...) of the keys whose members are not in one component."""
+    found = _labelled(members, labels).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return members.join(found.where("lo <> hi").select("key"), "key")
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Alike pairs of members of a bucket that are in different components."""
-    m = _labelled(members, labels)
-    one, two = (m.select("key", F.col("node").alias(x), F.col("component").alias(f"{x}_c"), F.col("sig").alias(f"{x}_sig")) for x in "ab")
-    fits = (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _alike(F.col("a_sig"), F.col("b_sig"))
-    return one.join(two, fits).select("a", "b").distinct()
+def _smallest(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Each node with the smallest among the first members of its keys that is alike and in another component."""
+    m = _labelled(members, labels) if labels else members.withColumn("component", F.col("node"))
+    low = m.groupBy("key").agg(F.min(F.struct("node", "component", "sig")).alias("x"))
+    low = low.select(F.col("key").alias("k"), F.col("x.node").alias("low"), F.col("x.component").alias("c"), F.col("x.sig").alias("low_sig"))
+    fits = (m["key"] == low["k"]) & (m["component"] != low["c"]) & _alike(m["sig"], low["low_sig"])
+    return m.join(low, fits).groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
 
 
-def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each bucket's smallest member with every other one that is alike and in another component."""
-    m = _labelled(members, labels)
-    low = m.groupBy("key").agg(F.min(F.struct("node", "component", "sig")).alias("x")).select(F.col("key").alias("k"), F.col("x.node").alias("a"), F.col("x.component").alias("a_c"), F.col("x.sig").alias("a_sig"))
-    fits = (m["key"] == low["k"]) & (m["component"] != low["a_c"]) & _alike(m["sig"], low["a_sig"])
-    return m.join(low, fits).select("a", F.col("node").alias("b")).distinct()
+def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Alike pairs across components of lists(key, node, n, first, sig, prefix), each at the first list of both."""
+    m = _labelled(lists, labels)
+    one, two = (m.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "first", "sig", "prefix"))) for x in "ab")
+    # What a set holds from its first shared shingle on bounds the overlap.
+    left = lambda x: F.col(f"{x}_n") - F.col(f"{x}_first") - F.array_position(f"{x}_prefix", one["key"]) + 1
+    fits = (
+        (one["key"] == two["key"])
+        & (F.col("a_node") < F.col("b_node"))
+        & (F.col("a_component") != F.col("b_component"))
+        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        & _alike(F.col("a_sig"), F.col("b_sig"))
+        & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == one["key"])
+        & (F.least(left("a"), left("b")) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")))
+    )
+    return one.join(two, fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node): the rarest shingles of a set, one of which any partner of that similarity must share."""
+    """(node, n, first, prefix): the rarest shingles of a set, one of which any partner of that similarity must share.
+
+    first counts the shingles that no other set holds; they take the first places of the order, and need no list.
+    """
     each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("key"))
     rarity = each.groupBy("key").agg(F.count("*").alias("df"))
     ranked = each.join(rarity.where("df > 1"), "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
-    # Shingles of one document alone take the first places of the order, and need no list.
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    return ranked.where(keep > 0).select("node", F.explode(F.slice("shared", 1, keep.cast("int"))).alias("x")).select("x.key", "node")
+    first = F.col("n") - F.size("shared")
+    keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - first).cast("int")
+    return ranked.where(keep > 0).select("node", "n", first.alias("first"), F.transform(F.slice("shared", 1, keep), lambda x: x["key"]).alias("prefix"))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, small: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of documents(doc_id, text)."""
     rows = cut(sketches(documents, shingle), "sketches")
     classes = cut(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "classes")
     reps = classes.select("node", "sig")
     keys = _keys(reps)
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("hi")).where("low <> hi").select("key", "low")
-    met = cut(keys.join(shared, "key").distinct(), "buckets")
-    members = cut(met.select("key", "node").join(reps, "node").select("key", "node", "sig"), "members")
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    members = cut(keys.join(shared, "key").join(reps, "node").select("key", "node", "sig"), "buckets")
     confirm = lambda pairs: cut(_confirm(cut(pairs, "pairs"), documents, shingle, percent), "links")
 
-    first = met.groupBy("node").agg(F.min("low").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    links = confirm(_near(first, reps))
-    labels = cut(components(links), "labels")
-    links = links.unionByName(confirm(_stars(members.join(_open_buckets(members, labels).select("key"), "key"), labels)))
+    links = confirm(_smallest(members))
     labels = cut(components(links), "labels")
-
-    still = cut(_open_buckets(members, labels), "open")
-    more = [confirm(_across(members.join(still.where(F.col("size") <= small), "key"), labels))]
-    crowd = cut(members.join(still.where(F.col("size") > small), "key").select("node").distinct(), "crowd")
-    if not crowd.isEmpty():
-        lists = cut(_prefixes(_sets_of(documents, crowd, shingle), percent).join(reps, "node"), "prefixes")
-        found = confirm(_stars(lists.join(_open_buckets(lists, labels).select("key"), "key"), labels))
-        more.append(found)
-        labels = cut(components(links.unionByName(found)), "labels")
-        more.append(confirm(_across(lists.join(_open_buckets(lists, labels).select("key"), "key"), labels)))
-    for x in more:
-        links = links.unionByName(x)
+    crowd = cut(_open(members, labels).select("node").distinct(), "crowd")
+    prefixes = cut(_prefixes(_sets_of(documents, crowd, shingle), percent), "prefixes")
+    lists = cut(prefixes.select("node", F.explode("prefix").alias("key")).join(reps, "node").select("key", "node", "sig"), "lists")
+    for _ in range(ROUNDS):
+        links = links.unionByName(confirm(_smallest(_open(lists, labels), labels)))
+        labels = cut(components(links), "labels")
+    rest = _open(lists, labels).join(prefixes, "node")
+    links = links.unionByName(confirm(_across(rest, labels, percent)))
     labels = cut(components(links), "labels")
 
     per_class = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, broadcast_if, cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
 #: Item shingles or windows up to this many rows are broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -30,6 +32,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has; case doesn't matter to it, so nothing is lowered or kept."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+
+
 def _shingles(w: Column, size: int) -> Column:
     """The shingles of a word array by position; an array shorter than size has none."""
     starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
@@ -53,7 +60,7 @@ def overlaps(documents: DataFrame, items: DataFrame, window: int = WINDOW, shing
     parts = windows.withColumn("size", F.least(F.lit(shingle), F.col("wlen")))
     sizes = [r[0] for r in parts.select("size").distinct().collect()]  # at most `shingle` values
     at = [parts.where(F.col("size") == s).select("wid", "wlen", "size", F.posexplode(_shingles(F.col("words"), s)).alias("off", "s")) for s in sizes]
-    n_words = documents.select("doc_id", *key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    n_words = documents.select("doc_id", *key, word_count(F.col("text")).alias("n_words"))
     if not at:
         empty = F.array().cast("array<string>")
         return n_words.select("doc_id", "fp", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("item_ids"))

@@ -160,6 +160,21 @@ def test_licences(spark):
     assert licences.scan_documents(d.where("false"), licences.train(d)).count() == 0
 
 
+def test_licences_within_longer_lines(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+    prose = " ".join(PROSE)
+    notices = ["Licensed under CC BY-NC 4.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"]
+    docs = [(1, apache), (2, mit), (3, "All code in this repository is Released under the MIT License. See the file for details."), (4, f"{prose} {notices[0]} {prose} {notices[1]} {prose}"), (5, f"{apache} {prose} {mit}"), (6, prose)]
+    docs += [(7, "The driver has a license to version the terms under the law, and the software of this person is subject to the terms of the source"), (8, f"{prose} {notices[0]} {prose}\n{apache}"), (8, f"{notices[0]} {prose}\n{apache}")]
+    docs += [(100 + k, "\n".join(PROSE[(k + j) % 15] for j in range(4))) for k in range(60)]
+    out = defaultdict(set)
+    for r in licences.scan_documents(frame(spark, docs)).collect():
+        out[r.doc_id].add((r.families, r.n_paragraphs))
+    assert [out[k] for k in range(1, 9)] == [{("apache", 1)}, {("mit", 1)}, {("mit", 1)}, {("cc,gpl", 1)}, {("apache,mit", 1)}, {("", 0)}, {("", 0)}, {("apache,cc", 3)}]
+    assert all(out[100 + k] == {("", 0)} for k in range(60))
+
+
 # 5 and 6
 
 def labelled(spark, make_bad, n=240):

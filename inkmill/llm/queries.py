@@ -66,7 +66,8 @@ def piece_model() -> dict:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), piece_model())
+    model = piece_model()
+    return pieces.decode(pieces.encode_ids(table(spark, sf_dir, "documents"), model), model).select("doc_id", "ids", "decoded")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

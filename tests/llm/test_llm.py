@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, decontaminate, graph, licences, neardup, pieces, quality, tokens, toxicity, urls, warc
+from inkmill.llm import ann, decontaminate, graph, licences, neardup, pieces, quality, queries, tokens, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, fp string, score string, w string, key string, node string, word string, ids string, host string, components string"
 EXTRA = ("a", "b", "c", "d", "e", "f", "g", "h", "i")
@@ -287,6 +287,17 @@ def test_pieces(spark, hot, monkeypatch):
     assert pieces.encode(d.where("false"), model).count() == 0
 
 
+def test_pieces_query_gives_ids_and_text(spark, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op9_pieces(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert list(r.ids) == sp.encode(texts[r.doc_id]) and r.decoded == sp.decode(list(r.ids))
+
+
 def test_unigram_lattice_is_the_best_path(spark):
     chars = "abcd"
     rng = np.random.default_rng(4)

@@ -57,7 +57,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(responses(table(spark, sf_dir, "pages"))).drop("block")
+    return derive(responses(table(spark, sf_dir, "pages")))
 
 
 def piece_model() -> dict:

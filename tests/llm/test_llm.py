@@ -263,6 +263,13 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_warc_query_keeps_the_blocks(spark, sf):
+    rows = queries.op8_warc(spark, sf).collect()
+    assert {r.warc_type for r in rows} == {"conversion", "metadata"}
+    assert all(r.content_length == len(r.block.encode()) for r in rows)
+    assert all("source-content-type" in r.block for r in rows if r.warc_type == "metadata")
+
+
 # 9
 
 TEXTS = ["", None, "  a b", "a\n\tb  c ", "a　b", "é é ﬁ 👍", "<s> </s> <unk> <0x41>", "▁▁x", "x" * 500, "abcdefghijklmnopqrstuvwxyz" * 20, "日本語テキスト " * 3, " ", "\n", "a  \n b   ", " " * 40, "The River, runs. AKIA5BAMY 123", *PROSE]

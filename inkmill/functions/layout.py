@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import has_chinese
+
 # Fixed values.
 SKIP_TYPES = ["page_header", "page_footer", "page_number", "page_footnote", "page_aside_text", "header", "footer", "footnote"]
 TITLE_TYPES = ["title", "doc_title", "paragraph_title", "abstract"]
-FIGURE_TYPES = ["image", "chart", "table", "figure"]
-SIDE_GAP, STACK_GAP, CORNER_SIDE, CORNER_STACK = 100, 40, 60, 30
+IMAGE_TYPES = ["image", "image_body", "image_caption"]
+TABLE_TYPES = ["table", "table_body", "table_caption", "simple_table", "complex_table"]
+CHART_TYPES = ["chart", "chart_body", "chart_caption"]
+FIGURE_TYPES = [*IMAGE_TYPES, *TABLE_TYPES, *CHART_TYPES]
+FRONT_TITLES = ["目录", "目 录", "CONTENTS", "前言", "FOREWORD"]
+SIDE_GAP, STACK_GAP = 100, 40
+LEAST_DESCRIPTION, LEAST_TABLE, LEAST_BODY = 20, 30, 30
 
 
 def block_type(c: Column) -> Column:
@@ -52,22 +59,38 @@ def box_distance(image: Column, text: Column) -> Column:
     usable = (iw > 0) & (ih > 0) & (tw > 0) & (th > 0) & (tw <= 2 * iw) & (tw >= 8) & (th >= 8)
     beside = (over[1] > 0) & (gap(0) <= SIDE_GAP)
     stacked = (over[0] > F.greatest(0.3 * iw, F.lit(30.0))) & (gap(1) <= STACK_GAP)
-    corner = (near(0) <= max(SIDE_GAP, CORNER_SIDE)) & (near(1) <= max(STACK_GAP, CORNER_STACK))
+    corner = (near(0) <= SIDE_GAP) & (near(1) <= STACK_GAP)
     return F.when(usable & beside, gap(0)).when(usable & stacked, gap(1)).when(usable & corner, F.sqrt(near(0) ** 2 + near(1) ** 2))
 
 
-def image_action(mode: str, sub_type: Column, chinese: Column, long_enough: Column, verdict: Column) -> Column:
-    """keep, discard or text_only for an image block, by filter mode (none, auto, content, llm, all).
+def is_substantial(kind: Column, text: Column, table_html: Column) -> Column:
+    """Whether a block shows that its page is body: a longer text or table, or a title that names no front matter."""
+    k, body = block_type(kind), F.coalesce(text, F.lit(""))
+    front = F.lit(False)
+    for word in FRONT_TITLES:
+        front = front | F.contains(body, F.lit(word))
+    titled, tabled = k.isin(TITLE_TYPES), k.isin(TABLE_TYPES)
+    enough = F.when(titled, ~front & (F.length(body) >= 2)).when(tabled, F.length(F.coalesce(table_html, F.lit(""))) > LEAST_TABLE)
+    return ~k.isin([*SKIP_TYPES, *IMAGE_TYPES]) & F.coalesce(enough, F.length(body) > LEAST_BODY)
+
+
+def image_action(mode: str, sub_type: Column, description: Column, caption: Column, verdict: Column) -> Column:
+    """What becomes of an image block, by filter mode (none, auto, content, llm, all): struct(action, entries).
 
-    verdict is a judge's answer where there is one (true: keep); without one an image that holds text leaves its text.
+    action is keep, discard, text_only or caption_only; entries are the texts that stand for the image in the last two. verdict is a
+    judge's answer where there is one (false: discard), and is asked in mode llm alone. Other modes are taken as all.
     """
-    candidate = (sub_type == "text_image") & chinese
-    if mode == "all":
-        return F.lit("discard")
+    said, named = (F.coalesce(c, F.lit("")) for c in (description, caption))
+    none = F.array().cast("array<string>")
+    result = lambda action, entries=none: F.struct(F.lit(action).alias("action"), entries.alias("entries"))
+    keep, discard = result("keep"), result("discard")
     if mode == "none":
-        return F.lit("keep")
+        return discard
     if mode == "auto":
-        return F.when(sub_type == "text_image", "discard").otherwise("keep")
-    if mode == "content":
-        return F.when(candidate, "text_only").otherwise("keep")
-    return F.when(~candidate | ~long_enough, "keep").when(verdict.isNull(), "text_only").when(verdict, "keep").otherwise("text_only")
+        return F.when(named != "", keep).otherwise(discard)
+    if mode not in ("content", "llm"):
+        return keep
+    dropped = (F.length(said) < LEAST_DESCRIPTION) | (F.lit(mode == "llm") & ~F.coalesce(verdict, F.lit(True)))
+    lettered = F.coalesce(sub_type, F.lit("")) == "text_image"
+    in_description = F.when(lettered & dropped, discard).when(lettered, result("text_only", F.array(said))).otherwise(keep)
+    return F.when(has_chinese(said), in_description).when(has_chinese(named), result("caption_only", F.array(named))).otherwise(discard)

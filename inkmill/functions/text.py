@@ -174,7 +174,9 @@ def canonical_name(c: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%dB", n)).when(n < 1024 * 1024, F.format_string("%.1fKB", n / 1024)).otherwise(F.format_string("%.1fMB", n / (1024 * 1024)))
+    """Bytes, or KB or MB with one digit; halves go to the even digit."""
+    part = lambda unit, name: F.format_string(f"%.1f{name}", F.bround(n / unit, 1))
+    return F.when(n < 1024, F.format_string("%dB", n)).when(n < 1024 * 1024, part(1024, "KB")).otherwise(part(1024 * 1024, "MB"))
 
 
 def format_time(seconds: Column) -> Column:

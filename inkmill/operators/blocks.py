@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import FIGURE_TYPES, block_type, box_distance, image_action, inside, is_skipped, is_title
-from ..functions.text import contains_keyword, has_chinese, strip
+from ..functions.text import contains_keyword, strip
 
 # Fixed values.
-TOC, APPENDIX = ["目录", "CONTENTS"], ["附录"]
+TOC = ["目录", "CONTENTS"]
 MIN_IMAGE_AREA, MAX_CAPTION, CAPTION_JOIN = 10_000, 40, " | "
 
 
@@ -24,17 +24,6 @@ def pages_of(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("blocks"))
 
 
-def kept_pages(blocks: DataFrame, front: int = 6, back: int = 8) -> DataFrame:
-    """(doc_id, first_keep, last_keep) pages: after a table of contents in front, before an appendix at the back."""
-    last = blocks.groupBy("doc_id").agg(F.max("page").alias("pages"))
-    b = blocks.join(last, "doc_id")
-    toc = F.min(F.when((F.col("page") <= front) & contains_keyword(F.col("text"), TOC), F.col("page")))
-    appendix = F.max(F.when((F.col("page") > F.col("pages") - back) & contains_keyword(F.col("text"), APPENDIX), F.col("page")))
-    found = b.groupBy("doc_id", "pages").agg(toc.alias("toc"), appendix.alias("appendix"))
-    first, end = F.coalesce(F.col("toc") + 1, F.lit(1)), F.coalesce(F.col("appendix") - 1, F.col("pages"))
-    return found.select("doc_id", F.when(first > end, F.least(F.lit(2), F.col("pages"))).otherwise(first).alias("first_keep"), F.when(first > end, F.col("pages")).otherwise(end).alias("last_keep"))
-
-
 def merge_captions(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, page, pos, type, text, bbox, img_path, caption) with merged and the images' caption.
 
@@ -65,10 +54,11 @@ def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def image_actions(images: DataFrame, mode: str = "llm", decisions: DataFrame | None = None) -> DataFrame:
-    """images(doc_id, pos, sub_type, text, caption) with action; decisions(doc_id, pos, keep) of a judge where there is one."""
-    rows = images.join(decisions, ["doc_id", "pos"], "left") if decisions is not None else images.withColumn("keep", F.lit(None).cast("boolean"))
-    chinese = has_chinese(F.coalesce("text", F.lit(""))) | has_chinese(F.coalesce("caption", F.lit("")))
-    return rows.withColumn("action", image_action(mode, F.col("sub_type"), chinese, F.length(F.coalesce("text", F.lit(""))) >= 20, F.col("keep"))).drop("keep")
+    """images(doc_id, pos, sub_type, text, caption) with action and entries; decisions(doc_id, pos, keep) of a judge where there is one."""
+    judged = decisions.select("doc_id", "pos", F.col("keep").alias("_keep")) if decisions is not None else None
+    rows = images.join(judged, ["doc_id", "pos"], "left") if judged is not None else images.withColumn("_keep", F.lit(None).cast("boolean"))
+    made = image_action(mode, F.col("sub_type"), F.col("text"), F.col("caption"), F.col("_keep"))
+    return rows.withColumn("_made", made).withColumns({"action": F.col("_made.action"), "entries": F.col("_made.entries")}).drop("_keep", "_made")
 
 
 def carry_heading(spans: DataFrame, threshold: float) -> DataFrame:
@@ -97,8 +87,30 @@ def fallback_chunks(blocks: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.get(texts, F.lit(0)).alias("parent"), F.array_join(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), "\n").alias("child"))
 
 
-def route(pages: DataFrame, force: str | None = None, sample: int = 5, least_chars: float = 100) -> DataFrame:
-    """(doc_id, strategy) of pages(doc_id, page, n_chars, n_images): fast for text without images, else model."""
+def route(pages: DataFrame, force: str | None = None, sample: int = 5, least_chars: float = 100, documents: DataFrame | None = None, configured: str = "auto") -> DataFrame:
+    """(doc_id, strategy) of pages(doc_id, page, n_chars, n_images): fast for text without images, else model.
+
+    With documents(doc_id, path) each of them has a row: word-processor files are fast, files of unknown kinds and those without
+    pages are for the model. force goes before configured, and that, unless it is auto, before what is found.
+    """
     first = pages.where(F.col("page") <= sample).groupBy("doc_id").agg(F.max(F.col("n_images") > 0).alias("image"), F.avg("n_chars").alias("chars"))
     auto = F.when(F.col("image") | (F.col("chars") < least_chars), "model").otherwise("fast")
-    return first.select("doc_id", (F.lit(force) if force else auto).alias("strategy"))
+    chosen = force or (configured if configured != "auto" else None)
+    if documents is None:
+        return first.select("doc_id", (F.lit(chosen) if chosen else auto).alias("strategy"))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]*)$", 1))
+    found = F.when(suffix.isin("docx", "doc"), "fast").when((suffix != "pdf") | F.col("chars").isNull(), "model").otherwise(auto)
+    return documents.join(first, "doc_id", "left").select("doc_id", (F.lit(chosen) if chosen else found).alias("strategy"))
+
+
+def attach_captions(items: DataFrame) -> DataFrame:
+    """items(doc_id, pos, text, image) without captions of no image: each goes to the last image before it, else stays as text.
+
+    image is true for images, null for captions on their own, false for the rest. An image's captions are joined in order.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = items.withColumn("_to", F.when(F.col("image").isNull(), F.last(F.when(F.col("image"), F.col("pos")), ignorenulls=True).over(w)))
+    own = F.coalesce("_to", "pos").alias("pos")
+    said = F.filter(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("p"), "text")))["text"], lambda t: t.isNotNull() & (t != ""))
+    made = rows.groupBy("doc_id", own).agg(F.array_join(said, CAPTION_JOIN).alias("text"), F.coalesce(F.max("image"), F.lit(False)).alias("image"))
+    return made.select("doc_id", "pos", "text", "image")

@@ -142,7 +142,7 @@ _STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def register_strategy(name: str, chunker: Callable[[DataFrame], DataFrame]) -> None:
-    """Add a chunker of documents(doc_id, text) to (doc_id, chunk_idx, chunk)."""
+    """Add a chunker: a function from rows, documents(doc_id, text) or blocks of them, to chunks."""
     _STRATEGIES[name] = chunker
 
 
@@ -159,5 +159,13 @@ def _by_rules(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(split_by_rules(F.col("text"))).alias("chunk_idx", "chunk"))
 
 
-register_strategy("default", _by_rules)
+def runs(rows: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
+    """rows with run, which counts up where a row with the flag follows one without it, and flagged."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = rows.withColumn("flagged", F.coalesce(flag, F.lit(False)))
+    fresh = F.col("flagged") & ~F.coalesce(F.lag("flagged").over(w), F.lit(False))
+    return rows.withColumn("_fresh", fresh).withColumn("run", F.sum(F.col("_fresh").cast("int")).over(w)).drop("_fresh")
+
+
+register_strategy("rules", _by_rules)
 register_strategy("none", lambda d: d.select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("chunk")))

@@ -85,6 +85,11 @@ def status_counts(jobs: DataFrame, status: str = "status") -> DataFrame:
     return jobs.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def job_count(jobs: DataFrame, status: str | None = None) -> DataFrame:
+    """How many jobs there are, or are in a status."""
+    return (jobs if status is None else jobs.where(F.col("status") == status)).agg(F.count("*").alias("n"))
+
+
 def job_page(jobs: DataFrame, page: int, size: int, status: str | None = None) -> DataFrame:
     """A page of jobs(id, status, created_at), newest first; ties by id."""
     rows = jobs if status is None else jobs.where(F.col("status") == status)
@@ -111,11 +116,31 @@ def new_uploads(uploads: DataFrame, known: DataFrame, by: str = "filename") -> D
     return uploads.join(known.select(by), by, "left_anti")
 
 
+def copy_numbers(rows: DataFrame, by: list[str], order: str, block: int = 1 << 16) -> DataFrame:
+    """rows with copy_no: how many rows with the same values of by have a smaller order, a whole number that no two of them share.
+
+    Numbers are given within blocks of order and led by the counts of the blocks before, so no task holds all of a large group.
+    """
+    cut = F.floor(F.col(order) / block).alias("_block")
+    at = rows.select("*", cut)
+    counts = at.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    # A group of one block needs no counts; the others have few blocks.
+    led = counts.withColumn("_before", before).where("_before > 0").select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(by)), F.col("_block").alias("_at"), "_before")
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)) - 1
+    out = at.withColumn("copy_no", own).join(led, same & F.col("_block").eqNullSafe(F.col("_at")), "left")
+    return out.select(*rows.columns, (F.col("copy_no") + F.coalesce("_before", F.lit(0))).cast("long").alias("copy_no"))
+
+
 def download_names(files: DataFrame) -> DataFrame:
     """files(filename, request_pos) with name: a repeated name gets _1, _2 before its extension."""
-    k = F.row_number().over(Window.partitionBy("filename").orderBy("request_pos")) - 1
+    k = F.col("copy_no")
     stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("name", F.when(k == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext)))
+    named = copy_numbers(files, ["filename"], "request_pos")
+    return named.withColumn("name", F.when(k == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext))).drop("copy_no")
 
 
 def preview(text: Column, lines: int = 200, note: str = "...") -> Column:
@@ -124,20 +149,23 @@ def preview(text: Column, lines: int = 200, note: str = "...") -> Column:
     return F.array_join(F.when(F.size(kept) >= lines, F.concat(F.slice(kept, 1, lines), F.array(F.lit(note)))).otherwise(kept), "\n")
 
 
+def with_comments(tables: DataFrame, comments: DataFrame) -> DataFrame:
+    """tables(owner, table_name, ...) with table_comment, empty where there is none."""
+    return tables.join(comments, ["owner", "table_name"], "left").withColumn("table_comment", F.coalesce("comments", F.lit(""))).drop("comments")
+
+
+def with_metadata_flag(tables: DataFrame, metadata: DataFrame) -> DataFrame:
+    """tables(table_name, ...) with in_metadata: whether the metadata store has the name, in any case."""
+    known = _small(metadata.select(F.upper(F.trim("table_name")).alias("_k")).distinct())
+    return tables.join(known, F.upper(F.trim("table_name")) == F.col("_k"), "left").withColumn("in_metadata", F.col("_k").isNotNull()).drop("_k")
+
+
 def catalog_tables(tables: DataFrame, comments: DataFrame, metadata: DataFrame, domains: DataFrame, owner: str) -> DataFrame:
     """Tables of an owner with comment, domain, whether they are in the metadata store (any case), and index."""
-    own = tables.where(F.col("owner") == owner).join(comments, ["owner", "table_name"], "left")
-    own = own.join(_small(domains.select("table_name", "business_domain")), "table_name", "left")
-    known = metadata.select(F.upper(F.trim("table_name")).alias("_k")).distinct()
-    own = own.join(_small(known), F.upper(F.trim("table_name")) == F.col("_k"), "left")
+    own = with_comments(tables.where(F.col("owner") == owner), comments)
+    own = with_metadata_flag(own.join(_small(domains.select("table_name", "business_domain")), "table_name", "left"), metadata)
     w = Window.partitionBy("owner").orderBy("table_name")
-    return own.select(
-        F.row_number().over(w).alias("index"),
-        "table_name",
-        F.coalesce("comments", F.lit("")).alias("table_comment"),
-        F.coalesce("business_domain", F.lit("未归类")).alias("business_domain"),
-        F.col("_k").isNotNull().alias("in_metadata"),
-    )
+    return own.select(F.row_number().over(w).alias("index"), "table_name", "table_comment", F.coalesce("business_domain", F.lit("未归类")).alias("business_domain"), "in_metadata")
 
 
 def search(rows: DataFrame, keyword: str, columns: list[str], **equal: str) -> DataFrame:
@@ -150,6 +178,18 @@ def search(rows: DataFrame, keyword: str, columns: list[str], **equal: str) -> D
     return rows.where(hit)
 
 
+def vector_topk(vectors: DataFrame, column: str, k: int, query: str) -> DataFrame:
+    """(vec_id, score): the k vectors of the largest cosine to the one that the condition query names; ties to the smaller id.
+
+    The query is one vector; each task keeps its own k best, and these meet.
+    """
+    q = vectors.where(query).select(F.col(column).cast("array<double>").alias("_q")).limit(1)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = vectors.select("vec_id", F.col(column).cast("array<double>").alias("_v")).join(F.broadcast(q), F.lit(True))
+    score = dot(F.col("_v"), F.col("_q")) / F.sqrt(dot(F.col("_v"), F.col("_v")) * dot(F.col("_q"), F.col("_q")))
+    return rows.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
 def check_name(name: str) -> str:
     """A schema name in capitals; ValueError for anything but letters, digits and underscores."""
     out = name.strip().upper()

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import TITLE_TYPES, block_type, is_skipped
+from ..functions.layout import TITLE_TYPES, block_type, is_skipped, is_substantial
 from ..functions.text import NUMERALS, contains_keyword, matches, strip
 
 # Fixed values.
 TOC, PREFACE, APPENDIX = ["目录", "CONTENTS"], ["前言", "FOREWORD", "序言", "PREFACE"], ["附录", "APPENDIX"]
+TOC_WORDS, APPENDIX_WORD = ["目录", "目 录", "CONTENTS"], "附录"
 TOC_HEADING = r"^(?:目\s*录|CONTENTS)$"
 TOC_ENTRY = rf"\.{{2,}}\s*\d{{1,4}}$|\t\d{{1,4}}$|^\s*[IVX\d一二三四五六七八九十]+[、.]?\s*\.{{2,}}"
 ARTICLE = rf"^\s*第[{NUMERALS}\d]+[条款项目]"
-CHAPTER = rf"^第[{NUMERALS}\d]+[章节部分编篇]"
+CHAPTER = rf"^第[{NUMERALS}\d]+[章编节]"
+COVER_WORDS = ["国民经济", "社会发展", "五年规划", "纲要", "预算报告", "决算报告", "计划报告"]
 NO_BODY = ["list", "text_list", "index", "image", "image_body", "image_caption", "chart", "table"]
 
 
@@ -31,6 +33,15 @@ def substantial(text: Column, keywords: list[str]) -> Column:
     return out
 
 
+def is_cover(text: Column) -> Column:
+    """Whether a page is a cover: empty, or of fewer than 60 characters that name nothing of substance."""
+    body = F.coalesce(text, F.lit(""))
+    named = F.lit(False)
+    for word in COVER_WORDS:
+        named = named | F.contains(body, F.lit(word))
+    return (body == "") | (~named & (F.length(body) < 60))
+
+
 def docx_title(paragraphs: DataFrame) -> DataFrame:
     """(path, title): a Title before the first heading, else that heading, else the first bold short line, else the first short one."""
     rows = paragraphs.where(~F.col("in_table")).withColumn("text", strip(F.col("text"))).where("text <> ''")
@@ -94,7 +105,10 @@ def drop_toc_blocks(blocks: DataFrame) -> DataFrame:
     """
     text = strip(F.coalesce("text", F.lit("")))
     kind = block_type(F.col("type"))
-    begins = blocks.where((F.length(text) <= 15) & contains_keyword(text, TOC)).groupBy("doc_id").agg(F.min("pos").alias("start"))
+    says = F.lit(False)
+    for word in TOC_WORDS:
+        says = says | F.contains(text, F.lit(word))
+    begins = blocks.where((F.length(text) <= 15) & says).groupBy("doc_id").agg(F.min("pos").alias("start"))
     rows = blocks.join(begins, "doc_id", "left").withColumns({"_t": text, "_title": kind.isin(TITLE_TYPES)})
     entry = ((F.length("_t") < 30) & F.contains("_t", F.lit("…"))) | (matches(F.col("_t"), CHAPTER) & (F.length("_t") < 25)) | (F.col("_t") == "")
     is_body = ~F.col("_title") & ~is_skipped(F.col("type")) & ~kind.isin(NO_BODY) & ((F.length("_t") > 80) | matches(F.col("_t"), ARTICLE) | (~entry & (F.length("_t") > 15)))
@@ -105,6 +119,40 @@ def drop_toc_blocks(blocks: DataFrame) -> DataFrame:
     return rows.where(outside).select(*blocks.columns)
 
 
+def body_blocks(blocks: DataFrame, front: int = 6, plain: int = 5, back: int = 8) -> DataFrame:
+    """The blocks(doc_id, page, pos, type, text) of a document's body, with doc_title, the first page title among them.
+
+    Entries of a table of contents on one of the first pages go, and what stands before it; a page of entries only goes
+    whole. The body then begins with the first substantial page; without such a table, with the first substantial one of the first
+    ``plain`` pages. It ends before the last of the last ``back`` pages that names an appendix. Where nothing would
+    be left it begins with the second page. Pages without blocks aren't counted. An optional column table_body is a table's HTML.
+    """
+    html = F.col("table_body") if "table_body" in blocks.columns else F.lit("")
+    text = F.coalesce("text", F.lit(""))
+    says = F.lit(False)
+    for word in TOC_WORDS:
+        says = says | F.contains(text, F.lit(word))
+    pages = blocks.select("doc_id", "page").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    rows = blocks.join(pages.select("doc_id", "page", number.alias("_nth")), ["doc_id", "page"])
+    toc = rows.where((F.col("_nth") <= front) & says).groupBy("doc_id").agg(F.min("_nth").alias("_toc"))
+    rows = rows.join(toc, "doc_id", "left")
+    listed = F.col("_nth") == F.col("_toc")
+    rest = drop_toc_blocks(rows.where(listed)).unionByName(rows.where(~F.coalesce(listed, F.lit(False))))
+    page = rest.groupBy("doc_id", "_nth").agg(F.max(is_substantial(F.col("type"), text, html)).alias("solid"), F.max(F.contains(text, F.lit(APPENDIX_WORD))).alias("appendix"))
+    total = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).join(toc, "doc_id", "left")
+    solid = lambda where: F.min(F.when(F.col("solid") & where, F.col("_nth")))
+    late = F.max(F.when(F.col("appendix") & (F.col("_nth") > F.col("pages") - back), F.col("_nth")))
+    found = total.join(page, "doc_id", "left").groupBy("doc_id", "pages", "_toc").agg(solid(F.col("_nth") >= F.col("_toc")).alias("after"), solid(F.col("_nth") <= plain).alias("early"), late.alias("late"))
+    first = F.when(F.col("_toc").isNotNull(), F.coalesce("after", F.col("pages") + 1)).otherwise(F.coalesce("early", F.lit(1)))
+    end = F.coalesce("late", F.col("pages") + 1)
+    bounds = found.select("doc_id", F.when(first >= end, F.least(F.lit(2), F.col("pages") + 1)).otherwise(first).alias("_first"), end.alias("_end"))
+    kept = rest.join(bounds, "doc_id").where((F.col("_nth") >= F.col("_first")) & (F.col("_nth") < F.col("_end")))
+    titles = kept.where(block_type(F.col("type")).isin(TITLE_TYPES)).groupBy("doc_id", "_nth").agg(F.min_by(text, "pos").alias("t"))
+    titles = titles.where("t <> ''").groupBy("doc_id").agg(F.min_by("t", "_nth").alias("doc_title"))
+    return kept.join(titles, "doc_id", "left").select(*blocks.columns, F.coalesce("doc_title", F.lit("")).alias("doc_title"))
+
+
 def merge_empty_headings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """chunks(key, chunk_idx, parent, child): headings without a body lead the next body's text; those at the end stay."""
     w = Window.partitionBy(key).orderBy("chunk_idx")

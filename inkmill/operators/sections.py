@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.layout import FIGURE_TYPES, block_type, is_skipped, is_title
 from ..functions.text import NUMERALS, estimate_tokens, fix_percent_order, is_list_item, is_sub_heading, strip
 from .blocks import fallback_chunks
-from .chunks import CHILD, MAX_TOKENS, PARENT, merge_small, parent_threshold, split_by_rules
+from .chunks import CHILD, MAX_TOKENS, PARENT, merge_small, parent_threshold, register_strategy, split_by_rules
 
 # Fixed values.
 LIST_TYPES = ["list", "list_item", "index"]
@@ -149,3 +149,18 @@ def marked(chunks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     body = _let(lines, lambda a: F.array_join(F.transform(a, lambda x, i: shown(x, i, a)), "\n"))
     one = F.concat_ws("\n", F.when(F.col("parent") != "", F.concat(F.lit(f"{PARENT}\n"), "parent")), F.lit(CHILD), F.nullif(body, F.lit("")))
     return chunks.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("chunk_idx", one.alias("t"))))["t"], "\n").alias("text"))
+
+
+def line_blocks(documents: DataFrame, title: Column | None = None) -> DataFrame:
+    """documents(doc_id, text) as blocks, a line each, on one page; title tells which lines (column text) are titles."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("text", strip(F.col("text"))).where("text <> ''")
+    kind = F.when(title, "title").otherwise("text") if title is not None else F.lit("text")
+    return lines.select("doc_id", F.lit(1).alias("page"), "pos", kind.alias("type"), "text", F.lit(False).alias("has_text_level"), F.lit(None).cast("array<double>").alias("bbox"))
+
+
+def default_strategy(rows: DataFrame) -> DataFrame:
+    """(doc_id, text): blocks, or documents by their lines, cut into parents and children and written as marked texts."""
+    return marked(chunk_blocks(rows if "type" in rows.columns else line_blocks(rows)))
+
+
+register_strategy("default", default_strategy)

@@ -16,6 +16,15 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 LANDING = "path string, modificationTime timestamp, length long, content binary"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to the session's cores where their scan has fewer partitions, as of a file with one row group.
+
+    A scan that is wide enough stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def discover(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFrame:
     """(path, modificationTime, length, content) of the files of a folder, not of folders within it."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffixes}").load(path)
@@ -30,15 +39,18 @@ def content_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_blocks(lists: DataFrame) -> DataFrame:
-    """(stem, page, pos, type, text, has_text_level, text_level, bbox, img_path, table_body) of content lists.
+    """(stem, page, pos, type, sub_type, text, has_text_level, text_level, bbox, img_path, table_body, raw) of content lists.
 
-    A list of lists is pages of blocks; a list of blocks names each one's page in page_num or page_idx.
+    A list of lists is pages of blocks; a list of blocks names each one's page in page_num or page_idx. raw is the block's JSON,
+    for the functions of ``functions.content``.
     """
-    block = "struct<type: string, text: string, text_level: string, bbox: array<double>, img_path: string, table_body: string, page_num: int, page_idx: int>"
+    block = "struct<type: string, sub_type: string, text: string, text_level: string, bbox: array<double>, img_path: string, table_body: string, page_num: int, page_idx: int>"
     paged = F.col("raw").rlike(r"^\s*\[\s*\[")
-    pages = lists.where(paged).select("stem", F.posexplode(F.from_json("raw", f"array<array<{block}>>")).alias("p", "bs")).select("stem", (F.col("p") + 1).alias("page"), F.posexplode("bs").alias("pos", "b"))
-    flat = lists.where(~paged).select("stem", F.posexplode(F.from_json("raw", f"array<{block}>")).alias("pos", "b")).select("stem", F.coalesce("b.page_num", "b.page_idx", F.lit(0)).alias("page"), "pos", "b")
-    return pages.unionByName(flat).select("stem", "page", "pos", "b.type", "b.text", F.col("b.text_level").isNotNull().alias("has_text_level"), "b.text_level", "b.bbox", "b.img_path", "b.table_body")
+    pages = lists.where(paged).select("stem", F.posexplode(F.from_json("raw", "array<array<string>>")).alias("p", "bs")).select("stem", (F.col("p") + 1).alias("page"), F.posexplode("bs").alias("pos", "raw"))
+    flat = lists.where(~paged).select("stem", F.posexplode(F.from_json("raw", "array<string>")).alias("pos", "raw")).select("stem", F.lit(None).cast("int").alias("page"), "pos", "raw")
+    each = pages.unionByName(flat).withColumn("b", F.from_json("raw", block)).where("b IS NOT NULL")
+    own = F.coalesce("page", F.nullif("b.page_num", F.lit(0)), "b.page_idx", F.lit(0)).alias("page")
+    return each.select("stem", own, "pos", "b.type", "b.sub_type", "b.text", F.col("b.text_level").isNotNull().alias("has_text_level"), "b.text_level", "b.bbox", "b.img_path", "b.table_body", "raw")
 
 
 def _body(data: bytes) -> Iterator[tuple[str, str, bool, bool]]:

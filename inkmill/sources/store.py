@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+#: Files that a source's rows are dealt to; each holds FILE_ROWS rows at most.
+FILES_A_SOURCE, FILE_ROWS = 16, 1_000_000
+
+
+def write_chunks(chunks: DataFrame, path: str, files: int = FILES_A_SOURCE) -> None:
     """Put chunks(source, ...) into the store; sources that are written replace what they had, others stay.
 
-    The new partitions are complete before old ones go, so a failed write leaves the old rows.
+    The new partitions are complete before old ones go, so a failed write leaves the old rows. Rows are dealt by source and
+    a hash of the row, so no task writes all of a large source; adaptive execution joins what is small.
     """
-    chunks.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    salt = F.pmod(F.xxhash64(*(c for c, kind in chunks.dtypes if "map" not in kind and "variant" not in kind)), F.lit(files))
+    chunks.repartition(F.col("source"), salt).write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +27,21 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delete_sources(spark: SparkSession, path: str, sources: list[str]) -> int:
-    """Drop the partitions of sources; how many rows went."""
-    gone = read_chunks(spark, path).where(F.col("source").isin(sources)).count()
-    jvm = spark.sparkContext._jvm
-    for s in sources:
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/source={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(s)}")
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Drop the partitions of sources; how many rows went.
+
+    The store is seen as a table for the time of the call, and each source's partition is overwritten with no rows.
+    """
+    store = read_chunks(spark, path)
+    gone = store.where(F.col("source").isin(sources)).count()
+    name = f"store_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store.schema)
+    nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in store.schema if f.name != "source")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}', partitionOverwriteMode 'static') PARTITIONED BY (source)")
+    try:
+        for s in sources:
+            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (source = :s) SELECT {nothing} WHERE false", args={"s": s})
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return gone
 
 

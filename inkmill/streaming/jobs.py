@@ -48,9 +48,38 @@ def timeout_seconds(size: str = "file_size", base: int = 600, most: int = 10_800
 
 
 def merge_jobs(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """The job list after a poll: new rows in, known ones updated, missing ones dropped."""
-    seen = old.select(key, F.lit(True).alias("known"))
-    return new.join(seen, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    """The job list after a poll: new rows in, known ones updated, missing ones dropped; known tells which were there.
+
+    What a poll leaves null, or has no column for, stays as it was.
+    """
+    was = old.select(F.col(key).alias("_key"), F.lit(True).alias("known"), *(F.col(c).alias(f"_{c}") for c in old.columns if c != key))
+    rows = new.join(was, F.col(key) == F.col("_key"), "left")
+    own = [c for c in old.columns if c != key]
+    kept = [F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in new.columns else F.col(f"_{c}").alias(c) for c in own]
+    return rows.select(key, *kept, *(c for c in new.columns if c != key and c not in own), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+#: Which statuses may follow a status; the final ones may be taken up again.
+NEXT = {
+    "uploaded": ["queued", "processing", "failed", "cancelled"], "queued": ["processing", "failed", "cancelled", "cancelling"], "processing": ["completed", "failed", "cancelling", "cancelled"],
+    "cancelling": ["cancelled", "failed", "completed"], "completed": ["ingesting", "ingested", "failed", "queued"], "ingesting": ["ingested", "completed", "failed"], "ingested": ["completed", "ingesting"], "failed": ["queued", "processing"], "cancelled": ["queued"],
+}
+
+
+def illegal_steps(events: DataFrame, key: str = "id", status: str = "status", at: str = "at") -> DataFrame:
+    """(key, at, before, status): steps from one status to another that the job states don't allow."""
+    from pyspark.sql import Window
+
+    before = F.lag(status).over(Window.partitionBy(key).orderBy(at))
+    allowed = F.create_map(*(x for k, v in NEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = events.select(key, at, before.alias("before"), status).where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
+    return rows.where(~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col(status)), F.lit(False)))
+
+
+def completed_again(jobs: DataFrame, sources: list[str], source: str = "filename") -> DataFrame:
+    """jobs after their sources went from the store: ingested ones are completed again."""
+    hit = F.col(source).isin(sources) & (F.col("status") == "ingested")
+    return jobs.withColumn("status", F.when(hit, "completed").otherwise(F.col("status")))
 
 
 def replace_output(jobs: DataFrame, job_id: str) -> DataFrame:

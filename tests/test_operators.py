@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from inkmill.functions.layout import box_distance
-from inkmill.operators import blocks, checks, chunks, knowledge
+from inkmill.operators import blocks, checks, chunks, knowledge, outline
 from inkmill.plans import catalog
 from inkmill.sources import documents, store
 from inkmill.streaming import jobs
@@ -61,15 +61,41 @@ def test_box_distance(spark):
     assert d(image, [103.0, 104.0, 150.0, 120.0]) == 5 and d(image, [0.0, 10.0, 201.0, 30.0]) is None and d(image, [500.0, 500.0, 540.0, 520.0]) is None
 
 
-def test_pages_and_actions(spark):
-    b = spark.createDataFrame([(1, 1, 0, "目 录"), (1, 2, 0, "正文"), (1, 3, 0, "附录 A"), (2, 1, 0, "正文")], "doc_id int, page int, pos int, text string")
-    assert rows(blocks.kept_pages(b)) == [(1, 2, 2), (2, 1, 1)]
-    i = spark.createDataFrame([(1, 0, "text_image", "字" * 30, None), (1, 1, "photo", "", None)], "doc_id int, pos int, sub_type string, text string, caption string")
-    assert [r.action for r in blocks.image_actions(i).orderBy("pos").collect()] == ["text_only", "keep"]
-    keep = spark.createDataFrame([(1, 0, True)], "doc_id int, pos int, keep boolean")
-    assert [r.action for r in blocks.image_actions(i, "llm", keep).orderBy("pos").collect()] == ["keep", "keep"]
+def test_body_blocks(spark):
+    long = "正文" * 20
+    data = [
+        (1, 1, 0, "text", "封面"), (1, 2, 0, "title", "目 录"), (1, 2, 1, "title", "第一章 总则"), (1, 2, 2, "text", "第二章 附则……2"), (1, 2, 3, "title", "第一章"), (1, 2, 4, "text", "第一条 本法"), (1, 3, 0, "text", long), (1, 4, 0, "text", "附录 A"),
+        (2, 1, 0, "text", "封面"), (2, 2, 0, "title", "报告"), (2, 3, 0, "text", long),
+        (3, 1, 0, "text", "目录"), (3, 1, 1, "list", "a……1"), (3, 2, 0, "page_header", long), (3, 3, 0, "table", ""), (3, 4, 0, "title", "前言"), (3, 5, 0, "text", long),
+        (4, 1, 0, "text", "x"), (4, 2, 0, "text", "附录"), (5, 1, 0, "text", "附录"),
+    ]
+    b = spark.createDataFrame([(*r, "<table>" + "x" * 40 if r[3] == "table" else None) for r in data], "doc_id int, page int, pos int, type string, text string, table_body string")
+    got = sorted((r.doc_id, r.page, r.pos, r.doc_title) for r in outline.body_blocks(b).collect())
+    assert got == [(1, 2, 3, "第一章"), (1, 2, 4, "第一章"), (1, 3, 0, "第一章"), (2, 2, 0, "报告"), (2, 3, 0, "报告"), (3, 3, 0, "前言"), (3, 4, 0, "前言"), (3, 5, 0, "前言"), (4, 1, 0, "")]
+
+
+def test_image_actions(spark):
+    said, short, latin = "图中文字" * 6, "短标签", "only latin letters in here"
+    data = [("text_image", said, None), ("text_image", short, None), ("flowchart", said, None), ("flowchart", short, "名"), ("photo", said, None), ("photo", latin, "名"), ("photo", latin, "name"), ("text_image", "", "名"), (None, None, None)]
+    i = spark.createDataFrame([(1, k, *r) for k, r in enumerate(data)], "doc_id int, pos int, sub_type string, text string, caption string")
+    run = lambda mode, judge=None: [(r.action, r.entries) for r in blocks.image_actions(i, mode, judge).orderBy("pos").collect()]
+    keep, gone = ("keep", []), ("discard", [])
+    content = [("text_only", [said]), gone, keep, keep, keep, ("caption_only", ["名"]), gone, ("caption_only", ["名"]), gone]
+    assert run("all") == [keep] * 9 and run("none") == [gone] * 9 and run("content") == content and run("llm") == content
+    assert run("auto") == [keep if r[2] else gone for r in data]
+    judged = lambda verdict: spark.createDataFrame([(1, k, verdict) for k in range(9)], "doc_id int, pos int, keep boolean")
+    assert run("llm", judged(True)) == content and run("content", judged(False)) == content
+    assert run("llm", judged(False)) == [gone, *content[1:]]
+
+
+def test_route_and_captions(spark):
     p = spark.createDataFrame([(1, 1, 500, 0), (2, 1, 500, 1), (3, 1, 5, 0)], "doc_id int, page int, n_chars int, n_images int")
     assert rows(blocks.route(p)) == [(1, "fast"), (2, "model"), (3, "model")]
+    d = spark.createDataFrame([(1, "a/x.PDF"), (2, "x.pdf"), (4, "x.docx"), (5, "x.pdf"), (6, "x")], "doc_id int, path string")
+    assert rows(blocks.route(p, documents=d)) == [(1, "fast"), (2, "model"), (4, "fast"), (5, "model"), (6, "model")]
+    assert {r.strategy for r in blocks.route(p, documents=d, configured="fast").collect()} == {"fast"} and {r.strategy for r in blocks.route(p, "model", configured="fast").collect()} == {"model"}
+    i = spark.createDataFrame([(1, 0, "early", None), (1, 1, "own", True), (1, 2, "a", None), (1, 3, "body", False), (1, 4, "b", None), (2, 0, "", True), (2, 1, "c", None)], "doc_id int, pos int, text string, image boolean")
+    assert rows(blocks.attach_captions(i)) == [(1, 0, "early", False), (1, 1, "own | a | b", True), (1, 3, "body", False), (2, 0, "c", True)]
 
 
 def test_region_lookup_defaults(spark):

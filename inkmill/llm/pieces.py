@@ -30,20 +30,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
-from .subwords import coded, sums
+from .common import scratch
+from .subwords import coded
 
 MARK = "▁"
 HOT_WORDS, FOLD_CHARS = 1 << 19, 32
-#: The checksum's modulus: 2**31 - 1.
-MODULUS = 2147483647
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 PARTITION_WORDS = 20_000
 HASH_LIMIT, HASHED_WORDS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 100_000
-#: How a code point is spelled in a pattern of Python's.
-PYTHON_CODE = r"\U%08X"
-#: Rows that a task looks up at a time, which bounds its memory.
-ROWS = 1000
+#: How a code point is spelled in a pattern of Python's and in one of Arrow's.
+PYTHON_CODE, ARROW_CODE = r"\U%08X", r"\x{%X}"
+#: Bytes of text that a task works on at a time, which bounds its memory.
+TEXT_BYTES = 8 << 20
+#: A short word's edge as one long: rank, start, end and id, so that longs sort as merges go.
+RANK, START, END = 36, 30, 24
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -94,8 +94,8 @@ def _ranges(chars: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def word_pattern(pieces: list[tuple], code: str = r"\x{%X}") -> str:
-    """A pattern whose matches, one after another, are the words of a marked text; code spells a code point."""
+def word_classes(pieces: list[tuple], code: str = r"\x{%X}") -> list[str]:
+    """The characters that words of several characters are made of, as one or two character classes."""
     many = [p[0] for p in pieces if p[3] == NORMAL and len(p[0]) > 1]
     if any(MARK in p.lstrip(MARK) for p in many):
         raise ValueError("a piece has a word mark after another character")
@@ -104,7 +104,12 @@ def word_pattern(pieces: list[tuple], code: str = r"\x{%X}") -> str:
     if any(len({c.isalpha() for c in p.lstrip(MARK)}) > 1 for p in many):
         letters, others = joined, []
     spell = lambda group: "".join(code % a if a == b else f"{code % a}-{code % b}" for a, b in _ranges(group))
-    return "|".join([*(f"{MARK}*[{spell(group)}]+" for group in (letters, others) if group), f"{MARK}+", f"(?s:[^{MARK}])"])
+    return [f"[{spell(group)}]" for group in (letters, others) if group]
+
+
+def word_pattern(pieces: list[tuple], code: str = r"\x{%X}") -> str:
+    """A pattern whose matches, one after another, are the words of a marked text; code spells a code point."""
+    return "|".join([*(f"{MARK}*{group}+" for group in word_classes(pieces, code)), f"{MARK}+", f"(?s:[^{MARK}])"])
 
 
 def piece_table(spark: SparkSession, model: dict) -> DataFrame:
@@ -115,12 +120,6 @@ def piece_table(spark: SparkSession, model: dict) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def raw_tokens(text: Column) -> Column:
-    """A text cut at each space that ends a run of other characters; no word spans such a space, which is left out."""
-    some = F.when(F.length(text) > 0, F.split(text, f"(?<=[^ {MARK}]) ", -1))
-    return F.coalesce(some, F.array().cast("array<string>"))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row, wherever body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -131,9 +130,14 @@ def _bit(at: Column) -> Column:
 
 
 def _masked(edges: Column) -> Column:
-    """Edges in the order of merging, with the bits of their ends and of the places between."""
-    ordered = F.array_sort(F.transform(edges, lambda e: F.struct(e["rank"].alias("rank"), e["s"].alias("s"), e["e"].alias("e"), e["id"].alias("id"))))
-    return F.transform(ordered, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"), _bit(e["s"]).bitwiseOR(_bit(e["e"])).alias("ends"), (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner")))
+    """Packed edges in the order of merging, with the bits of their ends and of the places between."""
+    place = lambda x, low: _bit(F.shiftright(x, low).bitwiseAND(F.lit(63)).cast("int"))
+
+    def bits(x: Column) -> Column:
+        s, e = place(x, START), place(x, END)
+        return F.struct(s.bitwiseOR(e).alias("ends"), (e - s - s).alias("inner"), x.bitwiseAND(F.lit((1 << RANK) - 1)).alias("edge"))
+
+    return F.transform(F.sort_array(edges), bits)
 
 
 def _merge_fold(n: Column, edges: Column) -> Column:
@@ -142,13 +146,14 @@ def _merge_fold(n: Column, edges: Column) -> Column:
     An edge can be merged if its ends are boundaries and one boundary is between them.
     """
     wide = F.filter(edges, lambda e: e["inner"] != 0)
-    rounds = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
 
     def merge(bits: Column, pairs: Column) -> Column:
         ready = F.filter(pairs, lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bits.bitwiseAND(e["inner"])) == 1))
         return bits.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
-    return _let(wide, lambda pairs: F.aggregate(rounds, _bit(n + 1) - 1, lambda bits, _: merge(bits, pairs)))
+    # Each merge takes an edge and a boundary.
+    rounds = lambda pairs: F.slice(F.sequence(F.lit(1), n), 1, F.least(n - 1, F.size(pairs)))
+    return _let(wide, lambda pairs: F.aggregate(rounds(pairs), _bit(n + 1) - 1, lambda bits, _: merge(bits, pairs)))
 
 
 def _viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
@@ -205,23 +210,32 @@ def _long_bounds(n: int, edges: list, bpe: bool, unknown: float) -> list[int]:
     return [i for i in range(n + 1) if i in (0, n) or alive[i]]
 
 
+def _lattice(distinct: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """The substrings of distinct(word, ...) that are pieces, with start s and end e; and each word's empty one.
+
+    Both explosions and the broadcast join keep the partitions, so grouping by word moves nothing again.
+    """
+    n = F.length("word")
+    own = distinct.columns
+    starts = distinct.where(n > 0).select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    each = starts.select(*own, "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(F.col("s") + 1), F.least(F.col("s") + most, n))).alias("e"))
+    return each.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(table), "piece")
+
+
 def encode_words(distinct: DataFrame, table: DataFrame, model: dict) -> DataFrame:
     """distinct(word, ...) with ids. table is the model's piece table, whose size the model file fixes."""
     most = max(len(p[0]) for p in model["pieces"])
     bpe = model["bpe"]
     unknown = min((p[2] for p in model["pieces"] if p[3] == NORMAL), default=0.0) - 10
     n = F.length("word")
-    ends = lambda i: F.sequence(i + 1, F.least(i + most, n))
-    substrings = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(ends(i), lambda e: F.struct(i.alias("s"), e.alias("e"), F.substring("word", i + 1, e - i).alias("piece")))))
-    none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("piece")))
     own = distinct.columns
-    # Few enough words a partition to gather their edges in memory. The partitions are kept by the explosion and the
-    # broadcast join, so grouping moves nothing again.
+    # Few enough words a partition to gather their edges in memory.
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // PARTITION_WORDS))
-    lattice = distinct.repartition(parts, "word").where(n > 0).select(*own, F.explode(F.concat(substrings, none)).alias("x")).select(*own, "x.s", "x.e", "x.piece")
-    edges = lattice.join(F.broadcast(table), "piece").groupBy(*own).agg(F.collect_list(F.when(F.col("id") >= 0, F.struct("s", "e", "id", "rank", *([] if bpe else ["score"])))).alias("edges"))
-
-    short = edges.where(n <= FOLD_CHARS)
+    dealt = distinct.repartition(parts, "word")
+    edge = F.struct("s", "e", "id", "rank", *([] if bpe else ["score"]))
+    packed = sum(F.shiftleft(F.col(c).cast("long"), low) for c, low in (("rank", RANK), ("s", START), ("e", END))) + F.col("id")
+    grouped = lambda words, x: _lattice(words, table, most).groupBy(*own).agg(F.collect_list(F.when(F.col("id") >= 0, x)).alias("edges"))
+    short, long = dealt.where(n <= FOLD_CHARS), dealt.where(n > FOLD_CHARS)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def long_bounds(w: pd.Series, e: pd.Series) -> pd.Series:
@@ -235,64 +249,136 @@ def encode_words(distinct: DataFrame, table: DataFrame, model: dict) -> DataFram
     else:
         hexed = lambda c: F.hex(F.encode(c, "UTF-8"))
         spelled = lambda c: F.transform(F.sequence(F.lit(1), F.length(hexed(c)), F.lit(2)), lambda k: F.conv(F.substring(hexed(c), k, F.lit(2)), 16, 10).cast("int") + bytes_at)
+    number = lambda e: e.bitwiseAND(F.lit((1 << END) - 1)).cast("int")
 
-    def piece(start: Column, end: Column) -> Column:
-        hit = F.get(F.filter("edges", lambda e: (e["s"] == start) & (e["e"] == end)), F.lit(0))
-        return _let(hit["id"], lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(spelled(F.substring("word", start + 1, F.lit(1)))))
+    def ids(cuts: Column, find: Callable[[Column, Column], Column]) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            return _let(find(start, end), lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(spelled(F.substring("word", start + 1, F.lit(1)))))
 
-    def ids(cuts: Column) -> Column:
         return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda b, i: piece(b, F.get(cuts, i + 1))))
 
     def from_bits(masked: Column) -> Column:
+        find = lambda s, e: number(F.get(F.filter(masked, lambda x: x["ends"] == _bit(s).bitwiseOR(_bit(e))), F.lit(0))["edge"])
+
         def pick(bits: Column) -> Column:
-            kept = F.filter(masked, lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bits.bitwiseAND(e["inner"])) == 0))
+            kept = F.transform(F.filter(masked, lambda e: (bits.bitwiseAND(e["ends"]) == e["ends"]) & (bits.bitwiseAND(e["inner"]) == 0)), lambda e: e["edge"])
             places = F.filter(F.sequence(F.lit(0), n), lambda i: bits.bitwiseAND(_bit(i)) != 0)
-            whole = lambda k: F.when(F.size(k) == F.bit_count(bits) - 1, F.transform(F.array_sort(k), lambda e: e["id"])).otherwise(_let(places, ids))
+            whole = lambda k: F.when(F.size(k) == F.bit_count(bits) - 1, F.transform(F.sort_array(k), number)).otherwise(_let(places, lambda c: ids(c, find)))
             return _let(kept, whole)
 
         return _let(_merge_fold(n, masked), pick)
 
-    folded = lambda cuts: _let(cuts, ids).alias("ids")
+    find = lambda s, e: F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
+    folded = lambda cuts: _let(cuts, lambda c: ids(c, find)).alias("ids")
     made = _let(_masked(F.col("edges")), from_bits).alias("ids") if bpe else folded(_viterbi_fold(n, F.col("edges"), unknown))
-    long = edges.where(n > FOLD_CHARS).withColumn("bounds", long_bounds("word", "edges"))
-    return short.select(*own, made).unionByName(long.select(*own, folded(F.col("bounds"))))
+    beyond = grouped(long, edge).withColumn("bounds", long_bounds("word", "edges"))
+    return grouped(short, packed if bpe else edge).select(*own, made).unionByName(beyond.select(*own, folded(F.col("bounds"))))
 
 
-def _row_keys() -> list[Column]:
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp")]
+def _separator(texts: pa.Array) -> str:
+    """A code point that none of the texts holds; noncharacters first."""
+    for code in [*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900)]:
+        if not pc.any(pc.match_substring(texts, chr(code))).as_py():
+            return chr(code)
+    raise ValueError("every private code point stands in one batch")
 
 
-def word_hash(ids: Column) -> Column:
-    return F.crc32(F.concat_ws(" ", F.transform(ids, lambda x: x.cast("string"))).cast("binary")) % MODULUS
+class Cutter:
+    """Cuts Arrow batches of texts into words.
+
+    A text is first cut at each space that ends a run of other characters, as no word spans such a space. Each distinct part is cut
+    once: parts of the usual shapes (letters, then marks, over one or two lines) by one Arrow pattern, others by the word pattern.
+    """
+
+    def __init__(self, pieces: list[tuple]) -> None:
+        self.find = re.compile(word_pattern(pieces, PYTHON_CODE)).findall
+        classes = word_classes(pieces, ARROW_CODE)
+        letters, marks = classes if len(classes) == 2 else (None, None)
+        line = lambda k: f"(?P<a{k}>{letters}+)(?P<b{k}>{marks}*)"
+        # A line break is a word of its own unless a piece holds it beside other characters.
+        broken = letters and not any("\n" in p[0] for p in pieces if len(p[0]) > 1)
+        self.usual = letters and f"^{line(0)}" + (f"(?:(?P<n>\n){line(1)})?$" if broken else "$")
+
+    def _parts(self, parts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """Distinct words of the parts, each part's words' numbers, one after another, and where each part's begin."""
+        if self.usual:
+            shape = pc.extract_regex(parts, self.usual)
+            usual = pc.is_valid(shape).to_numpy(zero_copy_only=False)
+            fields = [pc.struct_field(shape, f.name).filter(pa.array(usual)) for f in shape.type]
+        else:
+            usual, fields = np.zeros(len(parts), bool), [pa.array([], pa.string())]
+        if self.usual:
+            fields[0] = pc.binary_join_element_wise(MARK, fields[0], "")
+        lists = [self.find(MARK + t.replace(" ", MARK)) for t in parts.filter(pa.array(~usual)).to_pylist()]
+        each = pa.concat_arrays([*fields, pa.array([w for x in lists for w in x], pa.string())]).dictionary_encode()
+        words, code = each.dictionary, each.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(fields[0])
+        blank = pc.index(words, "").as_py()
+        shaped = code[: n * len(fields)].reshape(len(fields), n).T
+        there = shaped != blank
+        size = np.empty(len(parts), np.int64)
+        size[usual], size[~usual] = there.sum(1), [len(x) for x in lists]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(usual, size)
+        out = np.empty(starts[-1], np.int64)
+        out[owner], out[~owner] = shaped[there], code[n * len(fields) :]
+        return words, out, starts
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, parts' words (numbers, begins), each occurring part's number, and rows' offsets among those."""
+        # A copy of its own: pyarrow 23's if_else misreads slices of large strings.
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+        texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.large_string()), texts)
+        mark = _separator(texts)
+        # Where single spaces part other characters, each of them is such a space.
+        odd = pc.fill_null(pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, f"{MARK} ")), pc.starts_with(texts, " ")), False)
+        cut = pc.replace_substring(texts, " ", mark)
+        if pc.any(odd).as_py():
+            some = pc.if_else(odd, texts, pa.scalar(None, pa.large_string()))
+            cut = pc.if_else(odd, pc.replace_substring_regex(some, f"([^ {MARK}]) ", rf"\1{mark}"), cut)
+        parts, part, off = coded(pc.split_pattern(cut, mark))
+        return *self._parts(parts), part, off
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about TEXT_BYTES of text."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield a, b
+            pa.default_memory_pool().release_unused()
 
 
 def _counted(documents: DataFrame, model: dict) -> DataFrame:
     """(word, c): words and counts of batches of documents."""
-    pattern = word_pattern(model["pieces"], PYTHON_CODE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 4 * ROWS) for whole in batches for k in range(0, whole.num_rows, 4 * ROWS)):
-            tokens, token, _ = coded(b.column(0))
-            lists = [re.findall(pattern, MARK + t.replace(" ", MARK)) for t in tokens.to_pylist()]
-            flat = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
-            times = np.repeat(np.bincount(token, minlength=len(tokens)), [len(x) for x in lists])
-            c = np.bincount(flat.indices.to_numpy(zero_copy_only=False), times, len(flat.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([flat.dictionary, pa.array(c)], ["word", "c"])
+        cutter = Cutter(model["pieces"])
+        for b in batches:
+            for lo, hi in _slices(b.column(0)):
+                words, word, starts, part, _ = cutter(b.column(0).slice(lo, hi - lo))
+                times = np.repeat(np.bincount(part, minlength=len(starts) - 1), np.diff(starts))
+                c = np.bincount(word, times, len(words)).astype(np.int64)
+                seen = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(seen)), pa.array(c[seen])], ["word", "c"])
 
-    return documents.select(raw_tokens(F.col("text")).alias("raw")).mapInArrow(run, "word string, c long")
+    return documents.select("text").mapInArrow(run, "word string, c long")
 
 
 def dictionary(documents: DataFrame, model: dict) -> tuple[DataFrame, int]:
-    """(word, c, ids, h) of every distinct word, and the count from which on a word belongs to the HOT_WORDS."""
+    """(word, c, ids) of every distinct word, and the count from which on a word belongs to the HOT_WORDS."""
     spark = documents.sparkSession
-    counts = cut(_counted(documents, model).groupBy("word").agg(F.sum("c").alias("c")), "words")
-    # Words' edges are gathered in memory, HASHED_WORDS words of a partition at most; beyond that Spark sorts them.
-    before = spark.conf.get(HASH_LIMIT)
-    spark.conf.set(HASH_LIMIT, str(HASHED_WORDS))
-    try:
-        encoded = cut(encode_words(counts, piece_table(spark, model), model).withColumn("h", word_hash(F.col("ids"))), "pieces")
-    finally:
-        spark.conf.set(HASH_LIMIT, before)
+    words, path = scratch(spark, "words"), scratch(spark, "pieces")
+    _counted(documents, model).groupBy("word").agg(F.sum("c").alias("c")).write.parquet(words)
+    # Words' edges are gathered in memory, HASHED_WORDS words of a partition at most; beyond that Spark sorts them. The setting
+    # holds in a session of its own.
+    own = spark.newSession()
+    for name, value in ((HASH_LIMIT, str(HASHED_WORDS)), *((k, spark.conf.get(k)) for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"))):
+        own.conf.set(name, value)
+    encoded = encode_words(own.read.schema("word string, c long").parquet(words), piece_table(own, model), model)
+    encoded.write.parquet(path)
+    encoded = spark.read.schema(encoded.schema).parquet(path)
     # How many words have each count, from the most frequent down.
     spread = encoded.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(HOT_WORDS).toPandas()
     fits = np.flatnonzero(np.cumsum(spread["k"].to_numpy()) <= HOT_WORDS)
@@ -301,10 +387,10 @@ def dictionary(documents: DataFrame, model: dict) -> tuple[DataFrame, int]:
 
 def _frequent(encoded: DataFrame, least: int):
     """The frequent words' pieces as arrays; at most HOT_WORDS rows."""
-    t = encoded.where(F.col("c") >= least).select("word", "ids", "h").toArrow().combine_chunks()
+    t = encoded.where(F.col("c") >= least).select("word", "ids").toArrow().combine_chunks()
     words_, ids = t["word"].combine_chunks().cast(pa.string()), t["ids"].combine_chunks()
     off = ids.offsets.to_numpy()
-    return {"words": words_, "h": t["h"].to_numpy().astype(np.int64), "off": off - off[0], "flat": ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)}
+    return {"words": words_, "off": off - off[0], "flat": ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)}
 
 
 def _gather(values: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,89 +400,71 @@ def _gather(values: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.
     return values[np.arange(ends[-1]) + np.repeat(off[:-1][index] - ends[:-1], size)], ends
 
 
-def _places(raw: pa.ListArray, pattern: str, hot: dict) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows' words: the distinct ones, each occurrence's number, rows' offsets, numbers among the hot ones, places."""
-    find = re.compile(pattern).findall
-    tokens, token, ends = coded(raw)
-    lists = [find(MARK + t.replace(" ", MARK)) for t in tokens.to_pylist()]
-    flat = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    index, begins = _gather(flat.indices.to_numpy(zero_copy_only=False), starts, token)
-    off = begins[ends]
-    at = pc.fill_null(pc.index_in(flat.dictionary, value_set=hot["words"]), -1).to_numpy(zero_copy_only=False)
-    return flat.dictionary, index, off, at, np.arange(len(index)) - np.repeat(off[:-1], np.diff(off)) + 1
+def _known(words: pa.StringArray, names: pa.StringArray) -> np.ndarray:
+    """Each word's number among the names, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False)
+
 
+def _row_key() -> list[Column]:
+    """What tells rows of documents apart, but for rows with equal texts: these have the same words."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64("text")]
 
-def _looked_up(documents: DataFrame, model: dict, sent) -> DataFrame:
-    """Per row: words, pieces and checksum of its frequent words, and the others as (place, word)."""
 
-    pattern = word_pattern(model["pieces"], PYTHON_CODE)
+def _rare_words(documents: DataFrame, model: dict, sent) -> DataFrame:
+    """(did, fp, word): each row's distinct words that are not among the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = sent.value
-        size = np.diff(hot["off"])
-        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
-            vocabulary, index, off, at, place = _places(b.column(2), pattern, hot)
-            p = at[index] if len(index) else np.empty(0, np.int64)
-            known = p >= 0
-            n = sums(np.where(known, size[p], 0) if len(hot["h"]) else np.zeros(len(p)), off)
-            part = np.where(known, hot["h"][p] * (place % MODULUS) % MODULUS, 0) if len(hot["h"]) else np.zeros(len(p), np.int64)
-            total = np.concatenate([[0], np.cumsum(part)])
-            rare = np.flatnonzero(~known)
-            cold = pa.StructArray.from_arrays([pa.array(place[rare].astype(np.int32)), vocabulary.take(pa.array(index[rare]))], ["i", "w"])
-            ends = np.searchsorted(rare, off).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array((total[off[1:]] - total[off[:-1]]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), cold)],
-                ["doc_id", "fp", "n_words", "n", "c", "cold"],
-            )
-
-    rows = documents.select(*_row_keys(), raw_tokens(F.col("text")).alias("w"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n_words long, n long, c long, cold array<struct<i: int, w: string>>")
-
-
-def encode(documents: DataFrame, model: dict) -> DataFrame:
-    """Per row of documents(doc_id, text): doc_id, n_words, n_pieces and checksum.
-
-    checksum is the sum over words of the word's place (from 1) times the CRC-32 of its ids, modulo 2**31 - 1.
-    """
-    encoded, least = dictionary(documents, model)
-    sent = documents.sparkSession.sparkContext.broadcast(_frequent(encoded, least))
-    rows = cut(_looked_up(documents, model, sent), "lookups")
-    did = F.coalesce("doc_id", F.lit(-(2**63))).alias("did")
-    cold = rows.select(did, "fp", F.explode("cold").alias("x")).select("did", "fp", "x.i", F.col("x.w").alias("word")).distinct()
-    cold = cold.join(encoded.select("word", "ids", "h"), "word").groupBy("did", "fp")
-    cold = cold.agg(F.sum(F.size("ids")).alias("n2"), F.sum(F.col("h") * F.col("i") % MODULUS).alias("c2"))
-    out = rows.select("doc_id", did, "fp", "n_words", "n", "c").join(cold, ["did", "fp"], "left")
-    return out.select("doc_id", "n_words", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n_pieces"), ((F.col("c") + F.coalesce("c2", F.lit(0))) % MODULUS).alias("checksum"))
+        cutter, hot = Cutter(model["pieces"]), sent.value
+        for b in batches:
+            for lo, hi in _slices(b.column(2)):
+                words, word, starts, part, off = cutter(b.column(2).slice(lo, hi - lo))
+                rare = _known(words, hot["words"]) < 0
+                # Parts with a rare word are few; each row's (row, word) pairs once.
+                odd = np.add.reduceat(np.append(rare[word], False), starts[:-1]) > 0 if len(starts) > 1 else np.zeros(0, bool)
+                at = np.flatnonzero(odd[part])
+                inside, begins = _gather(word, starts, part[at])
+                row = np.repeat(np.searchsorted(off, at, "right") - 1, np.diff(begins))
+                keep = rare[inside]
+                pair = np.unique(row[keep] * len(words) + inside[keep])
+                rows = pa.array(lo + pair // max(len(words), 1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), words.take(pa.array(pair % max(len(words), 1)))], ["did", "fp", "word"])
+
+    return documents.select(*_row_key(), "text").mapInArrow(run, "did long, fp long, word string")
 
 
 def encode_ids(documents: DataFrame, model: dict) -> DataFrame:
-    """documents with the column ids: the piece ids of each whole text."""
+    """documents with the column ids: the piece ids of each whole text; a column ids is replaced."""
     encoded, least = dictionary(documents, model)
     sent = documents.sparkSession.sparkContext.broadcast(_frequent(encoded, least))
-    keep = [c for c in documents.columns if c != "ids"]
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    docs = documents.select(*keep).withColumns({"_did": did, "_fp": F.xxhash64("text")})
-    rare = _looked_up(documents, model, sent).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_did"), F.col("fp").alias("_fp"), F.explode("cold").alias("x")).select("_did", "_fp", F.col("x.w").alias("word")).distinct()
-    rare = rare.join(encoded.select("word", "ids"), "word").groupBy("_did", "_fp").agg(F.collect_list(F.struct("word", "ids")).alias("_rare"))
-    joined = docs.join(rare, ["_did", "_fp"], "left")
-
-    pattern = word_pattern(model["pieces"], PYTHON_CODE)
+    own = [c for c in documents.columns if c != "ids"]
+    # The caller's columns go by numbers on the way, so none can clash with those added here.
+    did, fp = _row_key()
+    docs = documents.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)), did.alias("did"), fp.alias("fp"))
+    rare = _rare_words(documents, model, sent).join(encoded.select("word", "ids"), "word")
+    # As a set: rows that repeat doc_id and text give the same words.
+    rare = rare.groupBy("did", "fp").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def assemble(w: pa.Array, extra: pa.Array) -> pa.Array:
-        hot = sent.value
-        vocabulary, index, off, at, _ = _places(w, pattern, hot)
-        # The frequent words' pieces and these rows' rare ones in one table.
-        cold = pc.list_flatten(extra)
-        names, lists = pc.struct_field(cold, "word").cast(pa.string()), pc.struct_field(cold, "ids")
-        flat = np.concatenate([hot["flat"], pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32)])
-        table = np.concatenate([hot["off"], hot["off"][-1] + np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        rare = pc.fill_null(pc.index_in(vocabulary, value_set=names), -1).to_numpy(zero_copy_only=False) + len(hot["h"])
-        ids, ends = _gather(flat, table, np.where(at >= 0, at, rare)[index])
-        return pa.ListArray.from_arrays(pa.array(ends[off], pa.int32()), pa.array(ids))
-
-    return joined.withColumn("ids", assemble(raw_tokens(F.col("text")), F.col("_rare"))).drop("_did", "_fp", "_rare")
+    def assemble(texts: pa.Array, extra: pa.Array) -> pa.Array:
+        cutter, hot, made = Cutter(model["pieces"]), sent.value, []
+        for lo, hi in _slices(texts):
+            words, word, starts, part, off = cutter(texts.slice(lo, hi - lo))
+            # The frequent words' pieces and these rows' rare ones in one table.
+            cold = pc.list_flatten(extra.slice(lo, hi - lo))
+            names, lists = pc.struct_field(cold, "word").cast(pa.string()), pc.struct_field(cold, "ids")
+            flat = np.concatenate([hot["flat"], pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32)])
+            table = np.concatenate([hot["off"], hot["off"][-1] + np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            at = _known(words, hot["words"])
+            at = np.where(at >= 0, at, _known(words, names) + len(hot["words"]))
+            # Words' pieces make parts' pieces, and these the rows'.
+            of_part, begins = _gather(flat, table, at[word])
+            ids, ends = _gather(of_part, begins[starts], part)
+            made.append(pa.ListArray.from_arrays(pa.array(ends[off], pa.int32()), pa.array(ids)))
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+
+    text = f"c{[c.lower() for c in own].index('text')}"
+    joined = docs.join(rare, ["did", "fp"], "left")
+    return joined.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(own)), assemble(text, "rare").alias("ids"))
 
 
 def decode(encoded: DataFrame, model: dict, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -404,10 +472,22 @@ def decode(encoded: DataFrame, model: dict, ids: str = "ids", into: str = "decod
     spell = [bytes([int(p[0][3:5], 16)]) if p[3] == BYTE else p[0].replace(MARK, " ").encode() if p[3] == NORMAL else " \u2047 ".encode() if p[3] == UNKNOWN else b"" for p in model["pieces"]]
     sent = encoded.sparkSession.sparkContext.broadcast(spell)
 
-    @F.pandas_udf(T.StringType())
-    def text(lists: pd.Series) -> pd.Series:
-        table = sent.value
-        out = [None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in lists]
-        return pd.Series([x[1:] if x and x[0] == " " else x for x in out], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def text(lists: pa.Array) -> pa.Array:
+        table, made = pa.array(sent.value, pa.large_binary()), [pa.array([], pa.large_string())]
+        step = max(1, len(lists) * TEXT_BYTES // max(8 * len(pc.list_flatten(lists)), 1))
+        for k in range(0, len(lists), step):
+            some = lists.slice(k, step)
+            bytes_ = table.take(pc.list_flatten(some))
+            size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False))])
+            ends = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset :][size] if len(bytes_) else np.zeros(len(size), np.int64)
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends.astype(np.int64)), bytes_.buffers()[2] if len(bytes_) else pa.py_buffer(b"")])
+            rows = pc.if_else(pc.is_valid(some), rows, pa.scalar(None, pa.large_binary()))
+            try:
+                rows = rows.cast(pa.large_string())
+            except pa.ArrowInvalid:  # ids that no text has
+                rows = pa.array([None if x is None else x.decode("utf-8", "replace") for x in rows.to_pylist()], pa.large_string())
+            made.append(pc.if_else(pc.starts_with(rows, " "), pc.utf8_slice_codeunits(rows, 1), rows))
+        return pa.concat_arrays(made).cast(pa.string())
 
     return encoded.withColumn(into, text(ids))

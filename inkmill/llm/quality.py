@@ -5,7 +5,7 @@ feature AGAIN. A token's vector is the mean of the vectors of its word hash and
 a document's the mean over its tokens, and two softmax outputs give the class.
 
 The model is fitted on at most ``train_rows`` labels (those with the smallest hash of doc_id) whose texts have at most
-``train_chars`` characters, so what reaches the driver is bounded; scoring reads every whole text. As softmax of a mean
+``train_chars`` characters each and ``train_text`` together, by one task, whose memory that bounds; scoring reads every whole text. As softmax of a mean
 is a function of the mean of scalars, scoring needs one scalar a distinct token.
 
 Nulls and odd input: null or empty text has a zero vector and gets the bias's score. Null labels and labels of
@@ -15,20 +15,25 @@ only, every score is that class's share (0.5 without labels). Extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .subwords import code_points, coded, gram_hashes, sums
+from .subwords import by_slices, code_points, coded, gram_hashes, sums
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (2, 3, 4, 5)
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_TEXT = 4000, 20_000, 24_000_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 AGAIN = BUCKETS - 1
 #: Distinct tokens worked on at a time, which bounds a task's memory.
 PIECE = 40_000
+#: Rows that a task scores at a time.
+ROWS = 2500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -54,22 +59,36 @@ def token_features(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
 
 
-def _means(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.stack([sums(rows[:, d], offsets) for d in range(rows.shape[1])], 1) / np.maximum(np.diff(offsets), 1)[:, None]
+def _weighted_features(words: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's distinct features and their weights in its mean."""
+    vocabulary, index, off = coded(words)
+    ids, size = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for a in range(0, len(vocabulary), PIECE):
+        feature, ends = token_features(vocabulary.slice(a, PIECE))
+        ids.append(feature.astype(np.int32))
+        size.append(np.diff(ends))
+    ids, size = np.concatenate(ids), np.concatenate(size)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    rows = []
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        token, count = np.unique(index[a:b], return_counts=True)
+        again = int((index[a + 1 : b] == index[a : b - 1]).sum()) if b > a else 0
+        at = np.arange(size[token].sum()) + np.repeat(begins[token] - (np.cumsum(size[token]) - size[token]), size[token])
+        total = np.bincount(ids[at], np.repeat(count / size[token], size[token]), BUCKETS)
+        total[AGAIN] += again
+        features = np.flatnonzero(total)
+        rows.append((features.astype(np.int32), (total[features] / max(b - a + again, 1)).astype(np.float32)))
+    return rows
 
 
 def fit(words: pa.ListArray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> dict[str, np.ndarray]:
     """Vectors, outputs and bias from token lists and 0/1 labels, by stochastic gradient descent."""
-    vocabulary, index, off = coded(words)
-    ids, ends = token_features(vocabulary)
+    weighted = _weighted_features(words)
     rng = np.random.default_rng(seed)
     vectors, outputs = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, 2))
     share = np.clip(labels.mean(), 0.02, 0.98)
     bias = np.log(np.array([1 - share, share]))
     outputs[:] = rng.normal(0, 0.1, outputs.shape)
-    again = np.zeros(len(index), bool)
-    again[1:] = index[1:] == index[:-1]
-    again[off[:-1][off[:-1] < len(index)]] = False
     steps, step = epochs * -(-len(labels) // BATCH), 0
     for _ in range(epochs):
         order = rng.permutation(len(labels))
@@ -77,31 +96,17 @@ def fit(words: pa.ListArray, labels: np.ndarray, epochs: int = EPOCHS, seed: int
             rate = RATE * (1 - step / steps)
             step += 1
             docs = order[at : at + BATCH]
-            spans = [np.arange(off[d], off[d + 1]) for d in docs]
-            rows = np.repeat(np.arange(len(docs)), [len(s) for s in spans])
-            where = np.concatenate(spans) if spans else np.empty(0, np.int64)
-            used, local = np.unique(index[where], return_inverse=True)
-            feature_at = np.concatenate([np.arange(ends[u], ends[u + 1]) for u in used]) if len(used) else np.empty(0, np.int64)
-            feats, bounds = ids[feature_at], np.concatenate([[0], np.cumsum(ends[used + 1] - ends[used])])
-            token = np.vstack([_means(vectors[feats], bounds), vectors[AGAIN]])
-            rep = again[where]
-            # Token counts of each document, the AGAIN feature among them.
-            cell_row, cell_col = np.concatenate([rows, rows[rep]]), np.concatenate([local, np.full(rep.sum(), len(used))])
-            total = np.maximum(np.bincount(cell_row, minlength=len(docs)), 1)
-            mean = np.stack([np.bincount(cell_row, token[cell_col, d], len(docs)) for d in range(DIM)], 1) / total[:, None]
+            rows = [weighted[d] for d in docs]
+            mean = np.stack([w @ vectors[f] for f, w in rows])
             logit = mean @ outputs + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(docs)), labels[docs]] -= 1
-            back = (p @ outputs.T) / total[:, None]
+            back = (p @ outputs.T) * (rate * 10)
             outputs -= rate * mean.T @ p
             bias = bias - rate * 0.1 * p.mean(0)
-            grad = np.stack([np.bincount(cell_col, back[cell_row, d], len(used) + 1) for d in range(DIM)], 1)
-            vectors[AGAIN] -= rate * 10 * grad[-1]
-            size = np.diff(bounds)
-            share_of = np.repeat(grad[:-1] / np.maximum(size, 1)[:, None], size, axis=0) * (rate * 10)
-            for d in range(DIM):
-                vectors[:, d] -= np.bincount(feats, share_of[:, d], BUCKETS)
+            for (f, w), g in zip(rows, back, strict=True):
+                vectors[f] -= w[:, None] * g  # a row's features are distinct
     return {"scalar": (vectors @ (outputs[:, 1] - outputs[:, 0])).astype(np.float32), "bias": np.float64(bias[1] - bias[0])}
 
 
@@ -124,19 +129,33 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> dict[str, np.ndarray]:
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_text: int = TRAIN_TEXT) -> dict[str, np.ndarray]:
     """A model from labels(doc_id, label) outside the held-out fold; the bounds are documented parameters."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1))
     # The sample is drawn from the labels, so texts of other rows never move.
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows))  # train_rows rows
     sample = documents.select("doc_id", "text").where(F.length("text") <= train_chars).join(chosen, "doc_id")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(train_rows)
-    rows = sample.select(tokens(F.col("text")).alias("w"), F.col("y").cast("int").alias("y")).toArrow()
-    y = rows["y"].to_numpy().astype(np.int64)
+    # One task fits the model: the sample stays on the executors, and only the weights come to the driver.
+    found = sample.select(tokens(F.col("text")).alias("w"), F.col("y").cast("long").alias("y"), F.length("text").alias("n")).coalesce(1).mapInArrow(partial(_fitted, train_text), "scalar binary, bias double").first()
+    if found is None:  # no labels, and so no task
+        return {"scalar": np.zeros(BUCKETS, np.float32), "bias": np.float64(0)}
+    return {"scalar": np.frombuffer(found["scalar"], np.float32), "bias": np.float64(found["bias"])}
+
+
+def _fitted(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (w, y, n) whose lengths n add up to at most ``most``, as one row."""
+    parts = list(batches)
+    y, n = (np.concatenate([np.empty(0, np.int64), *(b.column(k).to_numpy() for b in parts)]) for k in (1, 2))
+    y = y[np.cumsum(n) <= most]
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        return {"scalar": np.zeros(BUCKETS, np.float32), "bias": np.float64(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))}
-    return fit(rows["w"].combine_chunks().cast(pa.list_(pa.string())), y)
+        model = {"scalar": np.zeros(BUCKETS, np.float32), "bias": np.log(max(share, 1e-3) / max(1 - share, 1e-3))}
+    else:
+        model = fit(pa.concat_arrays([b.column(0) for b in parts]).slice(0, len(y)), y)
+    del parts
+    pa.default_memory_pool().release_unused()
+    yield pa.RecordBatch.from_arrays([pa.array([model["scalar"].tobytes()], pa.binary()), pa.array([float(model["bias"])])], ["scalar", "bias"])
 
 
 def chance(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> Column:
@@ -145,7 +164,7 @@ def chance(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> C
 
     @F.arrow_udf(T.DoubleType())
     def run(words: pa.Array) -> pa.Array:
-        return pa.array(score_lists(words, sent.value))
+        return by_slices(lambda some: pa.array(score_lists(some, sent.value)), words, ROWS, pa.float64())
 
     return run(tokens(text))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,3 +44,20 @@ def coded(words: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     off = words.offsets.to_numpy()
     flat = words.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
     return flat.dictionary.cast(pa.string()), flat.indices.to_numpy(zero_copy_only=False), off - off[0]
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, which bounds a task's memory; what a slice took is given back before the next."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+            pa.default_memory_pool().release_unused()
+
+
+def by_slices(work: Callable[[pa.Array], pa.Array], column: pa.Array, rows: int, kind: pa.DataType) -> pa.Array:
+    """work over a column a few rows at a time."""
+    made = [pa.array([], kind)]
+    for k in range(0, len(column), rows):
+        made.append(work(column.slice(k, rows)))
+        pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(made)

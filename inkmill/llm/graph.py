@@ -12,16 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates the large-star and small-star steps: every node's neighbours are hung on its smallest neighbour,
-    by a grouped minimum and an equi-join, so no neighbour list is ever gathered. Null ends and loops are
-    dropped; an empty table gives an empty table.
+    by a grouped minimum and an equi-join, so no neighbour list is ever gathered. Minima are written before they are
+    joined, so that Spark deals the rows of a node with many neighbours anew. Null ends and loops are dropped; an
+    empty table gives an empty table.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e = cut(small, "edges")

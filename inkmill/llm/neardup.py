@@ -14,9 +14,13 @@ join: shingles ordered by rarity, the lists of those that a partner must share,
 in lists still open, all pairs across components that are within the signature distance, each in one of its lists. No
 pair is given up: a list costs more only while texts in it stay unlinked.
 
-Nulls and odd input: null or empty text has an empty set and links with nothing. A null doc_id is never a
-component's id; such a row gets the component of its class, or null. Rows that repeat a doc_id are one node.
-Repeated rows stay repeated. Extra columns are ignored. An empty table gives an empty table.
+A key that many nodes share, and a node that many pairs share, are split: grouped minima are written before they are joined,
+so that Spark deals a large key's rows anew, and a node's pairs meet its set in blocks of PAIRS.
+
+Nulls and odd input: null or empty text has an empty set and links with nothing. Texts are linked, not ids: rows that repeat a
+doc_id are in one component only if their texts are, and each gets the smallest doc_id of its own component. A row without
+a doc_id links texts as any other; it is never a component's id, and a component of such rows only has none. Repeated rows stay
+repeated. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if, cut
 from .graph import components
+from .subwords import in_slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS, CHUNK = 48, 4
@@ -40,6 +45,10 @@ LOW, HIGH = (sum(((1 << BITS) - 1 if low else 1 << BITS) << (LANE * k) for k in
 #: Two signatures this far apart or less share a bucket.
 MOST_DIFFERENCES = 2 * (SYMBOLS // CHUNK) - 1
 BROADCAST_NODES = 200_000
+#: Rows that a Python worker works on at a time.
+ROWS = 1000
+#: Pairs of a node that meet its set at once.
+PAIRS = 512
 #: Rounds of smallest partners in the lists of the prefix join, before pairs across components are formed.
 ROUNDS = 2
 
@@ -57,7 +66,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _shingle_sets(words: pa.ListArray, size: int) -> list[np.ndarray]:
     """Each row's sorted distinct shingle hashes from its word hashes."""
-    h, off = words.values.to_numpy(zero_copy_only=False).view(np.uint64), words.offsets.to_numpy()
+    off = words.offsets.to_numpy()
+    h, off = words.values[off[0] : off[-1]].to_numpy(zero_copy_only=False).view(np.uint64), off - off[0]
     c = _WORD_MULTIPLIERS
     rolled = _mix(sum(h[i : len(h) - size + 1 + i] * c[i] for i in range(size))) if len(h) >= size else h[:0]
     sets = []
@@ -106,48 +116,58 @@ def _alike(a: Column, b: Column) -> Column:
 
 def _hashed_words(documents: DataFrame) -> DataFrame:
     w = F.coalesce(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
-    return documents.select("doc_id", F.transform(w, lambda x: F.xxhash64(x)).alias("w"))
+    return documents.select(*(c for c in documents.columns if c != "text"), F.transform(w, lambda x: F.xxhash64(x)).alias("w"))
+
+
+def _keyed_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def sketches(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n (set size), digest and sig (both null for an empty set) of documents(doc_id, text)."""
+    """doc_id, fp (hash of the text), n (set size), digest and sig (both null for an empty set) of documents(doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = _shingle_sets(b.column(1), shingle)
+        for b in in_slices(batches, ROWS):
+            sets = _shingle_sets(b.column(2), shingle)
             full = [s for s in sets if len(s)]
             packed = _packed(_signatures(full)) if full else pa.array([], pa.list_(pa.int64()))
             row = np.cumsum([0, *(len(s) > 0 for s in sets[:-1])])
             sig = packed.take(pa.array([int(r) if len(s) else None for r, s in zip(row, sets, strict=True)], pa.int64()))
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), sig], ["doc_id", "n", "digest", "sig"])
+            digest = pa.array(map(_digest, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), digest, sig], ["doc_id", "fp", "n", "digest", "sig"])
 
-    return _hashed_words(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "w").mapInArrow(make, "doc_id long, n long, digest binary, sig array<long>")
+    return _hashed_words(_keyed_texts(documents)).mapInArrow(make, "doc_id long, fp long, n long, digest binary, sig array<long>")
 
 
 def _sets_of(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node and its full set, for the documents that nodes(node) names."""
-    nodes = cut(nodes, "nodes")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.join(broadcast_if(nodes, nodes.count(), BROADCAST_NODES), F.col("doc_id") == F.col("node"), "left_semi")
+    """node and its full set, of nodes(node, digest, doc_id, fp), from the row of documents that doc_id and fp name."""
+    nodes = cut(nodes.select("node", "digest", F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "nodes")
+    n = nodes.count()
+    docs = _keyed_texts(documents).join(broadcast_if(nodes, n, BROADCAST_NODES), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = _shingle_sets(b.column(1), shingle)
+        for b in in_slices(batches, ROWS):
+            sets = _shingle_sets(b.column(2), shingle)
+            own = [d == _digest(s) for d, s in zip(b.column(1).to_pylist(), sets, strict=True)]
+            sets = [s for s, ok in zip(sets, own, strict=True) if ok]
             off = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(own, pa.bool_())), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], ["node", "set"])
 
-    return cut(_hashed_words(docs).mapInArrow(make, "node long, set array<long>"), "sets")
+    sets = cut(_hashed_words(docs.select("node", "digest", "text")).mapInArrow(make, "node long, set array<long>"), "sets")
+    # Rows that repeat both doc_id and text give their node's set again.
+    return sets if sets.count() == n else cut(sets.dropDuplicates(["node"]), "sets")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
     """(key, node): each chunk of a signature with each one of its symbols left out."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in in_slices(batches, ROWS):
             sig = _unpacked(b.column(1)).astype(np.uint64)
             keys = []
             for c in range(0, SYMBOLS, CHUNK):
@@ -162,14 +182,17 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("node", "sig").mapInArrow(make, "key long, node long")
 
 
-def _confirm(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(documents, nodes, shingle)
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity. A node's set meets its pairs in blocks of PAIRS."""
+    blocks = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("blocks")), "blocks")
+    hubs = blocks.where("blocks > 1")
+    n_hubs = hubs.count()
+    part = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int")
+    left = pairs.join(broadcast_if(hubs, n_hubs, BROADCAST_NODES), "a", "left").select("a", "b", part.alias("part"))
+    left = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+    right = sets.withColumnRenamed("node", "a").join(blocks, "a").select("a", F.col("set").alias("a_set"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b").distinct()
+    return left.join(right, ["a", "part"]).where(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,14 +202,14 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members(key, node, ...) of the keys whose members are not in one component."""
     found = _labelled(members, labels).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(found.where("lo <> hi").select("key"), "key")
+    return members.join(cut(found.where("lo <> hi").select("key"), "open"), "key")
 
 
 def _smallest(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Each node with the smallest among the first members of its keys that is alike and in another component."""
     m = _labelled(members, labels) if labels else members.withColumn("component", F.col("node"))
     low = m.groupBy("key").agg(F.min(F.struct("node", "component", "sig")).alias("x"))
-    low = low.select(F.col("key").alias("k"), F.col("x.node").alias("low"), F.col("x.component").alias("c"), F.col("x.sig").alias("low_sig"))
+    low = cut(low.select(F.col("key").alias("k"), F.col("x.node").alias("low"), F.col("x.component").alias("c"), F.col("x.sig").alias("low_sig")), "first")
     fits = (m["key"] == low["k"]) & (m["component"] != low["c"]) & _alike(m["sig"], low["low_sig"])
     return m.join(low, fits).groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
 
@@ -222,20 +245,24 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.where(keep > 0).select("node", "n", first.alias("first"), F.transform(F.slice("shared", 1, keep), lambda x: x["key"]).alias("prefix"))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of documents(doc_id, text)."""
+def _components(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """doc_id, fp, n, digest and component_id of every row, and component, which also tells components without a doc_id apart."""
     rows = cut(sketches(documents, shingle), "sketches")
-    classes = cut(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "sig").agg(F.min("doc_id").alias("node")), "classes")
+    # Nodes are numbered as they are written, so no two classes share one, whatever their doc_ids.
+    classes = rows.where("digest IS NOT NULL").groupBy("digest", "sig").agg(F.min(F.struct("doc_id", "fp")).alias("x"), F.min("doc_id").alias("low_id"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "sig", "x.doc_id", "x.fp", "low_id"), "classes")
     reps = classes.select("node", "sig")
     keys = _keys(reps)
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
     members = cut(keys.join(shared, "key").join(reps, "node").select("key", "node", "sig"), "buckets")
-    confirm = lambda pairs: cut(_confirm(cut(pairs, "pairs"), documents, shingle, percent), "links")
+    # Texts are read again once, those of the nodes that share a bucket.
+    sets = _sets_of(documents, classes.join(members.select("node").distinct(), "node", "left_semi"), shingle)
+    confirm = lambda pairs: cut(_confirm(cut(pairs, "pairs"), sets, percent), "links")
 
     links = confirm(_smallest(members))
     labels = cut(components(links), "labels")
-    crowd = cut(_open(members, labels).select("node").distinct(), "crowd")
-    prefixes = cut(_prefixes(_sets_of(documents, crowd, shingle), percent), "prefixes")
+    crowd = _open(members, labels).select("node").distinct()
+    prefixes = cut(_prefixes(sets.join(crowd, "node", "left_semi"), percent), "prefixes")
     lists = cut(prefixes.select("node", F.explode("prefix").alias("key")).join(reps, "node").select("key", "node", "sig"), "lists")
     for _ in range(ROUNDS):
         links = links.unionByName(confirm(_smallest(_open(lists, labels), labels)))
@@ -244,24 +271,37 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5) -
     links = links.unionByName(confirm(_across(rest, labels, percent)))
     labels = cut(components(links), "labels")
 
-    per_class = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = rows.join(per_class, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    # A doc_id that stands in several classes is one node, and so in one component.
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    per_class = cut(_labelled(classes.select("node", "digest", "low_id"), labels), "classes")
+    ids = per_class.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    per_class = cut(per_class.join(ids, "component").select("digest", "component", "component_id"), "classes")
+    return rows.select("doc_id", "fp", "n", "digest").join(per_class, "digest", "left")
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of documents(doc_id, text)."""
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = _components(documents, percent, shingle)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(documents: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id, with its own columns.
+    """One row of each group of near-duplicates, with its own columns.
 
-    Of rows that repeat a doc_id the one whose text has the smallest hash stays. Rows without a doc_id stay.
+    That of the smallest doc_id stays (null last), then that whose text has the smallest hash; of rows that repeat both, one. Rows
+    without words are in no group and all stay.
     """
-    found = cut(near_duplicates(documents, percent, shingle), "decisions")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    if repeated.isEmpty():
+    found = cut(_components(documents, percent, shingle), "decisions")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    best = cut(found.where("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("x")).select("component", F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "best")
+    each = found.where("component IS NOT NULL").join(best, "component").select("doc_id", "fp", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).alias("stays"))
+    named = each.groupBy("doc_id", "fp", "stays").agg(F.count("*").alias("n"))
+    named = cut(named.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("stays").alias("_stays")), "named")
+    of = lambda side: F.col("_doc.doc_id").cast("long").eqNullSafe(side["_id"]) & (F.col("_hash") == side["_fp"])
+    docs = documents.select(F.struct(*documents.columns).alias("_doc"), F.xxhash64("text").alias("_hash"))
+    left = docs.join(broadcast_if(named, named.count(), BROADCAST_NODES), of(named), "left_anti").select("_doc.*")
+    many = named.where("_stays")
+    n_many = many.count()
+    if not n_many:
         return left
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    many = left.join(repeated, "doc_id", "left_semi").select("*", F.row_number().over(order).alias("_k")).where("_k = 1").select(*documents.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(many)
+    again = docs.join(broadcast_if(many, n_many, BROADCAST_NODES), of(many)).groupBy("_id", "_fp").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+    return left.unionByName(again.select("_doc.*"))

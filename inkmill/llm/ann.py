@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids are fitted on a bounded sample: the sample is bisected at medians down to equal leaves, then a few
-k-means rounds charge full clusters extra. A graph over the centroids is walked in memory by beam search, for vectors
+k-means rounds charge full clusters extra. A graph over the centroids is walked in memory by beam search from SEEDS of them, for vectors
 and queries alike. Each vector goes to its nearest lists, boundary vectors to several: those within a ratio of the
-nearest distance, REPLICAS at most. A query reads those of its nearest lists that are within a ratio of the nearest
-distance. Inner product is turned into distance by one more coordinate, which levels all lengths to the greatest one.
+nearest distance, REPLICAS at most. A query walks to so many of its nearest lists that sampled queries reach RECALL of their
+nearest sampled vectors, and of those it reads the ones within another ratio of the nearest distance, the least that
+leaves RATIO_RECALL of what was reached. Inner product is turned into distance by one more coordinate, which levels all lengths to the
+greatest one.
+
+A query's (k + 2)-th best score within the sample bounds what a list has to send on: lower ones can't be among its k best.
 
 Equal vectors are one entry of the index with their k + 1 smallest ids; as they tie for every query, no others can be
 among its k nearest. Long posting lists, and lists that many queries read, are cut into blocks that meet pairwise,
@@ -31,10 +35,14 @@ from .common import cut
 
 SAMPLE, LIST_SIZE, MAX_LISTS = 32_768, 96, 4096
 REPLICAS, REPLICA_RATIO = 4, 1.10
-#: A query walks to PROBES lists or this share of all lists, whichever is more, before the ratio prunes.
-PROBES, PROBE_SHARE, PROBE_RATIO = 96, 0.125, 1.5
-DEGREE = 24
+#: Share of sampled queries' nearest sampled vectors whose lists the walk must reach, and what share of these the ratio must
+#: leave; how many queries are sampled. Neighbours in the whole table are nearer than those in the sample, and found more often.
+RECALL, RATIO_RECALL, CALIBRATION = 0.955, 0.99, 512
+#: Edges of a centroid, where walks begin, and places that a beam has beyond those asked for.
+DEGREE, SEEDS, SPARE = 24, 8, 16
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows of a distance matrix that are worked out at a time.
+ROWS = 1024
 
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 5, seed: int = 3) -> np.ndarray:
@@ -58,9 +66,12 @@ def fit_centroids(x: np.ndarray, lists: int, rounds: int = 5, seed: int = 3) ->
     centroids = np.stack([x[g].mean(0) for g in groups])
     size, target = np.array([len(g) for g in groups], float), len(x) / len(groups)
     for _ in range(rounds):
-        d = (centroids**2).sum(1)[None] - 2 * x @ centroids.T
-        spread = np.median(d.max(1) - d.min(1))
-        own = (d + 0.02 * spread * np.maximum(size / target - 1, 0)[None]).argmin(1)
+        charge, spread = 0.02 * np.maximum(size / target - 1, 0), None
+        own = np.empty(len(x), np.int64)
+        for a in range(0, len(x), ROWS):
+            d = squared(x[a : a + ROWS], centroids)
+            spread = np.median(d.max(1) - d.min(1)) if spread is None else spread
+            own[a : a + ROWS] = (d + spread * charge[None]).argmin(1)
         size = np.bincount(own, minlength=len(centroids)).astype(float)
         total = np.zeros_like(centroids)
         np.add.at(total, own, x)
@@ -68,21 +79,28 @@ def fit_centroids(x: np.ndarray, lists: int, rounds: int = 5, seed: int = 3) ->
     return centroids
 
 
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of a and b."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
+
+
 def build_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """Neighbour numbers of each centroid: near ones that no nearer chosen one hides, then the nearest left."""
     n = len(c)
     degree = min(degree, max(n - 1, 1))
-    d = np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T, 0)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : min(n - 1, 3 * degree)] if n > 1 else np.zeros((n, 1), int)
     out = np.zeros((n, degree), np.int32)
-    for i in range(n):
-        chosen: list[int] = []
-        for j in near[i]:
-            if len(chosen) < degree // 2 and all(d[i, j] < d[j, k] for k in chosen):
-                chosen.append(j)
-        rest = [j for j in near[i] if j not in chosen]
-        out[i] = (chosen + rest + [i] * degree)[:degree]
+    for a in range(0, n if n > 1 else 0, ROWS):
+        far = squared(c[a : a + ROWS], c)
+        far[np.arange(len(far)), np.arange(a, a + len(far))] = np.inf
+        for i, row in enumerate(far, a):
+            near = np.argsort(row, kind="stable")[: min(n - 1, 3 * degree)]
+            between = squared(c[near], c[near])
+            chosen: list[int] = []
+            for j in range(len(near)):
+                if len(chosen) < degree // 2 and all(row[near[j]] < between[j, k] for k in chosen):
+                    chosen.append(j)
+            order = [*chosen, *(j for j in range(len(near)) if j not in set(chosen))]
+            out[i] = [*near[order], *[i] * degree][:degree]
     return out
 
 
@@ -92,13 +110,16 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np
     norms = (c**2).sum(1)
     own = (q**2).sum(1)[:, None]
     rows = np.arange(len(q))
-    entries = np.unique(np.linspace(0, n - 1, min(n, max(beam, 32))).astype(int))
+    entries = np.unique(np.linspace(0, n - 1, min(n, SEEDS)).astype(int))
     dist = own + norms[entries][None] - 2 * q @ c[entries].T
     seen = np.zeros((len(q), n), bool)
     seen[:, entries] = True
     top = np.argsort(dist, axis=1, kind="stable")[:, :beam]
     ids, best = entries[top], np.take_along_axis(dist, top, 1)
-    done = np.zeros(ids.shape, bool)
+    if ids.shape[1] < beam:  # places that the walk fills
+        room = ((0, 0), (0, beam - ids.shape[1]))
+        ids, best = np.pad(ids, room), np.pad(best, room, constant_values=np.inf)
+    done = ~np.isfinite(best)
     while True:
         turn = np.where(done, np.inf, best).argmin(1)
         live = ~done[rows, turn]
@@ -118,11 +139,11 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np
         done |= ~np.isfinite(best)
 
 
-def _lists(x: np.ndarray, index: dict, beam: int, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) for every row of x: of the nearest lists, those within a ratio of the nearest distance."""
+def near_lists(x: np.ndarray, index: dict, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for every row of x: of its nearest ``most`` lists those within a ratio of the nearest distance."""
     rows, lists = [np.empty(0, int)], [np.empty(0, int)]
-    for a in range(0, len(x), 1024):
-        ids, d = walk(x[a : a + 1024], index["centroids"], index["graph"], beam)
+    for a in range(0, len(x), ROWS):
+        ids, d = walk(x[a : a + ROWS], index["centroids"], index["graph"], most + SPARE)
         ids, d = ids[:, :most], d[:, :most]
         r, k = np.nonzero(np.isfinite(d) & (d <= ratio**2 * d[:, :1] + 1e-12))
         rows.append(r + a)
@@ -130,22 +151,55 @@ def _lists(x: np.ndarray, index: dict, beam: int, most: int, ratio: float) -> tu
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def calibrate(x: np.ndarray, dim: int, centroids: np.ndarray, k: int, recall: float = RECALL) -> tuple[int, float]:
+    """How many nearest lists a query walks to, and the distance ratio that prunes them. x holds vectors with the levelling coordinate."""
+    picked = np.unique(np.linspace(0, len(x) - 1, min(len(x), CALIBRATION)).astype(int))
+    queries = np.column_stack([x[picked, :dim], np.zeros(len(picked))])
+    to = squared(queries, centroids)
+    place = np.argsort(np.argsort(to, axis=1, kind="stable"), axis=1)
+    ranks, ratios = [np.zeros(1, int)], [np.ones(1)]
+    for a in range(0, len(picked) if len(x) > 1 else 0, 64):
+        score = queries[a : a + 64, :dim] @ x[:, :dim].T
+        score[np.arange(len(score)), picked[a : a + 64]] = -np.inf
+        best = np.argpartition(-score, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+        for row, order, near in zip(to[a : a + 64], place[a : a + 64], best, strict=True):
+            d = squared(x[near], centroids)
+            own = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+            at = np.take_along_axis(d, own, 1)
+            rank = np.where(at <= REPLICA_RATIO**2 * at[:, :1], order[own], len(centroids))
+            first = rank.argmin(1)
+            ranks.append(rank.min(1))
+            ratios.append(np.sqrt(row[own[np.arange(len(own)), first]] / max(row.min(), 1e-12)))
+    rank, ratio = np.concatenate(ranks), np.concatenate(ratios)
+    most = int(np.quantile(rank, recall, method="higher")) + 1
+    return most, float(max(np.quantile(ratio[rank < most], RATIO_RECALL), 1.0))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _assigned(entries: DataFrame, index, beam: int, most: int, ratio: float, lift: bool) -> DataFrame:
-    """entries(vk, vec, ids) once for each of their lists. lift: level the lengths, as for candidates."""
+def _assigned(entries: DataFrame, index, most: int, ratio: float, lift: bool, k: int) -> DataFrame:
+    """entries(vk, vec, ids) once for each of their lists. lift: level the lengths, as for candidates.
+
+    least is a score that a query's k nearest reach; for candidates it is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1), index.value["dim"])
                 last = np.sqrt(np.maximum(index.value["level"] - (x**2).sum(1), 0)) if lift else np.zeros(len(x))
-                rows, lists = _lists(np.column_stack([x, last]), index.value, beam, most, ratio)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(k).take(pa.array(rows)) for k in range(3))], ["list", "vk", "vec", "ids"])
+                rows, lists = near_lists(np.column_stack([x, last]), index.value, most, ratio)
+                least = np.full(len(x), np.nan if lift else -np.inf)
+                sample = index.value["sample"]
+                for a in range(0, 0 if lift or len(sample) <= k else len(x), 256):
+                    score = x[a : a + 256] @ sample.T
+                    bound = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
+                    least[a : a + 256] = bound - 1e-9 * np.abs(bound)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(c).take(pa.array(rows)) for c in range(3)), pa.array(least[rows])], ["list", "vk", "vec", "ids", "least"])
 
-    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>")
+    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>, least double")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -163,8 +217,11 @@ def valid_vector(c: Column) -> Column:
     return F.coalesce(c.isNotNull() & fine & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def search(embeddings: DataFrame, is_query: Column, k: int = 20, probes: int = PROBES, probe_ratio: float = PROBE_RATIO) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k nearest found among embeddings(vec_id, embedding)."""
+def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k nearest found among embeddings(vec_id, embedding).
+
+    report, if given, gets the numbers of lists and of queries, the lists that these read, the most they may and the ratio.
+    """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(valid_vector(F.col("v")) & F.col("vec_id").isNotNull())
@@ -188,15 +245,19 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, probes: int = P
     n = entries.count()
     sample = entries.orderBy("vk").limit(SAMPLE).select("vec").toArrow()["vec"]
     level = float(shape["level"]) if shape else 1.0
-    x = _matrix(sample, dim)
-    x = np.concatenate([x, np.sqrt(np.maximum(level - (x**2).sum(1), 0))[:, None]], 1)
+    own = _matrix(sample, dim)
+    x = np.concatenate([own, np.sqrt(np.maximum(level - (own**2).sum(1), 0))[:, None]], 1)
     lists = int(min(max(n // LIST_SIZE, 1), MAX_LISTS, max(len(x) // 4, 1)))
     centroids = fit_centroids(x, lists) if len(x) else np.zeros((1, dim + 1))
-    index = spark.sparkContext.broadcast({"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim})  # MAX_LISTS rows
+    most, ratio = calibrate(x, dim, centroids, k, recall) if len(x) else (1, 1.0)
+    del x
+    index = spark.sparkContext.broadcast({"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim, "sample": own})  # MAX_LISTS and SAMPLE rows
+    del own
 
-    probes = max(probes, int(np.ceil(PROBE_SHARE * len(centroids))))
-    postings = cut(_assigned(entries, index, 4 * REPLICAS, REPLICAS, REPLICA_RATIO, True), "postings")
-    wanted = cut(_assigned(entries.where("q"), index, probes, probes, probe_ratio, False), "wanted")
+    postings = cut(_assigned(entries, index, REPLICAS, REPLICA_RATIO, True, kept + 1), "postings")
+    wanted = cut(_assigned(entries.where("q"), index, most, ratio, False, kept + 1), "wanted")
+    if report is not None:
+        report |= {"lists": len(centroids), "most": most, "ratio": ratio, "read": wanted.count(), "queries": wanted.select("vk").distinct().count()}
 
     # Blocks: (list, i, j) holds block i of the list's vectors and block j of its queries.
     size = lambda df, name, per: df.groupBy("list").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
@@ -204,30 +265,29 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, probes: int = P
     part = lambda n: F.pmod(F.xxhash64("vk"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = postings.join(blocks, "list").select("list", part(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), "vec", "ids")
-    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec")
+    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec", "least")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Each query of a block with its best ids in the block."""
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vk": [], "found": []})
-        x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1) for t in (a, b))
-        near = q @ x.T
-        m = min(len(x), kept + 8)
-        first = np.array([s[0] for s in a["ids"]])
-        found = []
-        for r in range(len(q)):
-            # Every vector that ties with the m-th best stays in.
-            cutoff = np.partition(near[r], len(x) - m)[len(x) - m]
-            c = np.flatnonzero(near[r] >= cutoff - 1e-9 * abs(cutoff))
-            exact = (x[c] * q[r]).sum(1)
-            order = np.lexsort((first[c], -exact))[:kept]
-            pairs = sorted((-exact[o], i) for o in order for i in a["ids"].iat[c[o]])[:kept]
-            found.append([{"score": -s, "id": i} for s, i in pairs])
-        return pd.DataFrame({"vk": b["vk"], "found": found})
-
-    found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "vk string, found array<struct<score: double, id: long>>")
-    order = lambda p, q: F.when(p["score"] > q["score"], -1).when(p["score"] < q["score"], 1).when(p["id"] < q["id"], -1).when(p["id"] > q["id"], 1).otherwise(0)
-    best = found.groupBy("vk").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))), order), 1, kept).alias("found"))
+        made = [pd.DataFrame({"vk": [], "minus": [], "id": []})]
+        if len(a) and len(b):
+            x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1) for t in (a, b))
+            near = q @ x.T
+            m = min(len(x), kept + 8)
+            first = np.array([s[0] for s in a["ids"]])
+            for r in np.flatnonzero(near.max(1) >= b["least"]):
+                # Every vector that ties with the m-th best stays in.
+                cutoff = max(np.partition(near[r], len(x) - m)[len(x) - m], b["least"].iat[r])
+                c = np.flatnonzero(near[r] >= cutoff - 1e-9 * abs(cutoff))
+                exact = (x[c] * q[r]).sum(1)
+                order = np.lexsort((first[c], -exact))[:kept]
+                pairs = sorted((-exact[o], i) for o in order for i in a["ids"].iat[c[o]])[:kept]
+                made.append(pd.DataFrame(pairs, columns=["minus", "id"]).assign(vk=b["vk"].iat[r])[["vk", "minus", "id"]])
+        return pd.concat(made).astype({"minus": float, "id": np.int64})
+
+    found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "vk string, minus double, id long")
+    best = found.groupBy("vk").agg(F.slice(F.sort_array(F.collect_set(F.struct("minus", "id"))), 1, kept).alias("found"))
     answers = _keyed(rows.where("q").where(F.size("v") == dim)).join(best, "vk")
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
+    score = F.when(F.col("x.minus") == 0, 0.0).otherwise(-F.col("x.minus"))
+    return answers.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), score.alias("score"))

@@ -67,14 +67,32 @@ def test_ann(spark):
 
 
 def test_ann_walk_finds_the_nearest_centroids():
-    x = np.random.default_rng(1).normal(size=(400, 8))
-    c = ann.fit_centroids(x, 40)
-    assert len(c) == 40
-    ids, d = ann.walk(x[:50], c, ann.build_graph(c, 8), 20)
-    exact = ((x[:50, None] - c[None]) ** 2).sum(2)
+    x = np.random.default_rng(1).normal(size=(12_000, 12))
+    c = ann.fit_centroids(x, 2400, 2)
+    assert len(c) == 2400 and ann.SEEDS == 8
+    ids, d = ann.walk(x[:200], c, ann.build_graph(c), 40)
+    exact = ann.squared(x[:200], c)
     assert (ids[:, 0] == exact.argmin(1)).mean() >= 0.95 and (np.diff(d, axis=1) >= 0).all()
 
 
+def test_ann_prunes_lists(spark):
+    """Recall of 0.9 from a few of many lists."""
+    rng = np.random.default_rng(3)
+    base = (rng.normal(size=(60, 24))[rng.integers(0, 60, 20_000)] + 0.5 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    df = spark.createDataFrame(enumerate(base.tolist()), "vec_id long, embedding array<float>").repartition(4)
+    report = {}
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, report=report).collect():
+        got[r.query_id].add(r.vec_id)
+    assert report["lists"] >= 200 and report["read"] <= 0.3 * report["lists"] * report["queries"]
+    x, hits = base.astype(float), 0
+    for q in range(0, 20_000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert len(got) == 200 and hits >= 0.9 * 20 * 200
+
+
 # 2
 
 def brute_overlaps(docs, items, window=10):
@@ -289,9 +307,22 @@ def test_pieces(spark, hot, monkeypatch):
     assert len(rows) == len(docs)
     for r in rows:
         assert list(r.ids) == sp.encode(r.text or "") and r.decoded == sp.decode(list(r.ids)) and r.decoded == (r.text or "").replace("▁", " ")
-    sums = sorted((r.n_pieces for r in pieces.encode(d, model).collect()))
-    assert sums == sorted(len(sp.encode(t or "")) for _, t in docs)
-    assert pieces.encode(d.where("false"), model).count() == 0
+    assert pieces.encode_ids(d.where("false"), model).count() == 0
+    odd = spark.createDataFrame([(1, "a b", 7, 8, "x"), (2, None, 9, 9, "y")], "doc_id long, text string, did int, fp int, rare string")
+    assert {(r.did, r.fp, r.rare, tuple(r.ids)) for r in pieces.encode_ids(odd, model).collect()} == {(7, 8, "x", tuple(sp.encode("a b"))), (9, 9, "y", ())}
+
+
+def test_pieces_cuts_texts_as_the_pattern_does():
+    import pyarrow as pa
+
+    model = pieces.read_model(MODEL)
+    find = re.compile(pieces.word_pattern(model["pieces"], pieces.PYTHON_CODE)).findall
+    texts = [*TEXTS, "\ufdd0 a\ufdd0 b", "a\nb", "a,\nb!", "a\n\nb c,;\nd", "x,y z", "a1 b2", "\x00 a", "▁ x ▁ y"]
+    words, word, starts, part, off = pieces.Cutter(model["pieces"])(pa.array(texts))
+    words = words.to_pylist()
+    for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
+        got = [words[k] for p in part[a:b] for k in word[starts[p] : starts[p + 1]]]
+        assert got == (find(pieces.MARK + t.replace(" ", pieces.MARK)) if t else [])
 
 
 def test_pieces_query_gives_ids_and_text(spark, sf):
@@ -374,7 +405,29 @@ def test_near_duplicates(spark):
     assert kept.columns == d.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and set(ids) == {c for i, _, c in brute_groups(docs) if i == c and i is not None}
-    assert neardup.near_duplicates(d.where("false")).count() == 0
+    assert neardup.near_duplicates(d.where("false")).count() == 0 and neardup.deduplicate(d.where("false")).count() == 0
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 2)
+    text = lambda k: " ".join(words(40, k))
+    near = lambda t, k: t.replace(t.split()[0], f"n{k}")
+    a, b, c, d, e, f, g, h, i = map(text, range(61, 70))
+    cases = [
+        ([(5, a), (5, b), (3, a + " "), (7, b)], {(3, a + " "), (5, b)}),
+        ([(15, c), (15, d), (13, near(c, 1)), (19, e)], {(13, near(c, 1)), (15, d), (19, e)}),
+        ([(105, f), (105, f), (106, f), (105, "")], {(105, f), (105, "")}),
+        ([(None, g), (108, near(g, 1)), (104, g)], {(104, g)}),
+        ([(k, near(h, k)) for k in range(220, 232)], {(220, near(h, 220))}),
+    ]
+    docs = [x for rows, _ in cases for x in rows] + [(None, i), (None, near(i, 2)), (1, None), (1, None)]
+    table = frame(spark, docs)
+    got = neardup.near_duplicates(table).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_groups(docs)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    rows = [(r.doc_id, r.text) for r in neardup.deduplicate(table).collect()]
+    assert sorted(x for x in rows if x[0] and x[0] > 1) == sorted(x for _, left in cases for x in left)
+    assert rows.count((1, None)) == 2 and [r[0] for r in rows].count(None) == 1
 
 
 def test_components(spark):

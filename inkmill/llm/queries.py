@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    tokens.write_ids(table(spark, sf_dir, "documents"), path, os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json"))
+    tokens.write_ids(table(spark, sf_dir, "documents"), path, os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("word_bpe_49k.json"))
     return tokens.read_ids(spark, path)
 
 
@@ -61,8 +62,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_model() -> dict:
-    """The public piece model of /opt/tokenizers; elsewhere pass another path to pieces.read_model."""
-    return pieces.read_model(os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"))
+    """The public piece model; elsewhere pass another path to pieces.read_model."""
+    return pieces.read_model(os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

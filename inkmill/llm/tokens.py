@@ -2,9 +2,10 @@
 
 ``write_ids`` encodes whole texts with a tokenizer file of the tokenizers library, ends each document with an end id,
 and writes the ids in ascending doc_id order (null first) as a Parquet table of shards. A shard is compressed by Re-Pair:
-in each round the most frequent pairs of neighbouring symbols are replaced by new symbols, until no pair is
-frequent enough. It stores the rules, the length each rule expands to, and the documents' lengths, so a range of ids is
-decoded from the symbols that overlap it alone (``Shard.ids``). ``read_ids`` gives the documents back.
+in each round frequent pairs of neighbouring symbols are replaced by new symbols, until no pair stands LEAST_COUNT times.
+It stores the rules, the length each rule expands to, the documents' lengths, and every BLOCK symbols the ids before them, so a
+range of ids is decoded from the blocks that overlap it alone (``Shard.ids``). Symbols take three bytes if they can.
+``read_ids`` gives the documents back.
 
 A tokenizer that lowers case, splits at white space and parts letters from marks encodes a text as it encodes its
 words, so each different one is encoded once. ``per_word=False`` turns that off for other tokenizers.
@@ -26,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
 #: Ids a shard holds at least (the last shard of a part holds what is left); documents are never divided.
 SHARD_IDS = 1 << 18
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 4, 4096, 8
+LEAST_COUNT = 8
+#: Symbols between two stored places.
+BLOCK = 1024
 #: Nonterminals are numbered from here; ids must be smaller.
 BASE = 1 << 24
-SLOTS = 1 << 19
 #: Words whose ids a Python worker keeps.
 CACHE_WORDS = 700_000
 SHARD_SCHEMA = "part int, seq int, before long, n_docs int, n_ids long, shard binary"
@@ -44,55 +46,105 @@ _BETWEEN = "~"
 _cache: dict = {}
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+NONE = np.int32(np.iinfo(np.int32).max)
+
+
+def _candidates(x: np.ndarray, least: int) -> np.ndarray:
+    """Where pairs stand whose hashed slot is hit ``least`` times: all that can be frequent, and a few others."""
+    bits = max(10, int(len(x)).bit_length())
+    slot = (((x[:-1] * np.uint32(0x9E3779B1)) ^ (x[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)).astype(np.intp)
+    return np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+
+
+def _ranked(x: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """For each pair of neighbours its rank among those that stand ``least`` times at the places at, most frequent first, or NONE."""
+    out = np.full(len(x) - 1, NONE)
+    key, index, count = np.unique(x[at].astype(np.uint64) << np.uint64(32) | x[at + 1], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count >= least)
+    rank = np.full(len(key), NONE)
+    rank[often[np.argsort(-count[often], kind="stable")]] = np.arange(len(often))
+    out[at] = rank[index]
+    return out
+
+
+def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rules[k] are the two symbols of nonterminal BASE + k, lengths[k] its expansion's length."""
-    x, rules, lengths = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], [np.empty(0, np.int64)]
-    made = 0
-    for _ in range(rounds):
-        if len(x) < 2:
+    x, rules, lengths = ids.astype(np.uint32), np.empty((0, 2), np.uint32), np.empty(0, np.int64)
+    at = _candidates(x, least) if len(x) > 1 else np.empty(0, np.intp)
+    while len(at):
+        r = _ranked(x, at, least)
+        # Of pairs that overlap the more frequent one is replaced; of a run of one symbol every second pair.
+        ranked = np.flatnonzero(r < NONE)
+        padded = np.concatenate([[NONE], r, [NONE]])
+        own, left, right = r[ranked], padded[ranked], padded[ranked + 2]
+        begin = np.maximum.accumulate(np.where(own != left, np.arange(len(ranked)), 0))
+        even = (np.arange(len(ranked)) - begin) % 2 == 0
+        taken = ranked[((own < left) | ((own == left) & even)) & (own <= right)]
+        if not len(taken):
             break
-        slot = ((x[:-1] * np.uint32(0x9E3779B1)) ^ (x[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - 19)
-        # A slot counts the pair that was written into it last; a pair that shares its slot waits for a later round.
-        holder = np.zeros(SLOTS, np.int32)
-        holder[slot] = np.arange(len(slot), dtype=np.int32)
-        at = holder[slot]
-        same = (x[at] == x[:-1]) & (x[at + 1] == x[1:])
-        count = np.bincount(slot[same].astype(np.intp), minlength=SLOTS)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        often = often[np.argsort(-count[often], kind="stable")[:pairs]]
-        rank = np.full(SLOTS, np.iinfo(np.int32).max, np.int32)
-        rank[often] = np.arange(len(often))
-        r = np.where(same, rank[slot], np.iinfo(np.int32).max)
-        left, right = np.concatenate([[np.iinfo(np.int32).max], r[:-1]]), np.concatenate([r[1:], [np.iinfo(np.int32).max]])
-        taken = np.flatnonzero((r < left) & (r <= right) & (r < np.iinfo(np.int32).max))
-        used, number = np.unique(r[taken], return_inverse=True)
-        first = holder[often[used]]
+        place = np.full(int(r[taken].max()) + 1, -1)
+        place[r[taken]] = taken  # where each pair that is replaced stands
+        first = place[place >= 0]
+        number = (np.cumsum(place >= 0) - 1)[r[taken]]
         new = np.stack([x[first], x[first + 1]], 1)
-        size = np.concatenate(lengths)
-        expand = lambda s: np.where(s >= BASE, size[np.maximum(s.astype(np.int64) - BASE, 0)] if len(size) else 1, 1)  # noqa: E731, B023
-        rules.append(new)
-        lengths.append(expand(new[:, 0]) + expand(new[:, 1]))
-        x = x.copy()
-        x[taken] = BASE + made + number
-        made += len(used)
-        keep = np.ones(len(x), bool)
-        keep[taken + 1] = False
-        x = x[keep]
-    return x, np.concatenate(rules), np.concatenate(lengths)
+        size = np.ones((len(new), 2), np.int64)
+        wide = new >= BASE
+        size[wide] = lengths[new[wide] - np.uint32(BASE)]
+        made = len(rules)
+        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size.sum(1)])
+        x[taken] = (BASE + made + number).astype(np.uint32)
+        # Pairs that can be frequent now: those that were and still stand, and those of a new symbol.
+        live, keep = np.zeros(len(x), bool), np.ones(len(x), bool)
+        live[ranked], keep[taken + 1] = True, False
+        live[taken] = True
+        live[np.maximum(taken - 1, 0)] = True
+        before = taken[(taken > 1)] - 2
+        live[before[~keep[before + 1]]] = True  # the symbol before the new one, where it is new itself
+        x, live = x[keep], live[keep]
+        at = np.flatnonzero(live[:-1])
+    return x, rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    x = symbols
-    while len(x) and (wide := x >= BASE).any():
-        at = np.cumsum(1 + wide) - 1 - wide
-        out = np.empty(len(x) + int(wide.sum()), np.uint32)
-        out[at[~wide]] = x[~wide]
-        pair = rules[x[wide] - np.uint32(BASE)]
+    """The ids that symbols stand for: rules are expanded level by level, and symbols then take what their rules stand for."""
+    flat, size = np.arange(BASE, BASE + len(rules), dtype=np.uint32), np.ones(len(rules), np.int64)
+    while len(flat) and (wide := flat >= BASE).any():
+        ends = np.cumsum(1 + wide)
+        out = np.empty(ends[-1], np.uint32)
+        at, pair = ends - 1 - wide, rules[flat[wide] - np.uint32(BASE)]
+        out[at[~wide]] = flat[~wide]
         out[at[wide]], out[at[wide] + 1] = pair[:, 0], pair[:, 1]
-        x = out
-    return x
+        size = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(size)])])
+        flat = out
+    wide = symbols >= BASE
+    rule = symbols[wide] - np.uint32(BASE)
+    each = np.ones(len(symbols), np.int64)
+    each[wide] = size[rule]
+    ends = np.cumsum(each)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+    out[ends[~wide] - 1] = symbols[~wide]
+    begins = np.cumsum(size) - size
+    n = size[rule]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(ends[wide] - n, n) + step] = flat[np.repeat(begins[rule], n) + step]
+    return out
+
+
+def _stored(symbols: np.ndarray, top: int, width: int) -> bytes:
+    """Symbols with nonterminals numbered from top, in width bytes each."""
+    wide = symbols >= BASE
+    out = symbols.astype("<u4")
+    out[wide] = symbols[wide] - np.uint32(BASE - top)
+    return out.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _loaded(data: np.ndarray, top: int) -> np.ndarray:
+    """The symbols of rows of bytes."""
+    out = np.zeros((len(data), 4), np.uint8)
+    out[:, : data.shape[1]] = data
+    out = out.view("<u4").ravel()
+    out[out >= top] += np.uint32(BASE - top)
+    return out
 
 
 class Shard:
@@ -101,41 +153,47 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[:4] != MAGIC:
             raise ValueError("not a shard")
-        docs, rules, symbols = np.frombuffer(data, "<i8", 3, 4)
-        at = 28
+        docs, rules, symbols, self.top, width = (int(v) for v in np.frombuffer(data, "<i8", 5, 4))
+        blocks, at = -(-symbols // BLOCK), 44
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.has_id = np.frombuffer(data, "u1", docs, at := at + 8 * docs).astype(bool)
-        self.sizes = np.frombuffer(data, "<i8", docs, at := at + docs)
-        self.rules = np.frombuffer(data, "<u4", 2 * rules, at := at + 8 * docs).reshape(-1, 2)
-        self.lengths = np.frombuffer(data, "<i8", rules, at := at + 8 * rules)
-        self.symbols = np.frombuffer(data, "<u4", symbols, at + 8 * rules)
+        self.ends = np.cumsum(np.frombuffer(data, "<i8", docs, at := at + docs))
+        self.lengths = np.frombuffer(data, "<i8", rules, at := at + 8 * docs)
+        self.places = np.frombuffer(data, "<i8", blocks, at := at + 8 * rules)
+        self.rules = _loaded(np.frombuffer(data, "u1", 2 * rules * width, at := at + 8 * blocks).reshape(-1, width), self.top).reshape(-1, 2)
+        self.symbols = np.frombuffer(data, "u1", symbols * width, at + 2 * rules * width).reshape(-1, width)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
 
     @staticmethod
     def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
         symbols, rules, lengths = compress(ids)
-        head = np.array([len(doc_ids), len(rules), len(symbols)], "<i8")
+        top = int(ids.max()) + 1 if len(ids) else 0
+        width = 3 if top + len(rules) < 1 << 24 else 4
+        each = np.ones(len(symbols), np.int64)
+        wide = symbols >= BASE
+        each[wide] = lengths[symbols[wide] - np.uint32(BASE)]
+        places = (np.cumsum(each) - each)[::BLOCK]
+        head = np.array([len(doc_ids), len(rules), len(symbols), top, width], "<i8")
         named = np.array([d or 0 for d in doc_ids], "<i8")
-        parts = (head, named, np.array([d is not None for d in doc_ids], "u1"), sizes.astype("<i8"), rules.astype("<u4"), lengths.astype("<i8"), symbols.astype("<u4"))
-        return MAGIC + b"".join(p.tobytes() for p in parts)
+        parts = (head, named, np.array([d is not None for d in doc_ids], "u1"), sizes.astype("<i8"), lengths.astype("<i8"), places.astype("<i8"))
+        return MAGIC + b"".join(p.tobytes() for p in parts) + _stored(rules.ravel(), top, width) + _stored(symbols, top, width)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return expand(_loaded(self.symbols, self.top), self.rules)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids start to stop of the shard, from the symbols that overlap the range."""
-        wide = self.symbols >= BASE
-        size = np.ones(len(self.symbols), np.int64)
-        size[wide] = self.lengths[self.symbols[wide] - np.uint32(BASE)]
-        ends = np.cumsum(size)
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
-        if start >= stop or a >= len(ends):
+        """Ids start to stop of the shard, from the blocks of symbols that overlap the range."""
+        if start >= stop or not len(self.places):
             return np.empty(0, np.uint32)
-        skip = start - (ends[a] - size[a])
-        return expand(self.symbols[a : b + 1], self.rules)[skip : skip + stop - start]
+        a, b = np.searchsorted(self.places, start, "right") - 1, np.searchsorted(self.places, stop, "left")
+        skip = start - int(self.places[a])
+        return expand(_loaded(self.symbols[a * BLOCK : b * BLOCK], self.top), self.rules)[skip : skip + stop - start]
 
     def document(self, k: int) -> np.ndarray:
-        ends = np.cumsum(self.sizes)
-        return self.ids(int(ends[k] - self.sizes[k]), int(ends[k]))
+        return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
 def _tokenizer(path: str):
@@ -279,7 +337,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for b in batches:
             for part, before, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = Shard(data)
-                ids, ends = s.all_ids().astype("<u4"), np.cumsum(s.sizes)
+                ids, ends = s.all_ids().astype("<u4"), s.ends
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), s.sizes.tolist(), strict=True)]
                 columns = [pa.array(np.full(len(ends), part, np.int32)), pa.array(s.doc_ids, pa.int64(), mask=~s.has_id), pa.array(before + ends - s.sizes), pa.array(s.sizes.astype(np.int64)), pa.array(crc, pa.int64())]

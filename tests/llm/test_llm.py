@@ -160,7 +160,14 @@ def test_repair_round_trip_and_random_access():
         for _ in range(20):
             a, b = sorted(rng.integers(0, len(ids) + 1, 2))
             assert (s.ids(a, b) == ids[a:b]).all()
-    assert len(tokens.compress(np.tile([1, 2, 3, 4], 1000).astype(np.uint32))[0]) < 1000
+    assert len(tokens.compress(np.tile([1, 2, 3, 4], 1000).astype(np.uint32))[0]) < 40
+    # No pair that stands often enough is left, and blocks give the same ids.
+    text = np.random.default_rng(1).zipf(1.5, 60_000).clip(1, 3000).astype(np.uint32)
+    symbols, rules, lengths = tokens.compress(text)
+    _, count = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)
+    assert count.max() < tokens.LEAST_COUNT and (tokens.expand(symbols, rules) == text).all() and lengths.max() >= 8
+    s = tokens.Shard(tokens.Shard.pack([1], np.array([len(text)]), text))
+    assert (s.all_ids() == text).all() and all((s.ids(a, a + 700) == text[a : a + 700]).all() for a in range(0, 59_000, 1777))
 
 
 # 4

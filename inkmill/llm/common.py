@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/inkmill"
+    """A new path in the folder that all executors share (spark.checkpoint.dir); only a local session has one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints/inkmill"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

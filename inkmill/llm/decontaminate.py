@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words of an item (a shorter item is one window). A window is a set of
 word shingles (five words, or the whole window if it is shorter), each at its offset. Containment of the whole
 window is asked for, so the necessary prefix is one shingle: the window's rarest in the documents. Documents'
-shingle positions are joined with item shingles once; windows then join those occurrences on their rarest
+shingle positions are joined with item shingles in one pass, which also counts words; windows then join those occurrences on their rarest
 shingle, length and position bounds drop starts that can't hold the window, and a window counts only if the
 shingles that cover it all stand at their places, compared as strings.
 
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, broadcast_if, cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are lowered.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
 #: Item shingles or windows up to this many rows are broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 500_000
@@ -32,15 +30,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def word_count(text: Column) -> Column:
-    """How many words a text has; case doesn't matter to it, so nothing is lowered or kept."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
-
-
 def _shingles(w: Column, size: int) -> Column:
-    """The shingles of a word array by position; an array shorter than size has none."""
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(size))))
+    """(pos, s): the shingles of a word array by position; an array shorter than size has none."""
+    starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *(F.get(w, i + k) for k in range(size))).alias("s")))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -59,26 +52,26 @@ def overlaps(documents: DataFrame, items: DataFrame, window: int = WINDOW, shing
     windows, owners = (cut(x, "windows") for x in item_windows(items, window))
     parts = windows.withColumn("size", F.least(F.lit(shingle), F.col("wlen")))
     sizes = [r[0] for r in parts.select("size").distinct().collect()]  # at most `shingle` values
-    at = [parts.where(F.col("size") == s).select("wid", "wlen", "size", F.posexplode(_shingles(F.col("words"), s)).alias("off", "s")) for s in sizes]
-    n_words = documents.select("doc_id", *key, word_count(F.col("text")).alias("n_words"))
-    if not at:
-        empty = F.array().cast("array<string>")
-        return n_words.select("doc_id", "fp", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("item_ids"))
-    grams = at[0]
-    for x in at[1:]:
-        grams = grams.unionByName(x)
+    one_size = lambda s: parts.where(F.col("size") == s).select("wid", "wlen", "size", F.inline(_shingles(F.col("words"), s))).withColumnRenamed("pos", "off")
+    grams = windows.select("wid", "wlen", F.lit(0).alias("size"), F.lit(0).alias("off"), F.lit("").alias("s")).where("false")
+    for s in sizes:
+        grams = grams.unionByName(one_size(s))
     grams = cut(grams, "grams")
-    distinct = grams.select("s").distinct()
+    # The empty shingle stands once in every document. Where the join shuffles, it is left out, as all rows would share it.
+    distinct = grams.select("s").distinct().unionByName(windows.sparkSession.range(1).select(F.lit("").alias("s")))
     n_grams, n_windows = distinct.count(), windows.count()
 
     # One pass over the documents: where item shingles stand. The shingle size is told by its word count.
-    found = None
-    for s in sizes:
-        w = F.col("w")
-        one = documents.select(*key, words(F.col("text")).alias("w")).select("did", "fp", F.size(w).alias("nw"), F.posexplode(_shingles(w, s)).alias("pos", "s"))
-        one = one.join(broadcast_if(distinct, n_grams, BROADCAST_ROWS), "s")
-        found = one if found is None else found.unionByName(one)
-    found = cut(found.distinct(), "occurrences")
+    w = F.col("w")
+    mark = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("s")))
+    every = documents.select("doc_id", *key, words(F.col("text")).alias("w")).select("doc_id", "did", "fp", F.size(w).alias("nw"), F.inline(F.concat(*(_shingles(w, s) for s in sizes), mark)))
+    if n_grams <= BROADCAST_ROWS:
+        every = cut(every.join(F.broadcast(distinct), "s"), "occurrences")
+        n_words = every.where("s = ''").select("doc_id", "did", "fp", F.col("nw").cast("long").alias("n_words"))
+    else:
+        every = cut(every.where("s <> ''").join(distinct, "s"), "occurrences")
+        n_words = documents.select("doc_id", *key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    found = every.where("s <> ''").select("did", "fp", "nw", "pos", "s").distinct()
 
     rare = found.groupBy("s").agg(F.count("*").alias("df"))
     ranked = grams.join(rare, "s", "left")

@@ -9,12 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licences, pieces, quality, tokens, toxicity
+from . import ann, licences, pieces, quality, tokens, toxicity, warc
 from .common import scratch, table
 from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .urls import filter_urls
-from .warc import derive, responses
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -58,7 +57,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(responses(table(spark, sf_dir, "pages")))
+    path = scratch(spark, "warc")
+    warc.write_warc(warc.derive(warc.responses(table(spark, sf_dir, "pages"))), path)
+    return warc.read_warc(spark, path)
 
 
 def piece_model() -> dict:

@@ -1,8 +1,12 @@
 """WARC derivatives: linked metadata and plain-text conversion records from response records.
 
 ``responses`` turns pages(page_id, url, html) into response records, ``derive`` turns responses into one
-metadata and one conversion record each, ``write_warc`` writes records as WARC/1.1 files with Spark's text
-writer, and ``read_warc`` reads such files.
+metadata and one conversion record each. ``write_warc`` writes records as WARC/1.1 files, a gzip member a record, with an index of
+where each record is, so ``read_warc`` reads any of them alone and splits files between tasks. ``scan_warc`` reads
+files that have no index.
+
+Files are named by task attempt and the index names those of the attempts that ended well, so a task that is run again, after its
+executor was lost or beside a slow one, leaves nothing wrong behind.
 
 Nulls and odd input: a null html is an empty payload; a null url leaves WARC-Target-URI out. Record ids are
 name-based digests of (page_id, url, html), so repeated rows give records with equal ids, and a rerun gives the
@@ -11,16 +15,25 @@ same ids. Empty tables give empty tables. Extra columns of pages are ignored.
 
 from __future__ import annotations
 
+import gzip
 import html as htmllib
 import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .subwords import in_slices
+
+INDEX = "record_id string, warc_type string, file string, at long, size long"
+#: Records that a task works on at a time.
+ROWS = 500
+#: The date of records whose pages have none.
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -114,8 +127,8 @@ def derive(records: DataFrame) -> DataFrame:
     )
 
 
-def as_text(records: DataFrame) -> DataFrame:
-    """One string a record: header lines, an empty line, the block and its closing line break."""
+def as_text(records: DataFrame, *keep: str) -> DataFrame:
+    """value, one string a record: header lines, an empty line, the block and its closing line break; and the columns to keep."""
     line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))).otherwise("")
     return records.select(
         F.concat(
@@ -133,13 +146,46 @@ def as_text(records: DataFrame) -> DataFrame:
             F.lit(CRLF),
             F.col("block"),
             F.lit(CRLF),
-        ).alias("value")
+        ).alias("value"),
+        *keep,
     )
 
 
+def _folder(path: str):
+    """The file system of a folder that all executors share, and the folder's path on it."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/*", "file:///", path)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) -> None:
-    """WARC/1.1 files; the writer's line separator closes each record."""
-    as_text(records).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    """WARC/1.1 files under path/files and their index (record_id, warc_type, file, at, size) under path/index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = _folder(f"{path}/files")
+        files.create_dir(folder, recursive=True)
+        task, out, n, at = TaskContext.get(), None, 0, 0
+        name = ""
+        for b in in_slices(batches, ROWS):
+            index: list[tuple] = []
+            for value, record, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n % records_per_file == 0:
+                    if out:
+                        out.close()
+                    name, at = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{n // records_per_file}.warc.gz", 0
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
+                member = gzip.compress((value + CRLF).encode(), 5, mtime=0)
+                out.write(member)
+                index.append((record, kind, name, at, len(member)))
+                n, at = n + 1, at + len(member)
+            columns = list(zip(*index, strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])], ["record_id", "warc_type", "file", "at", "size"])
+        if out:
+            out.close()
+
+    rows = as_text(records, "record_id", "warc_type")
+    rows.mapInArrow(run, INDEX).write.parquet(f"{path}/index")
 
 
 def _parse(data: bytes) -> Iterator[dict]:
@@ -152,16 +198,33 @@ def _parse(data: bytes) -> Iterator[dict]:
         at = end + 4 + n + 4
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the files under path; a file is read by one task, and write_warc bounds its records."""
+def _rows(found: Iterator[dict]) -> pd.DataFrame:
+    names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
+    rows = [{"page_id": int(r["X-Page-Id"]) if "X-Page-Id" in r else None, "content_length": int(r["Content-Length"]), "block": r["block"]} | {k: r.get(v) for k, v in names.items()} for r in found]
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")]).astype({"page_id": "Int64"})
+
+
+def read_warc(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
+    """The records of write_warc's files that a condition on the index names, each read from its own place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = _folder(f"{path}/files")
+        for batch in batches:
+            for k in range(0, len(batch), ROWS):
+                for name, own in batch.iloc[k : k + ROWS].groupby("file", sort=False):
+                    with files.open_input_file(f"{folder}/{name}") as f:
+                        yield _rows(r for at, size in zip(own["at"], own["size"], strict=True) for r in _parse(gzip.decompress(f.read_at(size, at))))
+
+    index = spark.read.schema(INDEX).parquet(f"{path}/index").where(where)
+    return index.select("file", "at", "size").mapInPandas(run, FIELDS)
+
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
+def scan_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files under path, plain or gzipped; a file is read by one task."""
 
-        names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                rows = [{"page_id": int(r["X-Page-Id"]) if "X-Page-Id" in r else None, "content_length": int(r["Content-Length"]), "block": r["block"]} | {k: r.get(v) for k, v in names.items()} for r in _parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")]).astype({"page_id": "Int64"})
+                yield _rows(_parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, FIELDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content").mapInPandas(run, FIELDS)

@@ -285,6 +285,11 @@ def test_warc(spark, tmp_path):
     warc.write_warc(made.unionByName(responses), str(tmp_path / "w"), 3)
     back = warc.read_warc(spark, str(tmp_path / "w"))
     assert sorted(map(str, back.collect())) == sorted(map(str, made.unionByName(responses).select(*back.columns).collect()))
+    assert sorted(map(str, warc.scan_warc(spark, str(tmp_path / "w" / "files")).collect())) == sorted(map(str, back.collect()))
+    one = warc.read_warc(spark, str(tmp_path / "w"), "warc_type = 'conversion'").collect()
+    assert len(one) == 5 and {r.warc_type for r in one} == {"conversion"}
+    warc.write_warc(made.where("false"), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
 
 

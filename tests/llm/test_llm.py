@@ -185,6 +185,29 @@ def test_licences(spark):
     assert licences.scan_documents(d.where("false"), licences.train(d)).count() == 0
 
 
+def test_licences_held_out_edits(spark):
+    """Precision and recall on edits that the training has none of: misspelt words, other words left out, words around."""
+    rng, docs, want = np.random.default_rng(8), [], {}
+    for family, texts in sorted(licences.TEMPLATES.items()):
+        for text in texts:
+            for kind in range(3):
+                w = text.split()
+                if kind == 0 and len(w) >= 6:
+                    at = int(rng.integers(1, len(w) - 1))
+                    w[at] = w[at][:-1] + "qz"
+                elif kind == 1 and len(w) >= 8:
+                    del w[int(rng.integers(1, len(w) - 1))]
+                elif kind == 2:
+                    w = [*PROSE[len(docs) % 15].split(), *w, *PROSE[(len(docs) + 4) % 15].split()]
+                want[len(docs)] = family
+                docs.append((len(docs), " ".join(w)))
+    docs += [(1000 + k, "\n".join(" ".join(rng.permutation(" ".join(PROSE).split())[:9]) for _ in range(4))) for k in range(150)]
+    got = {r.doc_id: set(filter(None, r.families.split(","))) for r in licences.scan_documents(frame(spark, docs)).collect()}
+    named = [(i, f) for i, found in got.items() for f in found]
+    right = sum(want.get(i) == f for i, f in named)
+    assert right >= 0.95 * len(want) and right >= 0.85 * len(named) and not any(got[1000 + k] for k in range(150)), (right, len(want), len(named))
+
+
 def test_licences_within_longer_lines(spark):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"

@@ -263,6 +263,49 @@ def test_classifiers(spark, which):
     assert module.score(d.where("false"), model).count() == 0
 
 
+def test_toxicity_ratios_are_kneser_ney(spark, monkeypatch):
+    """Ratios against the definition over dictionaries, and the joined way against the broadcast one."""
+    counts = {"river": (2.0, 0.5, 9), "rivers": (0.0, 3.0, 5), "é1": (1.0, 0.0, 1), "a": (0.0, 0.0, 4), "ravine": (0.5, 1.5, 2)}
+    levels = {toxicity.ORDER: defaultdict(lambda: np.zeros(3))}
+    for word, c in counts.items():
+        padded = toxicity.LEFT + word + toxicity.RIGHT
+        for i in range(len(word) + 1):
+            levels[toxicity.ORDER][padded[i : i + toxicity.ORDER]] += c
+    for n in range(toxicity.ORDER - 1, 0, -1):
+        levels[n] = defaultdict(int)
+        for g in levels[n + 1]:
+            levels[n][g[1:]] += 1
+
+    def shared(g):
+        table = {k: (v[2] if len(g) == toxicity.ORDER else v) for k, v in levels[len(g)].items()}
+        if len(g) == 1:
+            return (table[g] + 0.5) / (sum(table.values()) + 0.5 * toxicity.ALPHABET)
+        own = [v for k, v in table.items() if k[:-1] == g[:-1]]
+        return (max(table[g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(own) * shared(g[1:])) / sum(own)
+
+    def of_class(g, k):
+        own = [v[k] for x, v in levels[toxicity.ORDER].items() if x[:-1] == g[:-1]]
+        c = levels[toxicity.ORDER][g][k]
+        return (max(c - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * sum(v > 0 for v in own) + toxicity.PRIOR) * shared(g)) / (max(sum(own), c) + toxicity.PRIOR)
+
+    table = spark.createDataFrame([(w, *c) for w, c in counts.items()], "word string, t double, o double, c long")
+    got = {r.g: r.ratio for r in toxicity.gram_ratios(table).collect()}
+    assert set(got) == set(levels[toxicity.ORDER])
+    for g, ratio in got.items():
+        assert ratio == pytest.approx(np.log(of_class(g, 0)) - np.log(of_class(g, 1)), abs=1e-9)
+
+    docs = [(i, f"{PROSE[i % 15]} {'vile' if i % 3 == 0 else 'fine'} river") for i in range(60)] + [(70, None), (71, ""), (None, PROSE[1]), (3, PROSE[3])]
+    d, y = frame(spark, docs), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    scores = []
+    for most in (toxicity.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", most)
+        scored = toxicity.score(d, toxicity.train(d, y))
+        assert scored.columns == d.columns
+        scores.append(sorted((str(r.doc_id), str(r.text), r.score) for r in scored.collect()))
+    assert [x[:2] for x in scores[0]] == [x[:2] for x in scores[1]]
+    assert np.allclose([x[2] for x in scores[0]], [x[2] for x in scores[1]], atol=1e-3)
+
+
 # 7
 
 def test_urls(spark):
@@ -486,7 +529,19 @@ def test_pipeline_stages(spark, sf):
     clean = corpus_pipeline.decontamination_stage(spark, docs, sf)
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {o[0] for o in brute_overlaps(pairs, items) if not o[2]}
-    good = corpus_pipeline.quality_stage(spark, docs, sf)
-    assert good.columns == docs.columns and 0 < good.count() <= docs.count()
+    labels = table(spark, sf, "labels")
+    odd = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, None, "en", "s", 0), (-1, "", "en", "s", 0)], docs.schema)).withColumns({"score": F.lit("kept"), "ids": F.lit("kept"), "fp": F.lit("kept")})
+    for stage, module, decide in ((corpus_pipeline.quality_stage, quality, "score >= 0.3"), (corpus_pipeline.toxicity_stage, toxicity, "score < 0.5")):
+        some = stage(spark, odd, sf)
+        scored = module.score(odd.drop("score"), module.train(odd, labels)).where(decide)
+        assert some.columns == odd.columns and 0 < some.count() < odd.count() and {r.score for r in some.select("score").distinct().collect()} == {"kept"}
+        assert sorted(str(r.doc_id) for r in some.collect()) == sorted(str(r.doc_id) for r in scored.collect())
+        assert stage(spark, odd.where("false"), sf).count() == 0
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    cut = {r.doc_id: r for r in corpus_pipeline.pieces_stage(spark, odd.where("doc_id < 20 OR doc_id IS NULL"), sf).collect()}
+    for i, text in [(None, None), (-1, ""), *[p for p in pairs if p[0] < 20]]:
+        assert list(cut[i].ids) == sp.encode(text or "") and cut[i].n_pieces == len(cut[i].ids)
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() < docs.count() and out.where("n_pieces <> size(ids)").count() == 0

@@ -6,6 +6,10 @@ Each stage works on all rows that its predecessor kept, and all but the last ret
 3. near_duplicates: one row of each group of near-duplicates stays, that of the smallest doc_id;
 4. decontamination: rows that hold a ten-word window of a benchmark item go;
 5. pieces: every row left gets the SentencePiece ids of its whole text.
+
+Nulls and odd input: null and empty texts are scored like any text, are in no group of near-duplicates, hold no item and have no ids.
+Rows that repeat are judged each for itself, but for near-duplicates, of which one stays. Columns beyond those of documents are
+kept by all stages but the last, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: Trained scores and piece merges have no SQL; tests compare each stage with a brute-force version.
+#: Trained scores and piece merges have no SQL. Tests compare the third and fourth stage with brute force, the fifth with the
+#: library, and the first two with their models' scores, whose parts are tested on their own.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import TITLE_TYPES, block_type, is_skipped, is_substantial
-from ..functions.text import NUMERALS, contains_keyword, matches, strip
+from ..functions.text import NUMERALS, contains_keyword, is_chapter_heading, matches, strip
 
 # Fixed values.
 TOC, PREFACE, APPENDIX = ["目录", "CONTENTS"], ["前言", "FOREWORD", "序言", "PREFACE"], ["附录", "APPENDIX"]
@@ -42,6 +42,12 @@ def is_cover(text: Column) -> Column:
     return (body == "") | (~named & (F.length(body) < 60))
 
 
+def is_docx_heading(style: Column, text: Column, bold: Column) -> Column:
+    """A heading by its style, by bold letters in a plain one, or by its words."""
+    plain = F.coalesce(style, F.lit("")).isin("", "Normal")
+    return F.coalesce(style.startswith("Heading") | (style == "Title"), F.lit(False)) | (plain & F.coalesce(bold, F.lit(False))) | is_chapter_heading(text)
+
+
 def docx_title(paragraphs: DataFrame) -> DataFrame:
     """(path, title): a Title before the first heading, else that heading, else the first bold short line, else the first short one."""
     rows = paragraphs.where(~F.col("in_table")).withColumn("text", strip(F.col("text"))).where("text <> ''")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import FIGURE_TYPES, block_type, is_skipped, is_title
-from ..functions.text import NUMERALS, estimate_tokens, fix_percent_order, is_list_item, is_sub_heading, strip
+from ..functions.text import NUMERALS, estimate_tokens, fix_percent_order, is_fragment, is_list_item, is_sub_heading, strip
 from .blocks import fallback_chunks
-from .chunks import CHILD, MAX_TOKENS, PARENT, merge_small, parent_threshold, register_strategy, split_by_rules
+from .chunks import CHILD, LINE_BREAKS, MAX_TOKENS, PARENT, merge_lines, merge_small, parent_threshold, register_strategy, split_by_rules
+from .outline import docx_title, is_docx_heading, merge_empty_headings, toc_range
 
 # Fixed values.
 LIST_TYPES = ["list", "list_item", "index"]
@@ -164,3 +165,63 @@ def default_strategy(rows: DataFrame) -> DataFrame:
 
 
 register_strategy("default", default_strategy)
+
+
+def span_chunks(spans: DataFrame, tables: DataFrame, title_first: bool = True, most: int = MAX_TOKENS) -> DataFrame:
+    """(doc_id, chunk_idx, parent, child) of spans(doc_id, page, pos, text, heading) and tables(doc_id, page, pos, rows).
+
+    Headings begin chunks; the first of all is the document's title if title_first. A table is a chunk of its own, led by its first row,
+    and stands behind the spans of its page; what follows it is under the heading before it again. Lines are joined to
+    paragraphs, scraps left out and long paragraphs cut. Headings without a body lead the next body.
+    """
+    row = F.transform(F.col("rows"), lambda r: F.array_join(r, " | ", ""))
+    each = spans.select("doc_id", "page", F.lit(0).alias("kind"), "pos", strip(F.col("text")).alias("text"), F.coalesce("heading", F.lit(False)).alias("heading"), F.lit(None).cast("array<string>").alias("rows")).where("text <> ''")
+    for kind in (1, 2):  # the table, and the place behind it
+        each = each.unionByName(tables.where(F.size("rows") > 0).select("doc_id", "page", F.lit(kind).alias("kind"), "pos", F.lit("").alias("text"), F.lit(False).alias("heading"), row.alias("rows")))
+    # A table's two rows stand together, behind the page's spans and by its own position.
+    w = Window.partitionBy("doc_id").orderBy("page", F.least("kind", F.lit(1)), "pos", "kind")
+    each = each.withColumns({"n": F.row_number().over(w), "nth": F.sum(F.col("heading").cast("int")).over(w), "last": F.last(F.when(F.col("heading"), F.col("text")), ignorenulls=True).over(w)})
+    title = F.col("heading") & (F.col("nth") == 1) & F.lit(title_first)
+    begins = (F.col("heading") & ~title) | (F.col("kind") == 1) | ((F.col("kind") == 2) & F.col("last").isNotNull())
+    each = each.withColumn("begins", begins).withColumn("chunk_idx", F.sum(F.col("begins").cast("int")).over(w)).where(~title)
+    parents = each.where("begins").select("doc_id", "chunk_idx", F.when(F.col("kind") == 1, F.get("rows", F.lit(0))).otherwise(F.col("last")).alias("parent"))
+    lines = merge_lines(each.where("kind = 0 AND NOT heading"), ["doc_id", "chunk_idx"], "n")
+    parts = lines.where(~is_fragment(F.col("text"))).select("doc_id", "chunk_idx", "n", F.posexplode(split_by_rules(F.col("text"), most, LINE_BREAKS)).alias("k", "part"))
+    body = parts.unionByName(each.where("kind = 1").select("doc_id", "chunk_idx", F.lit(0).alias("n"), F.posexplode("rows").alias("k", "part")))
+    children = body.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "k", "part")))["part"], "\n").alias("child"))
+    both = parents.join(children, ["doc_id", "chunk_idx"], "full_outer")
+    return merge_empty_headings(both.select("doc_id", "chunk_idx", "parent", F.coalesce("child", F.lit("")).alias("child")))
+
+
+def _docx_body(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs(path, pos, style, text, in_table, bold) without those of a table of contents, with heading."""
+    rows = paragraphs.withColumn("text", strip(F.col("text"))).where("text <> ''")
+    rows = rows.join(toc_range(paragraphs), "path", "left").where(F.col("start").isNull() | (F.col("pos") < F.col("start")) | (F.col("pos") >= F.col("end"))).drop("start", "end")
+    return rows.withColumn("heading", ~F.col("in_table") & is_docx_heading(F.col("style"), F.col("text"), F.col("bold")))
+
+
+def docx_clean(paragraphs: DataFrame) -> DataFrame:
+    """(path, pos, text, style, level): headings and table rows each on their own, body lines joined to paragraphs."""
+    rows = _docx_body(paragraphs)
+    w = Window.partitionBy("path").orderBy("pos")
+    alone = F.col("heading") | F.col("in_table")
+    rows = rows.withColumn("alone", alone).withColumn("run", F.sum((F.col("alone") | F.coalesce(F.lag("alone").over(w), F.lit(False))).cast("int")).over(w))
+    own = F.regexp_extract("style", r"^Heading\s*(\d)", 1)
+    level = F.when(~F.col("heading"), 0).when((own == "") | own.isin("1", "2"), 1).otherwise(2)
+    style = F.when(~F.col("heading"), "Normal").when(F.col("style").rlike("^(Title|Heading)"), F.col("style")).otherwise("Heading 2")
+    single = rows.where("alone").select("path", "pos", "text", style.alias("style"), level.alias("level"))
+    body = merge_lines(rows.where("NOT alone"), ["path", "run"])
+    return single.unionByName(body.select("path", "pos", "text", F.lit("Normal").alias("style"), F.lit(0).alias("level")))
+
+
+def docx_chunks(paragraphs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """(path, title, chunk_idx, parent, child) of DOCX paragraphs: span_chunks by their headings and tables, in order."""
+    rows = _docx_body(paragraphs)
+    w = Window.partitionBy("path").orderBy("pos")
+    # Each run of table rows ends a page, so tables stand where they were.
+    rows = rows.withColumn("page", F.sum((~F.col("in_table") & F.coalesce(F.lag("in_table").over(w), F.lit(False))).cast("int")).over(w))
+    spans = rows.where("NOT in_table").select(F.col("path").alias("doc_id"), "page", "pos", "text", "heading")
+    cells = F.array_sort(F.collect_list(F.struct("pos", "text")))["text"]
+    tables = rows.where("in_table").groupBy(F.col("path").alias("doc_id"), "page").agg(F.min("pos").alias("pos"), F.transform(cells, lambda x: F.array(x)).alias("rows"))
+    made = span_chunks(spans, tables, False, most).withColumnRenamed("doc_id", "path")
+    return made.join(docx_title(paragraphs), "path", "left").select("path", F.coalesce("title", F.lit("")).alias("title"), "chunk_idx", "parent", "child")

@@ -39,3 +39,21 @@ def test_marked_round_trip(spark):
     assert {r.doc_id: r.text for r in m.collect()} == {1: "***\n总则\n<-split->\n（一）标题\n正文一。\n<-split->\n1. 甲\n2. 乙\n尾。\n<-split->\n***\n附则\n<-split->\n好\n<-split->", 2: "***\n空\n<-split->"}
     back = chunks.marker_explode(m, filename=F.lit("f")).orderBy("source", "p_idx", "c_idx").collect()
     assert [(r.source, r.document) for r in back] == [(1, "f\n总则"), (1, "f\n（一）标题\n正文一。"), (1, "f\n1. 甲\n2. 乙\n尾。"), (1, "f\n附则"), (1, "f\n好"), (2, "f\n空")]
+
+
+def test_span_chunks(spark):
+    s = [(1, 1, 0, "报告", True), (1, 1, 1, "开头。", False), (1, 1, 2, "一、总体", True), (1, 1, 3, "二、空", True), (1, 1, 4, "三、正文", True), (1, 1, 5, "前半", False), (1, 1, 6, "后半。", False), (1, 1, 7, "—", False), (1, 2, 0, "表后。", False), (2, 1, 0, "无题。", False)]
+    spans = spark.createDataFrame(s, "doc_id int, page int, pos int, text string, heading boolean")
+    tables = spark.createDataFrame([(1, 1, 0, [["a", "b"], ["1", None]]), (2, 1, 0, [])], "doc_id int, page int, pos int, rows array<array<string>>")
+    got = sorted((r.doc_id, r.chunk_idx, r.parent, r.child) for r in sections.span_chunks(spans, tables).collect() if r.parent)
+    assert got == [(1, 3, "三、正文", "一、总体\n二、空\n前半后半。—"), (1, 4, "a | b", "a | b\n1 | "), (1, 5, "三、正文", "表后。")]
+    assert sorted((r.doc_id, r.child) for r in sections.span_chunks(spans, tables).collect() if not r.parent) == [(1, "开头。"), (2, "无题。")]
+
+
+def test_docx_walks(spark):
+    rows = [("f", 0, "Title", "标题", False, False), ("f", 1, "", "目录", False, False), ("f", 2, "", "第一章....1", False, False), ("f", 3, "Heading 1", "第一章 总则", False, False), ("f", 4, "", "本法", False, False), ("f", 5, "", "全文。", False, False), ("f", 6, "", "x | y", True, False), ("f", 7, "", "1 | 2", True, False), ("f", 8, "", "其后。", False, False), ("f", 9, "Normal", "粗体", False, True), ("f", 10, "", "末。", False, False)]
+    p = spark.createDataFrame(rows, "path string, pos int, style string, text string, in_table boolean, bold boolean")
+    clean = [(r.text, r.style, r.level) for r in sections.docx_clean(p).orderBy("pos").collect()]
+    assert clean == [("标题", "Title", 1), ("第一章 总则", "Heading 1", 1), ("本法全文。", "Normal", 0), ("x | y", "Normal", 0), ("1 | 2", "Normal", 0), ("其后。", "Normal", 0), ("粗体", "Heading 2", 1), ("末。", "Normal", 0)]
+    chunks_ = [(r.title, r.parent, r.child) for r in sections.docx_chunks(p).orderBy("chunk_idx").collect()]
+    assert chunks_ == [("标题", "第一章 总则", "标题\n本法全文。"), ("标题", "x | y", "x | y\n1 | 2"), ("标题", "第一章 总则", "其后。"), ("标题", "粗体", "末。")]

@@ -106,3 +106,40 @@ def accepted(files: DataFrame, most_bytes: int = 200 * 1024 * 1024) -> DataFrame
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines store; corrupt lines and a missing schema's fields are left out."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of a SQL dump's INSERT lines as strings, NULL as null; columns name the values in order.
+
+    A line holds one row. Quotes within a string are doubled, as SQL writes them.
+    """
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*INSERT INTO "))
+    values = F.regexp_extract("value", r"(?s)\bVALUES\s*\((.*)\)\s*;?\s*$", 1)
+    each = F.regexp_extract_all(values, F.lit(r"'(?:[^']|'')*'|[^,\s']+"), F.lit(0))
+    plain = lambda v: F.when(v.startswith("'"), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit("''"), F.lit("'"))).when(F.upper(v) != "NULL", v)
+    read = F.transform(each, plain)
+    return lines.withColumn("_row", read).where(F.size("_row") == len(columns)).select(*(F.get("_row", F.lit(k)).alias(c) for k, c in enumerate(columns)))
+
+
+def direct_jobs(files: DataFrame) -> DataFrame:
+    """Jobs of files(path, length, modificationTime) that are marked already and skip parsing: completed at once."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.md5(F.concat_ws("|", "path", "length")).alias("id"), name.alias("filename"), F.col("length").alias("file_size"), F.lit("completed").alias("status"), F.unix_timestamp("modificationTime").cast("double").alias("created_at"))
+
+
+def docx_images(files: DataFrame) -> DataFrame:
+    """(path, name, content, image): images of DOCX files, image being named by its content (md5 and suffix; jpeg is jpg)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, data in zip(b["path"], b["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        rows = [(path, n, z.read(n)) for n in z.namelist() if n.startswith("word/media/")]
+                except zipfile.BadZipFile:
+                    continue
+                yield pd.DataFrame(rows, columns=["path", "name", "content"])
+
+    found = files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    return found.withColumn("image", F.concat(F.md5("content"), F.lit("."), F.when(suffix == "jpeg", "jpg").otherwise(suffix)))

@@ -158,6 +158,27 @@ def test_docx_and_content_lists(spark, tmp_path):
     assert [(r.stem, r.page, r.text, r.has_text_level) for r in b] == [("d", 1, "v2", True), ("d", 2, "b", False), ("e", 3, "v1", False)]
 
 
+def test_dump_images_and_direct_jobs(spark, tmp_path):
+    (tmp_path / "d.sql").write_text("-- x\nINSERT INTO \"A\".\"B\" VALUES ('a''b', '1, 2', NULL, 3);\nCREATE TABLE x;\nINSERT INTO \"A\".\"B\" VALUES ('', 'NULL', 4, NULL);\n")
+    assert rows(documents.sql_dump(spark, str(tmp_path / "d.sql"), ["a", "b", "c", "d"])) == [("", "NULL", "4", None), ("a'b", "1, 2", None, "3")]
+    with zipfile.ZipFile(tmp_path / "p.docx", "w") as z:
+        z.writestr("word/media/x.JPEG", b"abc")
+        z.writestr("word/document.xml", "<x/>")
+    files = documents.discover(spark, str(tmp_path))
+    assert [(r.name, r.image) for r in documents.docx_images(files).collect()] == [("word/media/x.JPEG", "900150983cd24fb0d6963f7d28e17f72.jpg")]
+    assert [(r.filename, r.status, r.file_size > 0) for r in documents.direct_jobs(files).collect()] == [("p.docx", "completed", True)]
+
+
+def test_merge_jobs_and_steps(spark):
+    old = spark.createDataFrame([("a", "queued", 5), ("b", "failed", 6)], "id string, status string, size int")
+    new = spark.createDataFrame([("a", "completed"), ("c", None)], "id string, status string")
+    assert rows(jobs.merge_jobs(old, new)) == [("a", "completed", 5, True), ("c", None, None, False)]
+    e = spark.createDataFrame([("a", "uploaded", 1), ("a", "queued", 2), ("a", "ingested", 3), ("b", "failed", 1), ("b", "failed", 2)], "id string, status string, at int")
+    assert rows(jobs.illegal_steps(e)) == [("a", 3, "queued", "ingested")]
+    done = spark.createDataFrame([("f", "ingested"), ("g", "ingested"), ("f", "failed")], "filename string, status string")
+    assert sorted(rows(jobs.completed_again(done, ["f"]))) == [("f", "completed"), ("f", "failed"), ("g", "ingested")]
+
+
 def test_stream_ingest(spark, tmp_path):
     land, kb = tmp_path / "in", str(tmp_path / "kb")
     land.mkdir()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch
+from .common import release, scratch
 from .subwords import coded
 
 MARK = "▁"
@@ -371,6 +371,7 @@ def dictionary(documents: DataFrame, model: dict) -> tuple[DataFrame, int]:
     spark = documents.sparkSession
     words, path = scratch(spark, "words"), scratch(spark, "pieces")
     _counted(documents, model).groupBy("word").agg(F.sum("c").alias("c")).write.parquet(words)
+    release(spark)
     # Words' edges are gathered in memory, HASHED_WORDS words of a partition at most; beyond that Spark sorts them. The setting
     # holds in a session of its own.
     own = spark.newSession()
@@ -379,6 +380,7 @@ def dictionary(documents: DataFrame, model: dict) -> tuple[DataFrame, int]:
     encoded = encode_words(own.read.schema("word string, c long").parquet(words), piece_table(own, model), model)
     encoded.write.parquet(path)
     encoded = spark.read.schema(encoded.schema).parquet(path)
+    release(spark)
     # How many words have each count, from the most frequent down.
     spread = encoded.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(HOT_WORDS).toPandas()
     fits = np.flatnonzero(np.cumsum(spread["k"].to_numpy()) <= HOT_WORDS)

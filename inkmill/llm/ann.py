@@ -8,8 +8,6 @@ nearest sampled vectors, and of those it reads the ones within another ratio of
 leaves RATIO_RECALL of what was reached. Inner product is turned into distance by one more coordinate, which levels all lengths to the
 greatest one.
 
-A query's (k + 2)-th best score within the sample bounds what a list has to send on: lower ones can't be among its k best.
-
 Equal vectors are one entry of the index with their k + 1 smallest ids; as they tie for every query, no others can be
 among its k nearest. Long posting lists, and lists that many queries read, are cut into blocks that meet pairwise,
 so no task holds a whole list. Scores are recomputed in double precision on the original vectors.
@@ -179,11 +177,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _assigned(entries: DataFrame, index, most: int, ratio: float, lift: bool, k: int) -> DataFrame:
-    """entries(vk, vec, ids) once for each of their lists. lift: level the lengths, as for candidates.
-
-    least is a score that a query's k nearest reach; for candidates it is null.
-    """
+def _assigned(entries: DataFrame, index, most: int, ratio: float, lift: bool) -> DataFrame:
+    """entries(vk, vec, ids) once for each of their lists. lift: level the lengths, as for candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,15 +186,9 @@ def _assigned(entries: DataFrame, index, most: int, ratio: float, lift: bool, k:
                 x = _matrix(b.column(1), index.value["dim"])
                 last = np.sqrt(np.maximum(index.value["level"] - (x**2).sum(1), 0)) if lift else np.zeros(len(x))
                 rows, lists = near_lists(np.column_stack([x, last]), index.value, most, ratio)
-                least = np.full(len(x), np.nan if lift else -np.inf)
-                sample = index.value["sample"]
-                for a in range(0, 0 if lift or len(sample) <= k else len(x), 256):
-                    score = x[a : a + 256] @ sample.T
-                    bound = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
-                    least[a : a + 256] = bound - 1e-9 * np.abs(bound)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(c).take(pa.array(rows)) for c in range(3)), pa.array(least[rows])], ["list", "vk", "vec", "ids", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(c).take(pa.array(rows)) for c in range(3))], ["list", "vk", "vec", "ids"])
 
-    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>, least double")
+    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -245,17 +234,16 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float =
     n = entries.count()
     sample = entries.orderBy("vk").limit(SAMPLE).select("vec").toArrow()["vec"]
     level = float(shape["level"]) if shape else 1.0
-    own = _matrix(sample, dim)
-    x = np.concatenate([own, np.sqrt(np.maximum(level - (own**2).sum(1), 0))[:, None]], 1)
+    x = _matrix(sample, dim)
+    x = np.concatenate([x, np.sqrt(np.maximum(level - (x**2).sum(1), 0))[:, None]], 1)
     lists = int(min(max(n // LIST_SIZE, 1), MAX_LISTS, max(len(x) // 4, 1)))
     centroids = fit_centroids(x, lists) if len(x) else np.zeros((1, dim + 1))
     most, ratio = calibrate(x, dim, centroids, k, recall) if len(x) else (1, 1.0)
     del x
-    index = spark.sparkContext.broadcast({"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim, "sample": own})  # MAX_LISTS and SAMPLE rows
-    del own
+    index = spark.sparkContext.broadcast({"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim})  # MAX_LISTS rows
 
-    postings = cut(_assigned(entries, index, REPLICAS, REPLICA_RATIO, True, kept + 1), "postings")
-    wanted = cut(_assigned(entries.where("q"), index, most, ratio, False, kept + 1), "wanted")
+    postings = cut(_assigned(entries, index, REPLICAS, REPLICA_RATIO, True), "postings")
+    wanted = cut(_assigned(entries.where("q"), index, most, ratio, False), "wanted")
     if report is not None:
         report |= {"lists": len(centroids), "most": most, "ratio": ratio, "read": wanted.count(), "queries": wanted.select("vk").distinct().count()}
 
@@ -265,25 +253,26 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float =
     part = lambda n: F.pmod(F.xxhash64("vk"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = postings.join(blocks, "list").select("list", part(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), "vec", "ids")
-    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec", "least")
+    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Each query of a block with its best ids in the block."""
-        made = [pd.DataFrame({"vk": [], "minus": [], "id": []})]
+        made: list[tuple[str, float, int]] = []
         if len(a) and len(b):
             x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1) for t in (a, b))
             near = q @ x.T
             m = min(len(x), kept + 8)
-            first = np.array([s[0] for s in a["ids"]])
-            for r in np.flatnonzero(near.max(1) >= b["least"]):
+            ids = a["ids"].to_list()
+            first, keys = np.array([s[0] for s in ids]), b["vk"].to_list()
+            for r in range(len(q)):
                 # Every vector that ties with the m-th best stays in.
-                cutoff = max(np.partition(near[r], len(x) - m)[len(x) - m], b["least"].iat[r])
+                cutoff = np.partition(near[r], len(x) - m)[len(x) - m]
                 c = np.flatnonzero(near[r] >= cutoff - 1e-9 * abs(cutoff))
                 exact = (x[c] * q[r]).sum(1)
                 order = np.lexsort((first[c], -exact))[:kept]
-                pairs = sorted((-exact[o], i) for o in order for i in a["ids"].iat[c[o]])[:kept]
-                made.append(pd.DataFrame(pairs, columns=["minus", "id"]).assign(vk=b["vk"].iat[r])[["vk", "minus", "id"]])
-        return pd.concat(made).astype({"minus": float, "id": np.int64})
+                pairs = sorted((-exact[o], i) for o in order for i in ids[c[o]])[:kept]
+                made += [(keys[r], s, i) for s, i in pairs]
+        return pd.DataFrame(made, columns=["vk", "minus", "id"]).astype({"minus": float, "id": np.int64})
 
     found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "vk string, minus double, id long")
     best = found.groupBy("vk").agg(F.slice(F.sort_array(F.collect_set(F.struct("minus", "id"))), 1, kept).alias("found"))

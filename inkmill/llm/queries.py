@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licences, pieces, quality, tokens, toxicity, warc
+from . import anchors, ann, licences, pieces, quality, ranked, resample, tokens, toxicity, warc
 from .common import scratch, table
 from .decontaminate import overlaps
 from .neardup import near_duplicates
@@ -76,8 +76,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "postings")
+    ranked.build_index(table(spark, sf_dir, "documents"), path)
+    found = ranked.search(ranked.read_index(spark, path), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_decontamination, op3_repair_tokens, op4_licences, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates)}
+    every = (op1_nearest, op2_decontamination, op3_repair_tokens, op4_licences, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_pieces, op10_near_duplicates, op11_simhash, op12_ranked, op13_resampling)
+    return {f.__name__: f for f in every}
 
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,5 +142,40 @@ FROM d LEFT JOIN c USING (rid) JOIN m USING (rid)
 """
 
 
+_TERMS = r"coalesce(regexp_extract_all(" + _LOWERED.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+ORACLES["op12_ranked"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+q AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+s AS (SELECT qid, item_id, rid, CAST(sum(times * f.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (rid), c GROUP BY qid, item_id, rid),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, rid) AS INTEGER) AS rank FROM s JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+# The checksum's table follows from its polynomial; a feature's bytes are read from its hexadecimal form.
+ORACLES["op13_resampling"] = f"""
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+x AS (SELECT row_number() OVER () AS rid, doc_id, true AS own, {_WORDS.format("text")} AS w FROM documents UNION ALL SELECT -row_number() OVER (), NULL, false, {_WORDS.format("text")} FROM benchmark),
+g AS (SELECT rid, own, unnest(w) AS f FROM x UNION ALL SELECT rid, own, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM x),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT)), lambda c, y: xor(crc[xor(c & 255, y) + 1], c >> 8))) % 10000 AS b FROM u, k),
+n AS (SELECT b, CAST(sum(own::INT) AS DOUBLE) AS s, CAST(sum((NOT own)::INT) AS DOUBLE) AS t FROM g JOIN b USING (f) GROUP BY b),
+v AS (SELECT b, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM g JOIN b USING (f) JOIN v USING (b) WHERE own GROUP BY rid),
+e AS (SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM x LEFT JOIN m USING (rid) WHERE own),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM e),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, n_features, rid) AS rank FROM z WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN rank <= (25 * (SELECT count(*) FROM r)) // 100 THEN rank END AS BIGINT) AS rank
+FROM z LEFT JOIN r USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -3,13 +3,13 @@
 A fingerprint has 64 bits; a bit is 1 if it is set in over half the hashes of a text's word shingles. Two fingerprints that
 differ in at most ``bits`` bits are linked, and nothing else is.
 
-Anchors are the pairs of words of the binary Golay code of length 23, over bits 0 to 22 and 23 to 45. That code is perfect: each
-word of 23 bits is within RADIUS = 3 of exactly one code word, so every fingerprint has one home among the 2^24 anchors. If x has its home
-at an anchor and y differs from x in d bits, y is in each half as near to the anchor as the radius and the bits that differ there. So
-y goes to every anchor within the radius plus the threshold (half by half, the halves' excess over the radius together at most the
-threshold), and meets there each fingerprint whose home it is: no pair within the threshold is missed, whatever its bits. With three bits a
-fingerprint goes to about 324 anchors; those that are nobody's home are left out before anything moves, by one bit an anchor, 2 MB
-however large the input.
+Anchors are words of a code of three parts: a word of the binary Golay code of length 23 over bits 0 to 22, another over bits 23 to 45, and any
+PLAIN bits over those that follow. The Golay code is perfect: each word of 23 bits is within RADIUS = 3 of exactly one code word; plain bits have
+radius 0. So every fingerprint has one home among the 2^27 anchors. If x has its home at an anchor and y differs from x in d bits, y
+is in each part as near to the anchor as the radius and the bits that differ there. So y goes to every anchor within the radius plus
+the threshold (part by part, the parts' excess over the radius together at most the threshold), and meets there each fingerprint whose home it
+is: no pair within the threshold is missed, whatever its bits. With three bits a fingerprint goes to about 560 anchors; those that are
+nobody's home are left out before anything moves, by one bit an anchor, 16 MB however large the input.
 
 Only different fingerprints are compared. An anchor's rows are cut into a grid of blocks of at most BLOCK homes and BLOCK visitors, so a
 crowded one is dealt to many tasks. A block is compared whole, but gives no pairs: each of its fingerprints is tied to the first
@@ -39,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Length, data bits, covering radius and generator polynomial of the binary Golay code (fixed values).
 LENGTH, DATA, RADIUS, GENERATOR = 23, 12, 3, 0b110001110101
 CHECKS = LENGTH - DATA
+#: Bits behind the two code words that are part of an anchor as they are.
+PLAIN = 3
 #: Homes, and visitors, that a block of an anchor holds at most.
 BLOCK = 1024
 #: Fingerprints that a Python worker spreads, or texts whose hashes it counts, at a time.
@@ -115,15 +117,22 @@ class Cover:
 
     def homes(self, fp: np.ndarray) -> np.ndarray:
         one, two = (self.near(x, 0, 0)[1] for x in self.halves(fp))
-        return one << DATA | two
+        return (one << DATA | two) << PLAIN | self.plain(fp)
+
+    def plain(self, fp: np.ndarray) -> np.ndarray:
+        return (fp >> np.uint64(2 * LENGTH)).astype(np.int64) & ((1 << PLAIN) - 1)
 
     def visits(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(which fingerprint, anchor): all anchors within the radius plus the threshold, half by half."""
-        one, two = self.halves(fp)
+        """(which fingerprint, anchor): all anchors within the radius plus the threshold, part by part."""
+        (one, two), plain = self.halves(fp), self.plain(fp)
         for used in range(self.bits + 1):
             which, a = self.near(one, used, used)
-            again, b = self.near(two[which], 0, self.bits - used)
-            yield which[again], a[again] << DATA | b
+            for more in range(self.bits - used + 1):
+                again, b = self.near(two[which], more, more)
+                both, own = (a[again] << DATA | b) << PLAIN, which[again]
+                for flips in range(1 << PLAIN):
+                    if flips.bit_count() <= self.bits - used - more:
+                        yield own, both | (plain[own] ^ flips)
 
 
 def ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +143,10 @@ def ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _occupied(homes: DataFrame) -> np.ndarray:
-    """A bit for each anchor that is some fingerprint's home: 2^24 bits, however many fingerprints there are."""
+    """A bit for each anchor that is some fingerprint's home: 2^27 bits, however many fingerprints there are."""
     number = F.col("anchor") + 1
     rows = homes.groupBy(F.bitmap_bucket_number(number).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("x")).collect()
-    out = np.zeros(1 << (2 * DATA - 3), np.uint8)
+    out = np.zeros(1 << (2 * DATA + PLAIN - 3), np.uint8)
     for r in rows:
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["x"], np.uint8)[: len(out)]
     return out

@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from .common import ascii_lower, broadcast_if, cut
 from .subwords import coded, in_slices
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same for Arrow, and what stands between terms; new lines are like other characters there.
+ARROW_TERM, ARROW_BETWEEN = TERM, TERM.replace("^", "")
 #: Impacts are below this, and fall into this many levels.
 IMPACT, LEVELS = 1_000_000, 8
 #: Shares of all documents (one in so many) that a term's postings may make up in the tiers before the last.
@@ -52,16 +55,30 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _cut_terms(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct terms of texts, each occurrence's number among them, and where each text's begin (with the end last)."""
+    lists = pc.split_pattern_regex(pc.fill_null(pc.ascii_lower(texts), ""), ARROW_BETWEEN)
+    vocabulary, code, off = coded(lists)
+    # What stands before the first term and behind the last is empty.
+    full = pc.not_equal(vocabulary, "").to_numpy(zero_copy_only=False)[code] if len(code) else np.empty(0, bool)
+    return vocabulary, code[full].astype(np.int64), np.r_[0, np.cumsum(full)][off].astype(np.int64)
+
+
 def build_index(documents: DataFrame, path: str) -> None:
     """Write the index of documents(doc_id, text) to path."""
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    count, total = documents.select(n.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, ROWS):
+            n = pc.fill_null(pc.count_substring_regex(b.column(0), ARROW_TERM), 0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([np.count_nonzero(n)], pa.int64()), pa.array([n.sum()], pa.int64())], ["count", "total"])
+
+    count, total = documents.select("text").mapInArrow(lengths, "count long, total long").agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     schema = pa.schema([("level", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("most", pa.int64()), ("rows", pa.list_(pa.int64())), ("impacts", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64()))])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, ROWS):
-            vocabulary, code, off = coded(b.column(2))
-            row, n = b.column(0).to_numpy(), np.diff(off.astype(np.int64))
+            vocabulary, code, off = _cut_terms(b.column(2))
+            row, n = b.column(0).to_numpy(), np.diff(off)
             empty = pa.array([None], pa.string())
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(1))
             none = pa.array([[]], pa.list_(pa.int32()))
@@ -93,7 +110,7 @@ def build_index(documents: DataFrame, path: str) -> None:
                 schema=schema,
             )
 
-    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("terms"))
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs.mapInArrow(blocks, "level int, term string, n long, most long, rows array<long>, impacts array<int>, doc_ids array<long>").write.partitionBy("level").parquet(path)
 
 

@@ -33,6 +33,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of jobs that are over: it does so once the driver's garbage is collected."""
     gc.collect()

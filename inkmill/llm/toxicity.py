@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, cut
+from .common import broadcast_if, columns, cut
 from .quality import held_out
 from .subwords import by_slices, code_points, coded, gram_hashes, sums
 
@@ -127,7 +127,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", calibra
     # The sample is drawn from the labels, so texts of other rows never move.
     chosen = F.broadcast(known.where(fold == 4).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(calibrate_rows))  # calibrate_rows rows
     sample = documents.select("doc_id", "text").join(chosen, "doc_id")
-    rows = _statistics(sample, model).select("y", "_x").toPandas()
+    rows = _statistics(sample, model, ["y"]).select("_doc.y", "_x").toPandas()
     x = np.array(rows["_x"].to_list(), np.float64).reshape(-1, 2)
     model["weights"] = _logistic(x, rows["y"].to_numpy(np.float64))
     return model
@@ -168,21 +168,22 @@ def _statistic(sent) -> Callable[[Column], Column]:
     return lambda text: run(words(text))
 
 
-def _statistics(documents: DataFrame, model: dict) -> DataFrame:
-    """documents with _x, the two statistics of every row's text."""
+def _statistics(documents: DataFrame, model: dict, kept: list[str]) -> DataFrame:
+    """_doc, a struct of the kept columns, and _x, the two statistics of every row's text. Nothing else is in the way of the caller's names."""
+    own = F.struct(*columns(kept)).alias("_doc")
     if "sent" in model:
-        return documents.withColumn("_x", _statistic(model["sent"])(F.col("text")))
+        return documents.select(own, _statistic(model["sent"])(F.col("text")).alias("_x"))
     # The table of n-grams is too large to send: texts meet it by joins, each different text and word once.
     texts = documents.select(F.xxhash64("text").alias("_fp"), "text").dropDuplicates(["_fp"])
     each = texts.select("_fp", F.explode(words(F.col("text"))).alias("word")).groupBy("_fp", "word").agg(F.count("*").alias("k"))
     grams = each.select("word").distinct().select("word", F.explode(_padded_grams(F.col("word"))).alias("g"))
-    ratio = cut(grams.join(model["ratios"], "g").groupBy("word").agg(F.sum("ratio").alias("ratio")), "words")
+    # A word whose n-grams are all unknown tells nothing, but counts.
+    ratio = cut(grams.join(model["ratios"], "g", "left").groupBy("word").agg(F.coalesce(F.sum("ratio"), F.lit(0.0)).alias("ratio")), "words")
     excess = F.greatest(F.col("ratio") - MARGIN, F.lit(0.0))
     found = each.join(ratio, "word").groupBy("_fp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("ratio")).alias("plain"), F.sum(F.col("k") * excess).alias("excess"))
     both = cut(found.select("_fp", F.array(F.col("plain") / F.col("n"), F.log(FLOOR + F.col("excess") / F.col("n"))).alias("_x")), "statistics")
-    own = documents.withColumn("_hash", F.xxhash64("text"))
-    out = own.join(both, own["_hash"] == both["_fp"], "left").withColumn("_x", F.coalesce("_x", F.array(F.lit(0.0), F.log(F.lit(FLOOR)))))
-    return out.select(*documents.columns, "_x")
+    rows = documents.select(own, F.xxhash64("text").alias("_fp"))
+    return rows.join(both, "_fp", "left").select("_doc", F.coalesce("_x", F.array(F.lit(0.0), F.log(F.lit(FLOOR)))).alias("_x"))
 
 
 def _chance(model: dict) -> Column:
@@ -193,10 +194,10 @@ def _chance(model: dict) -> Column:
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """documents with score, the chance of label 1 of every row's whole text; a column score is replaced."""
-    return _statistics(documents, model).withColumn("score", _chance(model)).drop("_x")
+    return _statistics(documents, model, [c for c in documents.columns if c.lower() != "score"]).select("_doc.*", _chance(model).alias("score"))
 
 
 def accept(documents: DataFrame, labels: DataFrame, most: float) -> DataFrame:
     """The rows of documents that a model trained on labels gives a score below ``most``."""
     model = train(documents, labels)
-    return _statistics(documents, model).where(_chance(model) < most).select(*documents.columns)
+    return _statistics(documents, model, documents.columns).where(_chance(model) < most).select("_doc.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, cut
+from .common import ascii_lower, broadcast_if, columns, cut
 from .graph import components
 from .subwords import in_slices
 
@@ -297,7 +297,7 @@ def deduplicate(documents: DataFrame, percent: int = 75, shingle: int = 5) -> Da
     named = each.groupBy("doc_id", "fp", "stays").agg(F.count("*").alias("n"))
     named = cut(named.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("stays").alias("_stays")), "named")
     of = lambda side: F.col("_doc.doc_id").cast("long").eqNullSafe(side["_id"]) & (F.col("_hash") == side["_fp"])
-    docs = documents.select(F.struct(*documents.columns).alias("_doc"), F.xxhash64("text").alias("_hash"))
+    docs = documents.select(F.struct(*columns(documents.columns)).alias("_doc"), F.xxhash64("text").alias("_hash"))
     left = docs.join(broadcast_if(named, named.count(), BROADCAST_NODES), of(named), "left_anti").select("_doc.*")
     many = named.where("_stays")
     n_many = many.count()

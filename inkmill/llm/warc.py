@@ -1,7 +1,7 @@
 """WARC derivatives: linked metadata and plain-text conversion records from response records.
 
 ``responses`` turns pages(page_id, url, html) into response records, ``derive`` turns responses into one
-metadata and one conversion record each. ``write_warc`` writes records as WARC/1.1 files, a gzip member a record, with an index of
+metadata and one conversion record each; the metadata keep the source record's fields and its HTTP status and headers. ``write_warc`` writes records as WARC/1.1 files, a gzip member a record, with an index of
 where each record is, so ``read_warc`` reads any of them alone and splits files between tasks. ``scan_warc`` reads
 files that have no index.
 
@@ -10,7 +10,8 @@ executor was lost or beside a slow one, leaves nothing wrong behind.
 
 Nulls and odd input: a null html is an empty payload; a null url leaves WARC-Target-URI out. Record ids are
 name-based digests of (page_id, url, html), so repeated rows give records with equal ids, and a rerun gives the
-same ids. Empty tables give empty tables. Extra columns of pages are ignored.
+same ids. A null block is written as an empty one. Very long pages, and pages full of tags that never end, are scanned in time linear in their
+length. Empty tables give empty tables. Extra columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -80,27 +81,53 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAKS = re.compile(r"<(?:/?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|main|aside|title|blockquote|pre|hr|dd|dt|form)\b[^>]*)>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
+_OPEN = {name: re.compile(rf"<{name}\b[^>]*>", re.I) for name in ("title", "a", "html")}
+_TITLE_END = re.compile(r"</title", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
+
+
+def _tagged(source: str) -> int:
+    """How far tags can reach: no expression looks for the end of a tag where none follows, so scans are linear in the text."""
+    return source.rfind(">") + 1
 
 
 def page_text(source: str) -> str:
     """Visible text: hidden elements and comments go, block tags break lines, entities are decoded."""
-    plain = _TAG.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", source)))
+    shown = _HIDDEN.sub(" ", source)
+    end = _tagged(shown)
+    plain = _TAG.sub("", _BREAKS.sub("\n", shown[:end])) + shown[end:]
     return "\n".join(x for x in (" ".join(line.split()) for line in htmllib.unescape(plain).split("\n")) if x)
 
 
-def page_metadata(source: str) -> str:
-    title, lang = _TITLE.search(source), _LANG.search(source)
-    links = [htmllib.unescape(a or b or c) for a, b, c in _HREF.findall(_HIDDEN.sub(" ", source))]
-    return json.dumps({"title": " ".join(htmllib.unescape(title[1]).split()) if title else None, "lang": lang[1] if lang else None, "n_links": len(links), "links": links}, ensure_ascii=False)
+def _title(source: str) -> str | None:
+    begin = _OPEN["title"].search(source, 0, _tagged(source))
+    end = _TITLE_END.search(source, begin.end()) if begin else None
+    return " ".join(htmllib.unescape(source[begin.end() : end.start()]).split()) if end else None
+
+
+def _links(source: str) -> list[str]:
+    found = []
+    for tag in _OPEN["a"].finditer(source, 0, _tagged(source)):
+        name = _HREF.search(source, tag.start(), tag.end())
+        if name and (value := _VALUE.match(source, name.end())):
+            found.append(htmllib.unescape(value[1] or value[2] or value[3] or ""))
+    return found
+
+
+def page_metadata(source: str, head: str = "") -> str:
+    """What a page says of itself, and the status and header lines that it came with."""
+    lang = next((m[1] for tag in _OPEN["html"].finditer(source, 0, _tagged(source)) if (m := _LANG.search(source, tag.start(), tag.end()))), None)
+    links, lines = _links(_HIDDEN.sub(" ", source)), head.split("\r\n")
+    headers = [[name.strip(), value.strip()] for name, colon, value in (x.partition(":") for x in lines[1:]) if colon]
+    return json.dumps({"title": _title(source), "lang": lang, "n_links": len(links), "links": links, "http-status": lines[0] or None, "http-headers": headers}, ensure_ascii=False)
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("meta", T.StringType())]))
 def _extract(blocks: pd.Series) -> pd.DataFrame:
-    bodies = [b.partition("\r\n\r\n")[2] for b in blocks]
-    return pd.DataFrame({"text": [page_text(b) for b in bodies], "meta": [page_metadata(b) for b in bodies]})
+    parts = [(b or "").partition("\r\n\r\n") for b in blocks]
+    return pd.DataFrame({"text": [page_text(body) for _, _, body in parts], "meta": [page_metadata(body, head) for head, _, body in parts]})
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -142,9 +169,9 @@ def as_text(records: DataFrame, *keep: str) -> DataFrame:
             line("WARC-Block-Digest", F.col("block_digest")),
             line("WARC-Payload-Digest", F.col("payload_digest")),
             line("X-Page-Id", F.col("page_id")),
-            line("Content-Length", F.col("content_length")),
+            line("Content-Length", F.coalesce("content_length", F.lit(0))),
             F.lit(CRLF),
-            F.col("block"),
+            F.coalesce("block", F.lit("")),
             F.lit(CRLF),
         ).alias("value"),
         *keep,

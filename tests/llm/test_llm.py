@@ -347,7 +347,9 @@ def test_warc(spark, tmp_path):
             m = json.loads(r.block)
             assert m["envelope"]["source-record"] == r.refers_to and m["envelope"]["source-payload-digest"] == p.payload_digest
             if r.page_id == 1:
-                assert m["page"] == {"title": "A & B", "lang": "fr", "n_links": 1, "links": ["/x?a=1&b=2"]}
+                page = m["page"]
+                assert page.pop("http-status") == "HTTP/1.1 200 OK" and dict(page.pop("http-headers"))["Content-Type"] == "text/html; charset=utf-8"
+                assert page == {"title": "A & B", "lang": "fr", "n_links": 1, "links": ["/x?a=1&b=2"]}
     warc.write_warc(made.unionByName(responses), str(tmp_path / "w"), 3)
     back = warc.read_warc(spark, str(tmp_path / "w"))
     assert sorted(map(str, back.collect())) == sorted(map(str, made.unionByName(responses).select(*back.columns).collect()))
@@ -359,6 +361,21 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_warc_scans_are_linear(spark, tmp_path):
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<a", "<a ", "<p ", "<title ", "<html ", "<a <b >", "<!-- ", "<script>", "<a href='x ", "</script "):
+        source = unit * (2_000_000 // len(unit))
+        warc.page_text(source)
+        warc.page_metadata(source)
+    assert time.perf_counter() - began < 40
+    assert warc.page_text("a < b <a") == "a < b <a" and json.loads(warc.page_metadata("<title>x</title><a class=c href=y>z</a><a href>"))["links"] == ["y"]
+    empty = spark.createDataFrame([(None,) * 11], warc.FIELDS)
+    warc.write_warc(empty, str(tmp_path / "null"))
+    assert [r.block for r in warc.read_warc(spark, str(tmp_path / "null")).collect()] == [""]
+
+
 def test_warc_query_keeps_the_blocks(spark, sf):
     rows = queries.op8_warc(spark, sf).collect()
     assert {r.warc_type for r in rows} == {"conversion", "metadata"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import FIGURE_TYPES, block_type, box_distance, image_action, inside, is_skipped, is_title
@@ -74,17 +74,28 @@ def threshold_stats(spans: DataFrame, least: float = 14.0, share: float = 0.85)
 
 
 def doc_title(spans: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, title): the first span at or over the size threshold that has more than three characters."""
-    good = spans.where((F.col("size") >= threshold) & (F.length(strip(F.col("text"))) > 3) & ~contains_keyword(F.col("text"), [*TOC, "前言", "FOREWORD", "序言", "PREFACE"]))
+    """(doc_id, title): the first span at or over the size threshold that has more than three characters and isn't a page number."""
+    number = strip(F.translate("text", "— ", "")).rlike(r"^\d+$")
+    good = spans.where((F.col("size") >= threshold) & (F.length(strip(F.col("text"))) > 3) & ~number & ~contains_keyword(F.col("text"), [*TOC, "前言", "FOREWORD", "序言", "PREFACE"]))
     return good.groupBy("doc_id").agg(F.min_by(strip(F.col("text")), F.col("pos")).alias("title"))
 
 
+def page_texts(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, texts): the texts of each page in order; the document's first title is left out, other titles are texts."""
+    rows = blocks.where(~is_skipped(F.col("type")) & (F.coalesce("text", F.lit("")) != ""))
+    first = rows.where(is_title(F.col("type"), F.lit(False))).groupBy("doc_id").agg(F.min(F.struct("page", "pos")).alias("_title"))
+    rows = rows.join(first, "doc_id", "left").where(F.col("_title").isNull() | (F.struct("page", "pos") != F.col("_title")))
+    return rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"].alias("texts"))
+
+
+def rest_of(texts: Column) -> Column:
+    """All but the first of an array."""
+    return F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))
+
+
 def fallback_chunks(blocks: DataFrame) -> DataFrame:
-    """A chunk a page: its first paragraph is the parent, the rest the child; titles and skipped types are left out."""
-    rows = blocks.where(~is_skipped(F.col("type")) & ~is_title(F.col("type"), F.lit(False)) & (F.coalesce("text", F.lit("")) != ""))
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x"))
-    texts = F.col("x")["text"]
-    return pages.select("doc_id", "page", F.get(texts, F.lit(0)).alias("parent"), F.array_join(F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), "\n").alias("child"))
+    """A chunk a page: its first paragraph is the parent, the rest the child; the document's first title and skipped types are left out."""
+    return page_texts(blocks).select("doc_id", "page", F.get("texts", F.lit(0)).alias("parent"), F.array_join(rest_of(F.col("texts")), "\n").alias("child"))
 
 
 def route(pages: DataFrame, force: str | None = None, sample: int = 5, least_chars: float = 100, documents: DataFrame | None = None, configured: str = "auto") -> DataFrame:

@@ -108,25 +108,30 @@ def parent_threshold(blocks: DataFrame, key: str = "doc_id", ratio: float = 1.5,
     return sizes.select(key, F.when(useless, -1.0).otherwise(limit).alias("threshold"))
 
 
-def merge_small(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_idx, parent, child): a childless chunk goes into the next, pairwise.
+def lead_ins(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """chunks(key, chunk_idx, parent, child, ...) without those that go into the next, with bare and lead_in.
 
-    Where both are childless, both parents' texts stay, one as the child.
+    A chunk is bare if it has no child; lead_in is the parent of the bare chunk that it takes up.
     """
-    empty = F.coalesce(strip(F.col("child")) == "", F.lit(True))
     w = Window.partitionBy(key).orderBy("chunk_idx")
-    rows = chunks.withColumn("bare", empty)
+    rows = chunks.withColumn("bare", F.coalesce(strip(F.col("child")) == "", F.lit(True)))
     # In a run of childless chunks every second one is taken by the one before it.
     run = F.sum((~F.col("bare")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("run", F.coalesce(run, F.lit(0)))
     place = F.row_number().over(Window.partitionBy(key, "run").orderBy("chunk_idx"))
     rows = rows.withColumn("place", place).withColumn("last", F.lead("chunk_idx").over(w).isNull())
-    taken = F.col("bare") & (F.col("place") % 2 == 1) & ~F.col("last")
-    rows = rows.withColumn("taken", taken)
-    before = F.lag(F.when(F.col("taken"), F.col("parent"))).over(w)
-    rows = rows.withColumn("lead_in", before)
+    rows = rows.withColumn("taken", F.col("bare") & (F.col("place") % 2 == 1) & ~F.col("last"))
+    rows = rows.withColumn("lead_in", F.lag(F.when(F.col("taken"), F.col("parent"))).over(w))
+    return rows.where("NOT taken").drop("run", "place", "last", "taken")
+
+
+def merge_small(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, chunk_idx, parent, child): a childless chunk goes into the next, pairwise.
+
+    Where both are childless, both parents' texts stay, one as the child.
+    """
     child = F.when(F.col("lead_in").isNull(), F.col("child")).when(F.col("bare"), F.col("lead_in")).otherwise(F.concat("lead_in", F.lit("\n"), "child"))
-    return rows.where("NOT taken").select(key, "chunk_idx", "parent", child.alias("child"))
+    return lead_ins(chunks.select(key, "chunk_idx", "parent", "child"), key).select(key, "chunk_idx", "parent", child.alias("child"))
 
 
 def turn_chunks(turns: DataFrame, most: int = MAX_TOKENS) -> DataFrame:

@@ -82,8 +82,9 @@ def toc_range(paragraphs: DataFrame) -> DataFrame:
 def body_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, first_body, last_body) of pages(doc_id, page, text), pages counted from 1.
 
-    The body begins after a table of contents on one of the first six pages, else after a preface or a cover; it ends
-    before an appendix on one of the last eight.
+    The body begins after a table of contents on one of the first six pages, else after a preface, else with the first page of some
+    length. Where none of these is found, and no appendix, covers among the first three pages are left out. It ends before an appendix
+    on one of the last eight.
     """
     rows = pages.withColumns({"solid": substantial(F.col("text"), [*TOC, *PREFACE]), "preface": contains_keyword(F.col("text"), PREFACE)})
     total = F.max("page")
@@ -92,14 +93,16 @@ def body_pages(pages: DataFrame) -> DataFrame:
         F.min(F.when((F.col("page") <= 6) & contains_keyword(F.col("text"), TOC), F.col("page"))).alias("toc"),
         F.min(F.when((F.col("page") <= 5) & ~F.col("preface") & F.col("solid"), F.col("page"))).alias("plain"),
         F.max(F.when((F.col("page") <= 5) & F.col("preface"), F.col("page"))).alias("last_preface"),
+        F.min(F.when((F.col("page") <= 3) & ~is_cover(F.col("text")), F.col("page"))).alias("uncovered"),
         F.array_sort(F.collect_list(F.when(F.col("solid"), F.col("page")))).alias("solids"),
         F.array_sort(F.collect_list(F.when(contains_keyword(F.col("text"), APPENDIX), F.col("page")))).alias("appendices"),
     )
     next_solid = lambda after: F.coalesce(F.array_min(F.filter("solids", lambda p: p > after)), F.col("pages") + 1)
-    first = F.when(F.col("toc").isNotNull(), next_solid(F.col("toc"))).when(F.col("plain").isNotNull(), F.col("plain")).when(F.col("last_preface").isNotNull(), next_solid(F.col("last_preface"))).otherwise(1)
     late = F.filter("appendices", lambda p: p > F.col("pages") - 8)
     # Long documents give their first appendix among the last pages, short ones their last.
     appendix = F.when(F.col("pages") >= 8, F.array_min(late)).otherwise(F.array_max("appendices"))
+    bare = F.when(appendix.isNotNull(), 1).otherwise(F.coalesce("uncovered", F.least(F.lit(3), F.col("pages")) + 1))
+    first = F.when(F.col("toc").isNotNull(), next_solid(F.col("toc"))).when(F.col("plain").isNotNull(), F.col("plain")).when(F.col("last_preface").isNotNull(), next_solid(F.col("last_preface"))).otherwise(bare)
     return base.select("doc_id", first.cast("int").alias("first_body"), F.coalesce(appendix - 1, F.col("pages")).cast("int").alias("last_body"))
 
 

@@ -1,4 +1,4 @@
-"""The default chunker: blocks to parent and child chunks by title height, and chunks to marked text."""
+"""Chunks to marked text, repair of split texts, spans and DOCX paragraphs to chunks."""
 
 from __future__ import annotations
 
@@ -7,14 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import FIGURE_TYPES, block_type, is_skipped, is_title
-from ..functions.text import NUMERALS, estimate_tokens, fix_percent_order, is_fragment, is_list_item, is_sub_heading, strip
-from .blocks import fallback_chunks
-from .chunks import CHILD, LINE_BREAKS, MAX_TOKENS, PARENT, merge_lines, merge_small, parent_threshold, register_strategy, split_by_rules
+from ..functions.text import NUMERALS, estimate_tokens, is_fragment, is_list_item, is_sub_heading, strip
+from .chunks import CHILD, LINE_BREAKS, MAX_TOKENS, PARENT, merge_lines, register_strategy, split_by_rules
+from .compose import chunk_blocks
 from .outline import docx_title, is_docx_heading, merge_empty_headings, toc_range
 
 # Fixed values.
-LIST_TYPES = ["list", "list_item", "index"]
 SECTION_START = (
     rf"(?:第[零{NUMERALS}\d]+[章节条款项部分编类目篇]|[零{NUMERALS}]+[、．.]|[（][零{NUMERALS}\d]+[）]|\d+[、．.]|[A-Za-z][、．.)]\s*)"
 )
@@ -24,85 +22,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold(items: Column, most: int) -> Column:
-    """A section's items (kind, text) to its parts: lists are buffered, body text runs on while it fits."""
-    text = "array<struct<text: string, image: boolean>>"
-    part = lambda t, image=False: F.struct(t.alias("text"), F.lit(image).alias("image"))
-    state = lambda parts, sub, lists: F.struct(parts.alias("parts"), sub.alias("sub"), lists.alias("lists"))
-    none = F.array().cast("array<string>")
-
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["lists"]) > 0, F.concat(s["parts"], F.array(part(F.array_join(s["lists"], "\n"))))).otherwise(s["parts"])
-
-    def body(parts: Column, sub: Column, t: Column) -> Column:
-        last = F.element_at(parts, -1)
-        joined = F.concat(last["text"], F.when(sub, "\n").otherwise(""), t)
-        fits = (F.size(parts) > 0) & ~F.coalesce(last["image"], F.lit(True)) & (estimate_tokens(joined) <= most)
-        return F.when(fits, F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(part(joined)))).otherwise(F.concat(parts, F.array(part(t))))
-
-    def step(s: Column, x: Column) -> Column:
-        def by_kind(parts: Column) -> Column:
-            return (
-                F.when(x["kind"] == "sub", state(F.concat(parts, F.array(part(x["text"]))), F.lit(True), none))
-                .when(x["kind"] == "image", state(F.concat(parts, F.array(part(x["text"], True))), s["sub"], none))
-                .otherwise(state(body(parts, s["sub"], x["text"]), F.lit(False), none))
-            )
-
-        listed = state(s["parts"], F.lit(False), F.concat(s["lists"], F.array(x["text"])))
-        return F.when(x["kind"] == "list", listed).otherwise(_let(flushed(s), by_kind))
-
-    return F.aggregate(items, state(F.array().cast(text), F.lit(False), none), step, flushed)
-
-
-def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """(doc_id, chunk_idx, parent, parent_type, page, child) of blocks(doc_id, page, pos, type, text, has_text_level, bbox).
-
-    A title of the threshold's height or more begins a chunk; a lower one is a line of its own; the first title of all is the
-    document's. Text before any such title has its first piece as parent (a list keeps it as child too). An
-    optional column caption is an image's text, an optional column merged marks texts that went into a caption. A
-    document without chunks gets one a page; a chunk without children goes into the next.
-    """
-    for name, kind in (("caption", "string"), ("merged", "boolean")):
-        if name not in blocks.columns:
-            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
-    title = is_title(F.col("type"), F.col("has_text_level"))
-    box = F.col("bbox").isNotNull() & (F.size("bbox") == 4)
-    height = F.when(box, F.get("bbox", F.lit(3)) - F.get("bbox", F.lit(1))).otherwise(0.0)
-    rows = blocks.where(~is_skipped(F.col("type")) & ~F.coalesce("merged", F.lit(False))).withColumns({"title": title, "height": height, "text": F.coalesce("text", F.lit(""))})
-    # One-character titles are left out of the text, but count among the heights.
-    limits = parent_threshold(blocks.where(title).select("doc_id", height.alias("height")))
-    rows = rows.where(~F.col("title") | (F.length("text") != 1))
-    rows = rows.join(limits, "doc_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(-1.0)))
-
-    w = Window.partitionBy("doc_id").orderBy("page", "pos")
-    rows = rows.withColumn("nth", F.sum(F.col("title").cast("int")).over(w)).where(~(F.col("title") & (F.col("nth") == 1)))
-    tall = F.col("title") & ((F.col("threshold") <= 0) | (F.col("height") >= F.col("threshold")))
-    figure = block_type(F.col("type")).isin(FIGURE_TYPES)
-    kind = F.when(F.col("title"), "sub").when(figure, "image").when(block_type(F.col("type")).isin(LIST_TYPES), "list").otherwise("body")
-    shown = F.when(figure, F.concat(F.lit("[图片] "), F.coalesce("caption", "text"))).otherwise(F.col("text"))
-    rows = rows.withColumns({"tall": tall, "kind": kind, "shown": shown}).withColumn("section", F.sum(F.col("tall").cast("int")).over(w))
-    item = F.struct("page", "pos", "kind", F.col("shown").alias("text"))
-    sections = rows.groupBy("doc_id", "section").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("tall") & (F.col("shown") != ""), item))).alias("items"),
-        F.max(F.when(F.col("tall"), F.col("text"))).alias("heading"),
-        F.min("page").alias("page"),
-    )
-    first = F.get("items", F.lit(0))
-    lead = F.col("heading").isNull() & (F.size("items") > 0) & (first["kind"] != "image")
-    rest = F.when(lead & (first["kind"] != "list"), F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0)))).otherwise(F.col("items"))
-    names = F.when(first["kind"] == "sub", "sub_title").when(first["kind"] == "list", "list").otherwise("paragraph")
-    made = sections.select(
-        "doc_id", F.col("section").alias("chunk_idx"), "page", F.coalesce("heading", F.when(lead, first["text"])).alias("parent"), F.when(F.col("heading").isNotNull(), "title").otherwise(names).alias("parent_type"), _fold(rest, most).alias("parts")
-    ).where("parent IS NOT NULL")
-    made = made.select("doc_id", "chunk_idx", "page", "parent", "parent_type", fix_percent_order(strip(F.array_join(F.col("parts")["text"], "\n"))).alias("child")).where("parent <> '' OR child <> ''")
-    bare = fallback_chunks(blocks.join(made.select("doc_id").distinct(), "doc_id", "left_anti"))
-    w = Window.partitionBy("doc_id").orderBy("page")
-    bare = bare.select("doc_id", (F.row_number().over(w) - 1).alias("chunk_idx"), "page", "parent", F.lit("paragraph").alias("parent_type"), "child")
-    both = made.unionByName(bare)
-    kept = merge_small(both.select("doc_id", "chunk_idx", "parent", "child"))
-    return kept.join(both.select("doc_id", "chunk_idx", "page", "parent_type"), ["doc_id", "chunk_idx"])
-
-
 def repair_splits(parts: Column, most: int = MAX_TOKENS) -> Column:
     """Parts of a split text put right where a cut fell inside a unit.
 
@@ -121,7 +40,7 @@ def repair_splits(parts: Column, most: int = MAX_TOKENS) -> Column:
         moves = (kept != "") & (F.length(strip(moved)) > 0) & (estimate_tokens(F.concat(moved, p)) <= most)
         return (
             F.when(held.isNull(), state(s["out"], p))
-            .when(p.rlike(f"^。?{SECTION_START}"), alone)
+            .when(p.rlike(rf"^。[ \t\n]*{SECTION_START}"), alone)
             .when(estimate_tokens(F.concat(held, p)) <= most, state(F.concat(s["out"], F.array(F.concat(held, p))), none))
             .when(moves, state(F.concat(s["out"], F.array(strip(kept))), F.concat(moved, p)))
             .otherwise(alone)

@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import blocks, checks, chunks, knowledge, sections
 from ..sources.documents import spread
 from ..streaming import jobs
+from . import chunking
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,9 +154,8 @@ def split_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def default_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines that end no sentence are the titles."""
-    title = (F.length("text") <= 40) & ~tx.ends_sentence(F.col("text"))
-    return sections.chunk_blocks(sections.line_blocks(_texts(spark, sf_dir), title)).select("doc_id", "chunk_idx", "parent", "parent_type", "child")
+    """Lines as titles, lists, tables, images and captions, composed to parent and child chunks."""
+    return chunking.default_chunk(_texts(spark, sf_dir))
 
 
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +194,8 @@ def span_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight lines a page."""
-    b = sections.line_blocks(_texts(spark, sf_dir)).withColumn("page", F.floor(F.col("pos") / 8).cast("int"))
+    """Eight lines a page, every fifth a title."""
+    b = sections.line_blocks(_texts(spark, sf_dir), F.col("pos") % 5 == 2).withColumn("page", F.floor(F.col("pos") / 8).cast("int"))
     return blocks.fallback_chunks(b)
 
 
@@ -305,6 +305,12 @@ def _strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{_S}+|{_S}+$', '', 'g')"
 
 
+def _tokens_sql(c: str) -> str:
+    """Tokens of a text without wide characters of the second plane's extensions, as ``estimate_tokens`` counts them."""
+    wide = f"regexp_replace({c}, '{tx.WIDE}', '', 'g')"
+    return f"ceil(length({c}) - length({wide}) + length(regexp_replace({wide}, '{_S}', '', 'g')) / 4)"
+
+
 def _clean_sql() -> str:
     c = "text"
     rules = [
@@ -438,9 +444,11 @@ SELECT doc_id, arg_min({_strip_sql("line")}, pos) AS title FROM {_SPANS}
 WHERE size >= 14 AND length({_strip_sql("line")}) > 3 AND NOT regexp_matches(replace(replace(line, ' ', ''), chr(9), ''), '目录|CONTENTS|前言|FOREWORD|序言|PREFACE') GROUP BY 1
 """,
         "page_fallback": f"""
-SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min({_strip_sql("line")}, pos) AS parent, array_to_string(list({_strip_sql("line")} ORDER BY pos)[2:], chr(10)) AS child
-FROM {_LINES} WHERE {_strip_sql("line")} <> '' GROUP BY 1, 2
+WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE {_strip_sql("line")} <> '')
+SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
+FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
 """,
+        "default_chunk": chunking.default_chunk_sql(_LINES, _strip_sql, _tokens_sql),
         "chunk_counts": "SELECT doc_id, CAST(greatest(len(string_split(text, chr(10))) - 1, 1) AS INT) AS n_chunks FROM documents",
         "text_helpers": f"""
 SELECT doc_id, '增长' || doc_id || '.5%约元' AS percent, CAST(CASE WHEN doc_id % 5 = 4 THEN 1 WHEN doc_id % 5 <= 1 THEN 0 WHEN doc_id % 5 = 2 THEN 1 ELSE 2 END AS INT) AS level,

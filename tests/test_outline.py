@@ -33,9 +33,9 @@ def test_docx_titles_and_contents(spark):
 
 def test_body_pages(spark):
     long = "正文" * 60
-    docs = {1: ["封面", "目  录", "续 1", long, long, "附 录 A"], 2: ["前言", "短", long], 3: [long, long], 4: ["短"], 5: [long] * 8 + ["附录 一", "附录 二"]}
+    docs = {1: ["封面", "目  录", "续 1", long, long, "附 录 A"], 2: ["前言", "短", long], 3: [long, long], 4: ["短"], 5: [long] * 8 + ["附录 一", "附录 二"], 6: ["内部资料", "说明", "五年规划", "短"], 7: ["封", "面", "短", "短"], 8: ["封面", "短", "附录"]}
     d = spark.createDataFrame([(k, i + 1, t) for k, v in docs.items() for i, t in enumerate(v)], "doc_id int, page int, text string")
-    assert sorted(tuple(r) for r in outline.body_pages(d).collect()) == [(1, 4, 5), (2, 3, 3), (3, 1, 2), (4, 1, 1), (5, 1, 8)]
+    assert sorted(tuple(r) for r in outline.body_pages(d).collect()) == [(1, 4, 5), (2, 3, 3), (3, 1, 2), (4, 2, 1), (5, 1, 8), (6, 3, 4), (7, 4, 4), (8, 1, 2)]
 
 
 def test_toc_blocks_and_empty_headings(spark):

@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import blocks, checks, chunks, knowledge, sections
 from ..sources.documents import spread
 from ..streaming import jobs
-from . import chunking
+from . import chunking, job_life
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +158,10 @@ def default_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.default_chunk(_texts(spark, sf_dir))
 
 
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_life.job_history(_table(spark, sf_dir, "events"))
+
+
 def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, some of which are numbered, begin an article or go on."""
     lines = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
@@ -292,7 +296,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history,
     )
     return {f.__name__: f for f in found}
 
@@ -448,6 +452,7 @@ WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE
 SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
 FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
 """,
+        "job_history": job_life.job_history_sql(),
         "default_chunk": chunking.default_chunk_sql(_LINES, _strip_sql, _tokens_sql),
         "chunk_counts": "SELECT doc_id, CAST(greatest(len(string_split(text, chr(10))) - 1, 1) AS INT) AS n_chunks FROM documents",
         "text_helpers": f"""

@@ -11,6 +11,8 @@ from ..functions import content
 from ..functions import text as tx
 from ..operators import blocks, checks, chunks, knowledge, sections
 from ..sources.documents import spread
+from ..sources.versions import VersionedStore
+from ..staging import staging_path
 from ..streaming import jobs
 from . import chunking, job_life
 
@@ -158,6 +160,19 @@ def default_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.default_chunk(_texts(spark, sf_dir))
 
 
+def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after five commits: two languages of chunks, a third that replaces one source, a source gone, regions set, the rest, one batch twice."""
+    kb = _kb(spark, sf_dir).select("source", "chunk_id", "filename", "region_code")
+    store = VersionedStore(spark, staging_path(spark, "versions"), "source string, chunk_id long, filename string, region_code string")
+    en = F.col("region_code") == "en"
+    store.commit("a", 0, kb.where(en))
+    store.commit("a", 1, kb.where(~en & (F.col("source") == "src0")))
+    store.commit("b", 7, gone=kb.where(F.col("source") == "src1").select("source"))
+    store.commit("b", 7, kb.where(~en))
+    store.commit("b", 8, kb.where(~en & ~F.col("source").isin("src0", "src2")), regions=kb.where(F.col("source").isin("src0", "src2")).select("source", F.lit("130000000").alias("region_code")))
+    return store.snapshot()
+
+
 def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_life.job_history(_table(spark, sf_dir, "events"))
 
@@ -296,7 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot,
     )
     return {f.__name__: f for f in found}
 
@@ -451,6 +466,10 @@ WHERE size >= 14 AND length({_strip_sql("line")}) > 3 AND NOT regexp_matches(rep
 WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE {_strip_sql("line")} <> '')
 SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
 FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
+""",
+        "store_snapshot": f"""
+SELECT source, chunk_id, filename, CASE WHEN source IN ('src0', 'src2') THEN '130000000' ELSE region_code END AS region_code FROM {_KB}
+WHERE CASE source WHEN 'src0' THEN region_code <> 'en' WHEN 'src2' THEN region_code = 'en' ELSE region_code <> 'en' OR (source <> 'src1' AND source NOT IN (SELECT source FROM {_KB} WHERE region_code <> 'en')) END
 """,
         "job_history": job_life.job_history_sql(),
         "default_chunk": chunking.default_chunk_sql(_LINES, _strip_sql, _tokens_sql),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import write_chunks
+from ..sources.versions import VersionedStore
 
 #: Stage floors in percent, by a word of the progress message.
 STAGES = [("识别", 25), ("提取", 75), ("生成", 90)]
@@ -96,3 +97,12 @@ def ingest(stream: DataFrame, chunker: Callable[[DataFrame], DataFrame], store:
         write_chunks(chunker(batch), store)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_once(stream: DataFrame, chunker: Callable[[DataFrame], DataFrame], store: VersionedStore, writer: str, checkpoint: str) -> StreamingQuery:
+    """``ingest`` into a store of snapshots: a batch that comes again after a failure is taken in once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        store.commit(writer, number, chunker(batch))
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

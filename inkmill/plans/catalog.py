@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..functions import text as tx
-from ..operators import blocks, checks, chunks, knowledge, sections
+from ..operators import blocks, checks, chunks, knowledge, matcher, sections
 from ..sources.documents import spread
 from ..sources.versions import VersionedStore
 from ..staging import staging_path
@@ -160,6 +160,19 @@ def default_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.default_chunk(_texts(spark, sf_dir))
 
 
+def region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, two in three with the name of a nation or region put in, matched with nations' names, their beginnings and codes."""
+    nations = _table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))
+    names = nations.select(F.col("n_name").alias("name"), code.alias("code")).unionByName(nations.select(F.substring("n_name", 1, 5).alias("name"), code.alias("code"))).unionByName(nations.select(code.alias("name"), code.alias("code")))
+    names = names.unionByName(_table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("code")))
+    planted = nations.select(F.col("n_nationkey").alias("k"), "n_name")
+    docs = _table(spark, sf_dir, "documents").join(F.broadcast(planted), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 25) == F.col("k"), "left")
+    name = F.when(F.col("doc_id") % 3 == 1, F.col("n_name")).when(F.col("doc_id") % 3 == 2, F.concat(F.substring("n_name", 1, 6), F.lit(" N0"), F.lpad(F.col("k").cast("string"), 2, "0"))).otherwise("")
+    files = docs.select("doc_id", F.concat(F.substring("text", 1, 20), name, F.lit(" "), "text").alias("text"))
+    return matcher.match_regions(files, names, "text").select("doc_id", "region_code", "matched", "n_names")
+
+
 def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a store holds after five commits: two languages of chunks, a third that replaces one source, a source gone, regions set, the rest, one batch twice."""
     kb = _kb(spark, sf_dir).select("source", "chunk_id", "filename", "region_code")
@@ -311,7 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches,
     )
     return {f.__name__: f for f in found}
 
@@ -466,6 +479,13 @@ WHERE size >= 14 AND length({_strip_sql("line")}) > 3 AND NOT regexp_matches(rep
 WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE {_strip_sql("line")} <> '')
 SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
 FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
+""",
+        "region_matches": """
+WITH n AS (SELECT lower(n_name) AS name, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, n_nationkey AS k, n_name FROM nation),
+c AS (SELECT name, min(code) AS code FROM (SELECT name, code FROM n UNION ALL SELECT substr(name, 1, 5), code FROM n UNION ALL SELECT code, code FROM n UNION ALL SELECT lower(r_name), 'r' || r_regionkey FROM region) GROUP BY name),
+f AS (SELECT doc_id, lower(substr(text, 1, 20) || CASE doc_id % 3 WHEN 1 THEN n_name WHEN 2 THEN substr(n_name, 1, 6) || ' N0' || lpad(CAST(k AS VARCHAR), 2, '0') ELSE '' END || ' ' || text) AS t FROM documents LEFT JOIN n ON doc_id % 3 > 0 AND k = doc_id % 25),
+m AS (SELECT doc_id, name, code, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, instr(t, name), name) AS nth, count(*) OVER (PARTITION BY doc_id) AS n_names FROM f JOIN c ON contains(t, name))
+SELECT doc_id, code AS region_code, coalesce(name, 'manual_required') AS matched, CAST(coalesce(n_names, 0) AS INT) AS n_names FROM documents LEFT JOIN (SELECT * FROM m WHERE nth = 1) USING (doc_id)
 """,
         "store_snapshot": f"""
 SELECT source, chunk_id, filename, CASE WHEN source IN ('src0', 'src2') THEN '130000000' ELSE region_code END AS region_code FROM {_KB}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..functions import text as tx
-from ..operators import blocks, checks, chunks, knowledge, matcher, sections
+from ..operators import blocks, checks, chunks, knowledge, matcher, sections, structure
 from ..sources.documents import spread
 from ..sources.versions import VersionedStore
 from ..staging import staging_path
@@ -173,6 +173,25 @@ def region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.match_regions(files, names, "text").select("doc_id", "region_code", "matched", "n_names")
 
 
+#: Tables of the star schema with their columns of whole numbers.
+STAR = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+
+
+def _star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: _table(spark, sf_dir, t).select(*c) for t, c in STAR.items()}
+
+
+def star_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.table_keys(spark, _star(spark, sf_dir))
+
+
+def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.foreign_keys(spark, _star(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
 def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a store holds after five commits: two languages of chunks, a third that replaces one source, a source gone, regions set, the rest, one batch twice."""
     kb = _kb(spark, sf_dir).select("source", "chunk_id", "filename", "region_code")
@@ -324,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, star_keys, foreign_keys,
     )
     return {f.__name__: f for f in found}
 
@@ -422,6 +441,28 @@ SELECT doc_id, CAST(min(pos) AS INT) AS pos, string_agg(line, chr(10) ORDER BY p
 """
 
 
+def _keys_sql() -> str:
+    """Whether each column or pair of columns repeats; pairs of two columns that are no keys."""
+    one = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS a, count(*) = count(DISTINCT {c}) AS u FROM {t}" for t, cs in STAR.items() for c in cs)
+    two = " UNION ALL ".join(f"SELECT '{t}', '{a}', '{b}', count(*) = count(DISTINCT ({a}, {b})) FROM {t}" for t, cs in STAR.items() for k, a in enumerate(cs) for b in cs[k + 1 :])
+    return f"""
+WITH o AS ({one}), p(t, a, b, u) AS ({two})
+SELECT t AS table_name, a AS key FROM o WHERE u
+UNION ALL SELECT t, a || ',' || b FROM p WHERE u AND (t, a) NOT IN (SELECT (t, a) FROM o WHERE u) AND (t, b) NOT IN (SELECT (t, a) FROM o WHERE u)
+"""
+
+
+def _foreign_keys_sql() -> str:
+    values = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS v FROM {t}" for t, cs in STAR.items() for c in cs)
+    keys = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c FROM {t} HAVING count(*) = count(DISTINCT {c})" for t, cs in STAR.items() for c in cs)
+    return f"""
+WITH x AS ({values}), k AS ({keys}), n AS (SELECT t, c, count(*) AS n FROM x GROUP BY ALL),
+j AS (SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS m FROM x a JOIN x b ON a.v = b.v AND a.t <> b.t GROUP BY ALL)
+SELECT j.t AS table_name, j.c AS "column", rt AS ref_table, rc AS ref_column, round(n.n / r.n, 6) AS share, regexp_replace(j.c, '^[^_]*_', '') = regexp_replace(rc, '^[^_]*_', '') AS named
+FROM j JOIN n ON n.t = j.t AND n.c = j.c AND n.n = m JOIN n r ON r.t = rt AND r.c = rc JOIN k ON k.t = rt AND k.c = rc
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     wide = f"regexp_replace(text, '{tx.WIDE}', '', 'g')"
     return {
@@ -480,6 +521,8 @@ WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE
 SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
 FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
 """,
+        "star_keys": _keys_sql(),
+        "foreign_keys": _foreign_keys_sql(),
         "region_matches": """
 WITH n AS (SELECT lower(n_name) AS name, 'n' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, n_nationkey AS k, n_name FROM nation),
 c AS (SELECT name, min(code) AS code FROM (SELECT name, code FROM n UNION ALL SELECT substr(name, 1, 5), code FROM n UNION ALL SELECT code, code FROM n UNION ALL SELECT lower(r_name), 'r' || r_regionkey FROM region) GROUP BY name),

@@ -12,9 +12,9 @@ Equal vectors are one entry of the index with their k + 1 smallest ids; as they
 among its k nearest. Long posting lists, and lists that many queries read, are cut into blocks that meet pairwise,
 so no task holds a whole list. Scores are recomputed in double precision on the original vectors.
 
-Vectors that are null, zero or hold a null, NaN or infinite component take no part, as query or as candidate; nor do
-those of another length than the commonest (ties: the longer). Rows that share a vec_id don't find each other. Ties go to
-the smaller vec_id. With fewer candidates than k all found come back; an empty table gives an empty table. Extra
+Vectors that are null, zero or hold a null, NaN or infinite component take no part, as query or as candidate.
+Vectors of different lengths have no inner product: each length is searched among itself. A query's own row alone is left out, so rows that
+share its vec_id or its vector are found, and rows of queries that share a vec_id are answered each for itself. Ties go to the smaller vec_id. With fewer candidates than k all found come back; an empty table gives an empty table. Extra
 columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -211,13 +212,20 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float =
 
     report, if given, gets the numbers of lists and of queries, the lists that these read, the most they may and the ratio.
     """
-    spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(valid_vector(F.col("v")) & F.col("vec_id").isNotNull())
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm2).alias("level")).orderBy(F.desc("n"), F.desc("dim")).first()
-    dim = shape["dim"] if shape else 1
-    kept = k + 1
+    # A row for each length of vectors; those of one length have an inner product and are searched among themselves.
+    shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm2).alias("level")).orderBy(F.desc("n"), F.desc("dim")).collect()
+    if not shapes:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+    found = [_search_length(rows.where(F.size("v") == x["dim"]), x["dim"], float(x["level"]), k, recall, report if at == 0 else None) for at, x in enumerate(shapes)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_length(rows: DataFrame, dim: int, level: float, k: int, recall: float, report: dict | None) -> DataFrame:
+    """``search`` among rows(vec_id, v, q) whose vectors have dim components and squared norms up to level."""
+    spark, kept = rows.sparkSession, k + 1
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row for each different vector of a batch, with its smallest ids."""
@@ -225,15 +233,14 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float =
             if len(b):
                 b = pd.DataFrame({"vec": [np.asarray(v, np.float64).tobytes() for v in b["v"]], "id": b["vec_id"], "q": b["q"]}).sort_values("id", kind="stable")
                 g = b.groupby("vec", sort=False)
-                yield pd.DataFrame({"ids": g["id"].apply(lambda s: sorted(set(s))[:kept]), "q": g["q"].any()}).reset_index()[["vec", "ids", "q"]]
+                yield pd.DataFrame({"ids": g["id"].apply(lambda s: sorted(s)[:kept]), "q": g["q"].any()}).reset_index()[["vec", "ids", "q"]]
 
-    small = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, kept)
-    entries = rows.where(F.size("v") == dim).mapInPandas(combine, "vec binary, ids array<long>, q boolean").groupBy("vec").agg(small.alias("ids"), F.max("q").alias("q"))
+    small = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, kept)
+    entries = rows.mapInPandas(combine, "vec binary, ids array<long>, q boolean").groupBy("vec").agg(small.alias("ids"), F.max("q").alias("q"))
     entries = cut(entries.withColumn("vk", F.sha2("vec", 256)), "vectors")
 
     n = entries.count()
     sample = entries.orderBy("vk").limit(SAMPLE).select("vec").toArrow()["vec"]
-    level = float(shape["level"]) if shape else 1.0
     x = _matrix(sample, dim)
     x = np.concatenate([x, np.sqrt(np.maximum(level - (x**2).sum(1), 0))[:, None]], 1)
     lists = int(min(max(n // LIST_SIZE, 1), MAX_LISTS, max(len(x) // 4, 1)))
@@ -257,26 +264,29 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, recall: float =
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Each query of a block with its best ids in the block."""
-        made: list[tuple[str, float, int]] = []
+        made: list[tuple[str, float, int, int, bool, int]] = []
         if len(a) and len(b):
             x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1) for t in (a, b))
             near = q @ x.T
             m = min(len(x), kept + 8)
             ids = a["ids"].to_list()
             first, keys = np.array([s[0] for s in ids]), b["vk"].to_list()
+            number = [int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) for v in a["vec"]]
             for r in range(len(q)):
                 # Every vector that ties with the m-th best stays in.
                 cutoff = np.partition(near[r], len(x) - m)[len(x) - m]
                 c = np.flatnonzero(near[r] >= cutoff - 1e-9 * abs(cutoff))
                 exact = (x[c] * q[r]).sum(1)
                 order = np.lexsort((first[c], -exact))[:kept]
-                pairs = sorted((-exact[o], i) for o in order for i in ids[c[o]])[:kept]
-                made += [(keys[r], s, i) for s, i in pairs]
-        return pd.DataFrame(made, columns=["vk", "minus", "id"]).astype({"minus": float, "id": np.int64})
-
-    found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "vk string, minus double, id long")
-    best = found.groupBy("vk").agg(F.slice(F.sort_array(F.collect_set(F.struct("minus", "id"))), 1, kept).alias("found"))
-    answers = _keyed(rows.where("q").where(F.size("v") == dim)).join(best, "vk")
-    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
+                # A row is told by its id, which row of that id and vector it is, and its vector.
+                pairs = sorted((-exact[o], i, int(at - np.searchsorted(own, i)), bool((x[c[o]] == q[r]).all()), number[c[o]]) for o in order for own in (ids[c[o]],) for at, i in enumerate(own))[:kept]
+                made += [(keys[r], *p) for p in pairs]
+        return pd.DataFrame(made, columns=["vk", "minus", "id", "nth", "same", "vec"]).astype({"minus": float, "id": np.int64, "nth": np.int64, "same": bool, "vec": np.int64})
+
+    found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "vk string, minus double, id long, nth long, same boolean, vec long")
+    best = found.groupBy("vk").agg(F.slice(F.sort_array(F.collect_set(F.struct("minus", "id", "nth", "same", "vec"))), 1, kept).alias("found"))
+    answers = _keyed(rows.where("q")).join(best, "vk")
+    # The query's own row alone is no answer; other rows may have its id, or its vector.
+    others = F.slice(F.filter("found", lambda x: ~((x["id"] == F.col("query_id")) & x["same"] & (x["nth"] == 0))), 1, k)
     score = F.when(F.col("x.minus") == 0, 0.0).otherwise(-F.col("x.minus"))
     return answers.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), score.alias("score"))

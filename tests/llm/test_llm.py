@@ -66,6 +66,26 @@ def test_ann(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_rows_of_one_id_and_other_lengths(spark):
+    """A query's own row alone is left out, and vectors of each length are searched among themselves."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(20, [3 * x for x in rows[20][1]]), (40, rows[40][1]), (40, rows[40][1]), (7, rows[20][1])] + [(i, [1.0 + i, 2.0, -1.0]) for i in (0, 20, 500, 501)]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = defaultdict(list)
+    for at, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(np.array(v, float), np.array(w, float))), j) for b, (j, w) in enumerate(rows) if b != at and len(w) == len(v))[:20]
+            want[i] += [(k, j, -s) for k, (s, j) in enumerate(near, 1)]
+    assert got.keys() == want.keys()
+    for i in got:
+        one, two = sorted(got[i]), sorted(want[i])
+        assert [x[0] for x in one] == [x[0] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two])
+    assert {j for _, j, _ in got[20]} >= {20, 7} and {j for _, j, _ in got[40]} >= {40}
+
+
 def test_ann_walk_finds_the_nearest_centroids():
     x = np.random.default_rng(1).normal(size=(12_000, 12))
     c = ann.fit_centroids(x, 2400, 2)

@@ -75,6 +75,22 @@ def block_caption(raw: Column) -> Column:
     return _let(F.try_parse_json(raw), lambda b: _first([_said(_at(b, f"$.{place}{key}"), 1) for place in ("", "content.") for key in CAPTION_KEYS]))
 
 
+def caption_key(kind: Column) -> Column:
+    """The key under which a figure of a type keeps its caption."""
+    k = block_type(kind)
+    return F.when(F.contains(k, F.lit("chart")), "chart_caption").when(F.contains(k, F.lit("table")), "table_caption").otherwise("image_caption")
+
+
+def with_caption(raw: Column, kind: Column, caption: Column) -> Column:
+    """A block's JSON with a caption in its content, under its type's key; content that is no object is replaced."""
+    fields = lambda c: F.coalesce(F.from_json(c, "map<string, variant>"), F.create_map().cast("map<string, variant>"))
+    without = lambda m, key: F.map_filter(m, lambda k, _: k != key)
+    said = F.parse_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), caption.alias("content")))))
+    key = caption_key(kind)
+    content = F.map_concat(without(fields(F.get_json_object(raw, "$.content")), key), F.create_map(key, said))
+    return F.to_json(F.map_concat(without(fields(raw), F.lit("content")), F.create_map(F.lit("content"), F.parse_json(F.to_json(content)))))
+
+
 def image_path(raw: Column) -> Column:
     """Where a block's image is: its own path, else its content's source."""
     return _let(F.try_parse_json(raw), lambda b: _first([F.coalesce(_string(_at(b, p)), F.lit("")) for p in ("$.img_path", "$.content.image_source", "$.content.image_source.path")]))

@@ -140,10 +140,44 @@ def _items(blocks: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "page", "pos", "text", "title", (F.col("title") & ((threshold <= 0) | (F.col("height") >= threshold))).alias("tall"), item.alias("kind"),
         F.when(level <= 1, 0).when(level == 2, 1).otherwise(2).alias("level"), F.coalesce("img_path", F.lit("")).alias("path"),
-        F.when(item == "note", caption).otherwise(F.coalesce("caption", F.lit(""))).alias("caption"), F.coalesce(F.when(item == "texts", F.col("entries")).otherwise(F.col("rows")), F.array().cast("array<string>")).alias("rows"),
+        F.when(item == "note", caption).otherwise(F.coalesce("caption", F.lit(""))).alias("caption"), F.coalesce(F.when(item == "texts", F.col("entries")).otherwise(F.col("rows")), F.array().cast("array<string>")).alias("rows"), (figure & ~F.col("title")).alias("figure"),
+        F.when(kind.isin(TABLE_TYPES), F.coalesce("caption", F.lit(""))).otherwise(F.coalesce(caption, F.lit(""))).alias("said"),
     )
 
 
+def _completed(blocks: DataFrame) -> DataFrame:
+    for name, kind in OPTIONAL.items():
+        if name not in blocks.columns:
+            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
+    return blocks.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def clean_paragraphs(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, line, text, style, level, image) of the same blocks as ``chunk_blocks``: paragraphs without chunks, for other strategies.
+
+    Texts that follow each other are one paragraph, up to the next tall title or figure. A table gives a paragraph a row, an image one
+    with struct(path, caption); a caption on its own goes to the last image before it in the document, or else is a text.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page", "pos")
+    rows = _items(_completed(blocks)).where(F.col("tall") | ~F.col("title") | (F.col("text") != ""))
+    last = F.last(F.when(F.col("kind") == "image", F.struct("page", "pos")), ignorenulls=True).over(w)
+    run = F.sum((F.col("tall") | F.col("figure")).cast("int")).over(w)
+    rows = rows.withColumns({"last": last, "run": run}).withColumn("alone", (F.col("kind") == "note") & F.col("last").isNotNull())
+    heading = rows.where("tall").select("doc_id", "page", "pos", F.lit(0).alias("line"), "text", F.when(F.col("level") == 0, "Title").when(F.col("level") == 1, "Heading 2").otherwise("Heading 3").alias("style"), "level", F.lit(None).cast("struct<path: string, caption: string>").alias("image"))
+    no_image, normal = F.lit(None).cast("struct<path: string, caption: string>").alias("image"), [F.lit("Normal").alias("style"), F.lit(0).alias("level")]
+    said = F.when(F.col("kind") == "texts", F.col("rows")).when(F.col("kind") == "note", F.array("caption")).otherwise(F.array("text"))
+    loose = rows.where(~F.col("tall") & ~F.col("alone") & (F.col("kind").isin("sub", "list", "body", "texts", "note")))
+    body = loose.groupBy("doc_id", "run").agg(F.min(F.struct("page", "pos")).alias("at"), F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("page", "pos", said.alias("t"))))["t"]), "\n").alias("text"))
+    body = body.where("text <> ''").select("doc_id", "at.page", "at.pos", F.lit(0).alias("line"), "text", *normal, no_image)
+    named = F.when(F.col("caption") != "", F.array(F.concat(F.lit(TABLE_LABEL), "caption"))).otherwise(F.array().cast("array<string>"))
+    table = rows.where("NOT tall AND kind = 'table'").select("doc_id", "page", "pos", F.posexplode(F.concat(named, F.col("rows"))).alias("line", "text")).select("*", *normal, no_image)
+    notes = rows.where("alone").groupBy("doc_id", F.col("last.page").alias("page"), F.col("last.pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("p"), F.col("pos").alias("q"), "caption")))["caption"].alias("notes"))
+    images = rows.where("NOT tall AND kind = 'image'").join(notes, ["doc_id", "page", "pos"], "left")
+    text = F.array_join(F.concat(F.filter(F.array("said"), lambda t: t != ""), F.coalesce("notes", F.array().cast("array<string>"))), CAPTION_JOIN)
+    images = images.select("doc_id", "page", "pos", F.lit(0).alias("line"), text.alias("text"), *normal, F.struct("path", "caption").alias("image"))
+    return heading.unionByName(body).unionByName(table).unionByName(images)
+
+
 def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, chunk_idx, parent, parent_type, level, page, child, parts) of blocks(doc_id, page, pos, type, text, has_text_level, bbox).
 
@@ -153,10 +187,7 @@ def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     went into a caption, text_level of titles, doc_title if it is known. A document without chunks gets one a page; a chunk without children
     goes into the next.
     """
-    for name, kind in OPTIONAL.items():
-        if name not in blocks.columns:
-            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
-    blocks = blocks.withColumn("text", F.coalesce("text", F.lit("")))
+    blocks = _completed(blocks)
     rows = _items(blocks)
     rows = rows.withColumn("section", F.sum(F.col("tall").cast("int")).over(Window.partitionBy("doc_id").orderBy("page", "pos")))
     item = F.struct("page", "pos", "kind", "text", "level", "path", "caption", "rows")

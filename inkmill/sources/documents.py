@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = "{pdf,PDF,docx,DOCX,doc,DOC}"
@@ -30,14 +30,29 @@ def discover(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFr
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffixes}").load(path)
 
 
+def _file_name() -> Column:
+    """The name of the file that a row comes from; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def content_lists(spark: SparkSession, path: str) -> DataFrame:
     """(stem, raw) of content-list JSON files; a v2 file is preferred to a v1 file of the same stem."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*content_list*.json").select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*content_list*.json").select("value", _file_name().alias("file"))
     named = files.select(F.regexp_extract("file", r"^(.*?)_content_list(?:_v\d)?\.json$", 1).alias("stem"), F.col("file").contains("_v2").alias("v2"), F.col("value").alias("raw"))
     w = Window.partitionBy("stem").orderBy(F.desc("v2"))
     return named.withColumn("k", F.row_number().over(w)).where("k = 1").select("stem", "raw")
 
 
+def middle_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, page, width, height, n_blocks, raw) of the layout files beside content lists: a row a page, raw being the page's JSON."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*_middle.json").select("value", _file_name().alias("file"))
+    stem = F.regexp_extract("file", r"^(.*)_middle\.json$", 1).alias("stem")
+    pages = files.select(stem, F.posexplode(F.from_json(F.get_json_object("value", "$.pdf_info"), "array<string>")).alias("at", "raw"))
+    page = F.from_json("raw", "struct<page_idx: int, page_size: array<double>, para_blocks: array<string>>")
+    each = pages.withColumn("p", page).select("stem", (F.coalesce("p.page_idx", "at") + 1).alias("page"), F.get("p.page_size", F.lit(0)).alias("width"), F.get("p.page_size", F.lit(1)).alias("height"), F.coalesce(F.size("p.para_blocks"), F.lit(0)).alias("n_blocks"), "raw")
+    return each
+
+
 def content_blocks(lists: DataFrame) -> DataFrame:
     """(stem, page, pos, type, sub_type, text, has_text_level, text_level, bbox, img_path, table_body, raw) of content lists.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SCHEMA = "path string, pos int, kind string, style string, text string, bold boolean, name string, content binary"
+SCHEMA = "path string, pos int, kind string, style string, text string, bold boolean, size double, name string, content binary"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DRAWING, VECTOR = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{urn:schemas-microsoft-com:vml}"
@@ -49,8 +49,14 @@ def _said(node: ElementTree.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{WORD}t"))
 
 
-def parts(data: bytes) -> Iterator[tuple[str, str, str, bool, str | None, bytes | None]]:
-    """(kind, style, text, bold, name, content) of a DOCX file's body; kind is text, row or image."""
+def _largest(node: ElementTree.Element) -> float:
+    """The largest font size of a paragraph's runs in points, 0 if none is set."""
+    marks = [m.get(f"{WORD}val", "") for r in node.iter(f"{WORD}r") for tag in ("sz", "szCs") for m in r.findall(f"{WORD}rPr/{WORD}{tag}")]
+    return max((int(m) / 2 for m in marks if m.isdigit()), default=0.0)
+
+
+def parts(data: bytes) -> Iterator[tuple[str, str, str, bool, float, str | None, bytes | None]]:
+    """(kind, style, text, bold, size, name, content) of a DOCX file's body; kind is text, row or image."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body, relations, n = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body"), _relations(z), 0
         for node in body if body is not None else ():
@@ -61,12 +67,12 @@ def parts(data: bytes) -> Iterator[tuple[str, str, str, bool, str | None, bytes
                 pictured = False
                 for name, content in _images(z, node, relations):
                     n, pictured = n + 1, True
-                    yield "image", style, _said(node), bold, f"{n}_{name}", content
+                    yield "image", style, _said(node), bold, _largest(node), f"{n}_{name}", content
                 if not pictured:
-                    yield "text", style, _said(node), bool(bold), None, None
+                    yield "text", style, _said(node), bold, _largest(node), None, None
             elif node.tag == f"{WORD}tbl":
                 for row in node.iter(f"{WORD}tr"):
-                    yield "row", "", " | ".join(_said(cell) for cell in row.iter(f"{WORD}tc")), False, None, None
+                    yield "row", "", " | ".join(_said(cell) for cell in row.iter(f"{WORD}tc")), False, 0.0, None, None
 
 
 def _rows(path: str, data: bytes) -> Iterator[tuple]:
@@ -75,8 +81,8 @@ def _rows(path: str, data: bytes) -> Iterator[tuple]:
         made = list(parts(data))
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return
-    for k, (kind, style, text, bold, name, content) in enumerate(made):
-        yield path, k, kind, style, text, bool(bold), name, content
+    for k, (kind, style, text, bold, size, name, content) in enumerate(made):
+        yield path, k, kind, style, text, bool(bold), size, name, content
 
 
 def _folder(path: str):

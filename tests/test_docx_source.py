@@ -25,7 +25,7 @@ def made(body, images=()):
     return out.getvalue()
 
 
-ONE = made(p("题", "Title") + p("图注", inner=PIC.format("r2") + PIC.format("r9") + PIC.format("r1")) + "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>" + p("", inner='<w:r><w:pict><v:imagedata r:id="r1"/></w:pict></w:r>') + p("末"), [("r1", "x.png", b"\x89x"), ("r2", "y.jpeg", b"jpeg")])
+ONE = made(p("题", "Title") + p("图注", inner=PIC.format("r2") + PIC.format("r9") + PIC.format("r1")) + "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>" + p("", inner='<w:r><w:pict><v:imagedata r:id="r1"/></w:pict></w:r>') + p("末", inner='<w:r><w:rPr><w:sz w:val="32"/><w:szCs w:val="21"/></w:rPr></w:r>'), [("r1", "x.png", b"\x89x"), ("r2", "y.jpeg", b"jpeg")])
 
 
 def rows(df):
@@ -44,6 +44,7 @@ def test_batch_and_stream(spark, tmp_path):
     batch = spark.read.format("docx").load(str(land))
     want = [("one.docx", 0, "text", "Title", "题", None, None), ("one.docx", 1, "image", "", "图注", "1_y.jpeg", b"jpeg"), ("one.docx", 2, "image", "", "图注", "2_x.png", b"\x89x"), ("one.docx", 3, "row", "", "a | b", None, None), ("one.docx", 4, "image", "", "", "3_x.png", b"\x89x"), ("one.docx", 5, "text", "", "末", None, None)]
     assert [r for r in rows(batch) if r[0] == "one.docx"] == want and len(rows(batch)) == 13
+    assert {r.text: r.size for r in batch.where("path LIKE '%one.docx' AND kind = 'text'").collect()} == {"题": 0.0, "末": 16.0}
     assert batch.select(F.spark_partition_id()).distinct().count() == 3  # nine files, three a task
     assert rows(docx.docx_parts(spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,DOCX}").load(str(land)))) == rows(batch)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from inkmill.functions import content
 from inkmill.operators import chunks, compose, sections
 from inkmill.sources import documents
 
@@ -58,6 +59,36 @@ def test_figures_in_chunks(spark):
     assert shown(got[2, "独 | 表"]) == ["独 | 表"] and not [k for k in got if k[0] == 3]
 
 
+def test_clean_paragraphs(spark):
+    kinds = "img_path string, caption string, rows array<string>, text_level string, action string, entries array<string>"
+    row = lambda pos, kind, text="", height=40.0, path=None, caption=None, rows=None, level=None, action=None, entries=None: (1, 1, pos, kind, text, False, [0.0, 0.0, 10.0, height], path, caption, rows, level, action, entries)
+    data = [
+        row(0, "image_caption", "先注"), row(1, "text", "甲"), row(2, "text_list", "乙"), row(3, "title", "大题", level="1"), row(4, "title", "小题", 20.0), row(5, "text", ""), row(6, "text", "丙"), row(7, "title", "丁题", level="3"),
+        row(8, "image", path="a.png", caption="图"), row(9, "text", "戊"), row(10, "image_caption", "注"), row(11, "table", caption="表", rows=["x | y", "1 | 2"]), row(12, "image", path="b.png", action="discard"), row(13, "text", "己"),
+        row(14, "image", path="c.png", action="text_only", entries=["图中字"]), row(15, "text", "庚"), row(16, "title", "三", 20.0), row(17, "title", "末题", 20.0, level="2"),
+    ]
+    got = [(r.text, r.style, r.level, tuple(r.image) if r.image else None) for r in compose.clean_paragraphs(spark.createDataFrame(data, f"{BLOCKS}, {kinds}")).orderBy("page", "pos", "line").collect()]
+    assert got == [
+        ("先注\n甲\n乙", "Normal", 0, None), ("大题", "Title", 0, None), ("小题\n丙", "Normal", 0, None), ("丁题", "Heading 3", 2, None), ("图 | 注", "Normal", 0, ("a.png", "图")), ("戊", "Normal", 0, None),
+        ("[表] 表", "Normal", 0, None), ("x | y", "Normal", 0, None), ("1 | 2", "Normal", 0, None), ("己", "Normal", 0, None), ("图中字\n庚\n末题", "Normal", 0, None),
+    ]
+
+
+def test_captions_in_json(spark):
+    import json
+
+    data = [('{"type": "chart_body", "content": {"content": "d", "chart_caption": ["old"]}}', "chart_body"), ('{"type": "table", "content": "text"}', "table"), ('{"type": "image", "bbox": [1, 2]}', "image")]
+    got = [json.loads(r[0]) for r in spark.createDataFrame(data, "raw string, kind string").select(content.with_caption(F.col("raw"), F.col("kind"), F.lit("新\"注"))).collect()]
+    said = [{"type": "text", "content": "新\"注"}]
+    assert got == [{"type": "chart_body", "content": {"content": "d", "chart_caption": said}}, {"type": "table", "content": {"table_caption": said}}, {"type": "image", "bbox": [1, 2], "content": {"image_caption": said}}]
+
+
+def test_middle_pages(spark, tmp_path):
+    (tmp_path / "a b_middle.json").write_text('{"pdf_info": [{"page_idx": 0, "page_size": [612, 792], "para_blocks": [{"type": "text"}, {}]}, {"page_size": [10.5, 20]}]}')
+    (tmp_path / "a b_content_list.json").write_text("[]")
+    assert [tuple(r)[:5] for r in documents.middle_pages(spark, str(tmp_path)).orderBy("page").collect()] == [("a b", 1, 612.0, 792.0, 2), ("a b", 2, 10.5, 20.0, 0)]
+
+
 def test_content_chunks(spark, tmp_path):
     """From blocks' JSON to chunks: front matter goes, captions are found beside the image, tables are read."""
     import json

@@ -14,7 +14,7 @@ from ..sources.documents import spread
 from ..sources.versions import VersionedStore
 from ..staging import staging_path
 from ..streaming import jobs
-from . import chunking, job_life
+from . import chunking, experiments, job_life
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -343,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, star_keys, foreign_keys,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, star_keys, foreign_keys, experiments.hash_vectors, experiments.lexical_search, experiments.retrieval_metrics,
     )
     return {f.__name__: f for f in found}
 
@@ -465,7 +465,7 @@ FROM j JOIN n ON n.t = j.t AND n.c = j.c AND n.n = m JOIN n r ON r.t = rt AND r.
 
 def oracle_sql() -> dict[str, str]:
     wide = f"regexp_replace(text, '{tx.WIDE}', '', 'g')"
-    return {
+    return experiments.oracle_sql() | {
         "token_estimate": f"SELECT doc_id, CAST(ceil(length(text) - length({wide}) + length(regexp_replace({wide}, '{_S}', '', 'g')) / 4) AS BIGINT) AS tokens FROM documents",
         "clean_text": _clean_sql(),
         "marker_explode": f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..functions import text as tx
-from ..operators import blocks, checks, chunks, knowledge, matcher, sections, structure
+from ..operators import blocks, checks, chunks, knowledge, matcher, packing, sections, structure
 from ..sources.documents import spread
 from ..sources.versions import VersionedStore
 from ..staging import staging_path
@@ -173,6 +173,12 @@ def region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.match_regions(files, names, "text").select("doc_id", "region_code", "matched", "n_names")
 
 
+def section_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed by sections; short ones are headings."""
+    lines = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("heading", F.length("text") <= 40)
+    return packing.pack_sections(lines).select("doc_id", "pack", "parent", F.array_join("bodies", "|").alias("bodies"))
+
+
 #: Tables of the star schema with their columns of whole numbers.
 STAR = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
@@ -343,7 +349,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, star_keys, foreign_keys, experiments.hash_vectors, experiments.lexical_search, experiments.retrieval_metrics,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, section_packs, star_keys, foreign_keys, experiments.hash_vectors, experiments.lexical_search, experiments.retrieval_metrics,
     )
     return {f.__name__: f for f in found}
 
@@ -520,6 +526,17 @@ WHERE size >= 14 AND length({_strip_sql("line")}) > 3 AND NOT regexp_matches(rep
 WITH l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text FROM {_LINES} WHERE {_strip_sql("line")} <> '')
 SELECT doc_id, CAST(pos // 8 AS INT) AS page, arg_min(text, pos) AS parent, array_to_string(list(text ORDER BY pos)[2:], chr(10)) AS child
 FROM l LEFT JOIN (SELECT doc_id, min(pos) AS first FROM l WHERE pos % 5 = 2 GROUP BY 1) USING (doc_id) WHERE pos IS DISTINCT FROM first GROUP BY 1, 2
+""",
+        "section_packs": f"""
+WITH RECURSIVE l AS (SELECT doc_id, pos, {_strip_sql("line")} AS text, length(line) <= 40 AS heading FROM {_LINES} WHERE {_strip_sql("line")} <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l),
+a AS (SELECT doc_id, k, 0 AS section, length(text) AS size FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.k, section + (n.heading OR size >= 800 OR size + 2 + length(text) > 1000)::INT, CASE WHEN n.heading OR size >= 800 OR size + 2 + length(text) > 1000 THEN length(text) ELSE size + 2 + length(text) END FROM a JOIN n ON n.doc_id = a.doc_id AND n.k = a.k + 1),
+s AS (SELECT doc_id, section, max(size) AS size FROM a GROUP BY ALL),
+b AS (SELECT doc_id, section, 0 AS pack, size FROM s WHERE section = 0
+  UNION ALL SELECT s.doc_id, s.section, pack + (NOT (b.size < 500 AND b.size + 2 + s.size <= 1000))::INT, CASE WHEN b.size < 500 AND b.size + 2 + s.size <= 1000 THEN b.size + 2 + s.size ELSE s.size END FROM b JOIN s ON s.doc_id = b.doc_id AND s.section = b.section + 1),
+p AS (SELECT doc_id, pack, list(text ORDER BY k) FILTER (heading) AS h, list(text ORDER BY k) FILTER (NOT heading) AS t FROM n JOIN a USING (doc_id, k) JOIN b USING (doc_id, section) GROUP BY ALL)
+SELECT doc_id, pack::INT AS pack, coalesce(h[1], t[1]) AS parent, array_to_string(CASE WHEN h IS NULL THEN t[2:] ELSE h[2:] || coalesce(t, []) END, '|') AS bodies FROM p
 """,
         "star_keys": _keys_sql(),
         "foreign_keys": _foreign_keys_sql(),

@@ -15,7 +15,7 @@ TABLE_TYPES = ["table", "table_body", "table_caption", "simple_table", "complex_
 CHART_TYPES = ["chart", "chart_body", "chart_caption"]
 FIGURE_TYPES = [*IMAGE_TYPES, *TABLE_TYPES, *CHART_TYPES]
 FRONT_TITLES = ["目录", "目 录", "CONTENTS", "前言", "FOREWORD"]
-SIDE_GAP, STACK_GAP = 100, 40
+SIDE_GAP, STACK_GAP, INSIDE_SLACK = 100, 40, 2
 LEAST_DESCRIPTION, LEAST_TABLE, LEAST_BODY = 20, 30, 30
 
 
@@ -31,7 +31,7 @@ def is_title(kind: Column, has_level: Column) -> Column:
     return block_type(kind).isin(TITLE_TYPES) | ((block_type(kind) == "text") & F.coalesce(has_level, F.lit(False)))
 
 
-def inside(inner: Column, outer: Column, slack: float = 2) -> Column:
+def inside(inner: Column, outer: Column, slack: float = INSIDE_SLACK) -> Column:
     """Whether a box lies in another, give or take ``slack``."""
     low = F.get(inner, F.lit(0)) >= F.get(outer, F.lit(0)) - slack
     top = F.get(inner, F.lit(1)) >= F.get(outer, F.lit(1)) - slack

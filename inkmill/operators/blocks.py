@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import FIGURE_TYPES, block_type, box_distance, image_action, inside, is_skipped, is_title
+from ..functions.layout import FIGURE_TYPES, INSIDE_SLACK, SIDE_GAP, STACK_GAP, block_type, box_distance, image_action, inside, is_skipped, is_title
 from ..functions.text import contains_keyword, strip
+from .geometry import meeting
 
 # Fixed values.
 TOC = ["目录", "CONTENTS"]
@@ -37,7 +38,9 @@ def merge_captions(blocks: DataFrame) -> DataFrame:
     images = images.select("doc_id", "page", F.col("pos").alias("img_pos"), F.col("bbox").alias("img_bbox"))
     text = ~kind.isin(FIGURE_TYPES) & ~is_skipped(F.col("type")) & ~is_title(F.col("type"), F.lit(False)) & box
     texts = blocks.where(text & (F.coalesce("text", F.lit("")) != "") & (F.length("text") <= MAX_CAPTION)).select("doc_id", "page", "pos", "text", "bbox")
-    near = texts.join(images, ["doc_id", "page"]).withColumn("d", box_distance(F.col("img_bbox"), F.col("bbox"))).where("d IS NOT NULL")
+    # A text belongs to an image at most SIDE_GAP beside it and STACK_GAP above or below; boxes without a width or height belong to none.
+    met = meeting(texts, images.withColumnRenamed("img_bbox", "bbox"), ["doc_id", "page"], SIDE_GAP, STACK_GAP)
+    near = met.withColumn("d", box_distance(F.col("right_bbox"), F.col("bbox"))).where("d IS NOT NULL")
     owner = near.groupBy("doc_id", "page", "pos", "text").agg(F.min(F.struct("d", "img_pos")).alias("x"))
     owner = owner.select("doc_id", "page", F.col("x.img_pos").alias("img_pos"), "pos", "text")
     joined = owner.groupBy("doc_id", "page", F.col("img_pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("near"))
@@ -49,8 +52,11 @@ def merge_captions(blocks: DataFrame) -> DataFrame:
 
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """lines(doc_id, page, bbox) that lie in no box of tables(doc_id, page, bbox)."""
-    boxes = tables.select("doc_id", "page", F.col("bbox").alias("table_bbox"))
-    return lines.join(boxes, (lines["doc_id"] == boxes["doc_id"]) & (lines["page"] == boxes["page"]) & inside(lines["bbox"], F.col("table_bbox")), "left_anti")
+    rows = lines.withColumn("_line", F.xxhash64("doc_id", "page", "bbox"))
+    boxes = rows.select("doc_id", "page", "bbox", "_line").distinct()
+    met = meeting(boxes, tables.select("doc_id", "page", "bbox"), ["doc_id", "page"], INSIDE_SLACK, INSIDE_SLACK)
+    within = met.where(inside(F.col("bbox"), F.col("right_bbox"), INSIDE_SLACK)).select("doc_id", "page", "_line").distinct()
+    return rows.join(within, ["doc_id", "page", "_line"], "left_anti").select(*lines.columns)
 
 
 def image_actions(images: DataFrame, mode: str = "llm", decisions: DataFrame | None = None) -> DataFrame:

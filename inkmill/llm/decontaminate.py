@@ -9,7 +9,7 @@ shingles that cover it all stand at their places, compared as strings.
 
 Nulls and odd input: null text has no words, so it is never hit and an item with it has no window. A null
 item_id hits words but is not named and not counted. Repeated document rows are judged each for itself,
-repeated items count once by item_id. Extra columns of documents are not returned by ``overlaps`` and are kept by
+repeated items count once by item_id. Very long texts cost in proportion. Extra columns of documents are not returned by ``overlaps`` and are kept by
 ``decontaminate``. Every step is a DataFrame expression.
 """
 
@@ -59,7 +59,7 @@ def overlaps(documents: DataFrame, items: DataFrame, window: int = WINDOW, shing
     grams = cut(grams, "grams")
     # The empty shingle stands once in every document. Where the join shuffles, it is left out, as all rows would share it.
     distinct = grams.select("s").distinct().unionByName(windows.sparkSession.range(1).select(F.lit("").alias("s")))
-    n_grams, n_windows = distinct.count(), windows.count()
+    n_grams, n_windows, n_owners = distinct.count(), windows.count(), owners.count()
 
     # One pass over the documents: where item shingles stand. The shingle size is told by its word count.
     w = F.col("w")
@@ -95,7 +95,7 @@ def overlaps(documents: DataFrame, items: DataFrame, window: int = WINDOW, shing
         lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")),
         lambda a: a["n"],
     )
-    named = hits.select("did", "fp", "wid").distinct().join(broadcast_if(owners, n_windows, BROADCAST_ROWS // 4), "wid")
+    named = hits.select("did", "fp", "wid").distinct().join(broadcast_if(owners, n_owners, BROADCAST_ROWS // 4), "wid")
     named = named.groupBy("did", "fp").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     per = spans.select("did", "fp", union.alias("n_hit")).join(named, ["did", "fp"], "left")
     none = F.array().cast("array<string>")

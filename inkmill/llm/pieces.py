@@ -12,7 +12,8 @@ encoded once. The HOT_WORDS most frequent ones (a bounded table) are looked up i
 are joined by word.
 
 Nulls and odd input: null or empty text has no pieces. Characters without a piece become byte pieces, or the unknown
-piece if the model has none. Rows that repeat stay repeated. Empty tables give empty tables. The model must not
+piece if the model has none. Rows that repeat stay repeated, and extra columns are kept whatever their names. Very long texts are cut in slices of a batch, very long words folded in n log n
+steps. Of merges with the same score the leftmost goes first. Empty tables give empty tables. The model must not
 rewrite characters (identity normalization) and must escape spaces and keep repeated ones; other models are refused.
 """
 

@@ -9,7 +9,8 @@ Each stage works on all rows that its predecessor kept, and all but the last ret
 
 Nulls and odd input: null and empty texts are scored like any text, are in no group of near-duplicates, hold no item and have no ids.
 Rows that repeat are judged each for itself, but for near-duplicates, of which one stays. Columns beyond those of documents are
-kept by all stages but the last, whatever their names. An empty table gives an empty table.
+kept by all stages but the last, whatever their names, dots included. Very long texts are judged whole. Of near-duplicates with the same doc_id the text of the smallest hash stays; scores at a bound go as the
+bound says. An empty table gives an empty table.
 """
 
 from __future__ import annotations

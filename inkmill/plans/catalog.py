@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..functions import text as tx
-from ..operators import blocks, checks, chunks, knowledge, matcher, packing, sections, structure
+from ..operators import blocks, checks, chunks, cleaning, knowledge, matcher, packing, sections, structure
 from ..sources.documents import spread
 from ..sources.versions import VersionedStore
 from ..staging import staging_path
@@ -345,11 +345,27 @@ def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.sync_changes(s.where("s_suppkey % 10 <> 2"), new, "s_suppkey")
 
 
+def range_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between orders and a copy in which one row in 97 is another, one in 101 is gone, and some are new."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    new = o.where(k % 101 != 7).withColumn("o_orderstatus", F.when(k % 97 == 5, "X").otherwise(F.col("o_orderstatus")))
+    return checks.changes_by_ranges(o.where(k % 103 != 9), new, "o_orderkey")
+
+
+def clean_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with gaps and extreme balances put in, filled and told by market segment."""
+    k, c = F.col("c_custkey"), _table(spark, sf_dir, "customer")
+    odd = c.withColumns({"c_acctbal": F.when(k % 11 == 3, None).when(k % 53 == 7, F.col("c_acctbal") * 40).otherwise(F.col("c_acctbal")), "c_name": F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit(" \t ")), F.lit(" "))})
+    made = cleaning.clean(odd, "c_mktsegment", ["c_acctbal"], ["c_name"])
+    return made.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", F.size("filled").alias("n_filled"), F.size("outliers").alias("n_outliers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         token_estimate, clean_text, marker_explode, kb_overview, kb_totals, kb_by_source, check_filename, chunk_preview, status_counts, job_page, job_count, latest_state, state_changes,
         catalog_left_join, catalog_rows, region_lookup, region_lookup_empty, region_list, region_of_source, metadata_flag, dup_upload, blocked_uploads, zip_names, split_rules, default_chunk, merge_body, list_islands, heading_carry,
-        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, section_packs, star_keys, foreign_keys, experiments.hash_vectors, experiments.lexical_search, experiments.retrieval_metrics,
+        span_sizes, span_title, page_fallback, chunk_counts, text_helpers, image_filter, spatial_merge, page_text, table_rows, vector_topk, preview_text, turn_chunks, document_search, column_report, sync_changes, job_history, store_snapshot, region_matches, section_packs, range_changes, clean_customers, star_keys, foreign_keys, experiments.hash_vectors, experiments.lexical_search, experiments.retrieval_metrics,
     )
     return {f.__name__: f for f in found}
 
@@ -537,6 +553,16 @@ b AS (SELECT doc_id, section, 0 AS pack, size FROM s WHERE section = 0
   UNION ALL SELECT s.doc_id, s.section, pack + (NOT (b.size < 500 AND b.size + 2 + s.size <= 1000))::INT, CASE WHEN b.size < 500 AND b.size + 2 + s.size <= 1000 THEN b.size + 2 + s.size ELSE s.size END FROM b JOIN s ON s.doc_id = b.doc_id AND s.section = b.section + 1),
 p AS (SELECT doc_id, pack, list(text ORDER BY k) FILTER (heading) AS h, list(text ORDER BY k) FILTER (NOT heading) AS t FROM n JOIN a USING (doc_id, k) JOIN b USING (doc_id, section) GROUP BY ALL)
 SELECT doc_id, pack::INT AS pack, coalesce(h[1], t[1]) AS parent, array_to_string(CASE WHEN h IS NULL THEN t[2:] ELSE h[2:] || coalesce(t, []) END, '|') AS bodies FROM p
+""",
+        "range_changes": """
+WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 103 <> 9), b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 101 <> 7)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey OR a.o_orderstatus <> b.o_orderstatus
+""",
+        "clean_customers": """
+WITH c AS (SELECT c_custkey, trim(replace(c_name, '#', ' ')) AS c_name, c_mktsegment, CASE WHEN c_custkey % 11 = 3 THEN NULL WHEN c_custkey % 53 = 7 THEN c_acctbal * 40 ELSE c_acctbal END AS b FROM customer),
+q AS (SELECT c_mktsegment, quantile_disc(b, [0.25, 0.5, 0.75]) AS q FROM c GROUP BY 1)
+SELECT c_custkey, c_name, c_mktsegment, coalesce(b, q[2]) AS c_acctbal, (b IS NULL)::INT AS n_filled, coalesce(b < q[1] - 1.5::DOUBLE * (q[3] - q[1]) OR b > q[3] + 1.5::DOUBLE * (q[3] - q[1]), false)::INT AS n_outliers FROM c JOIN q USING (c_mktsegment)
 """,
         "star_keys": _keys_sql(),
         "foreign_keys": _foreign_keys_sql(),

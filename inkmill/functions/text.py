@@ -144,11 +144,6 @@ def has_chinese(c: Column) -> Column:
     return c.rlike(r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]")
 
 
-def is_toc_line(c: Column) -> Column:
-    """A table-of-contents line: a dotted leader or a tab, then a page number."""
-    return matches(c, r"(?:\.{3,}|…+|·{3,}|\t)\s*\d+\s*$")
-
-
 def is_chapter_heading(c: Column) -> Column:
     return matches(lstrip(c), rf"^(?:第[{NUMERALS}\d]+[章节部编]|[一二三四五六七八九十]+、)")
 

@@ -80,7 +80,7 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    return jobs.changes(e, "user_id", "at", "event_type").groupBy("user_id").agg(F.count("*").alias("n_changes"))
+    return jobs.changes(e, "user_id", "at", "event_type", F.date_trunc("hour", "ts")).groupBy("user_id").agg(F.count("*").alias("n_changes"))
 
 
 def catalog_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,12 +35,26 @@ def progress_percent(message: str = "progress"):
     return out
 
 
-def changes(states: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Rows whose value differs from the one before it."""
-    from pyspark.sql import Window
+def with_before(rows: DataFrame, key: str, at: str, value: str, block: Column | None = None) -> DataFrame:
+    """rows with before, the value of the key's row before (null at the first).
 
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(at))
-    return states.withColumn("before", before).where(~F.col(value).eqNullSafe(F.col("before"))).drop("before")
+    Rows look back within a block of ``at``, an hour or 65,536 numbers unless ``block`` tells them (it must grow with at); the first of a block takes
+    the last value of the block before it, found among one row a block. So no task holds all rows of a key.
+    """
+    whole = block if block is not None else F.floor(F.col(at) / 65_536) if rows.schema[at].dataType.typeName() in ("integer", "long", "short") else F.date_trunc("hour", at)
+    each = rows.withColumn("_block", whole)
+    last = each.groupBy(key, "_block").agg(F.max_by(F.struct(F.col(value).alias("v")), at).alias("_v"))
+    led = last.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.lag("_v").over(Window.partitionBy(key).orderBy("_block")).alias("_led")).where("_led IS NOT NULL")
+    w = Window.partitionBy(key, "_block").orderBy(at)
+    each = each.withColumns({"_nth": F.row_number().over(w), "before": F.lag(value).over(w)})
+    first = each["_block"].eqNullSafe(led["_at"]) & each[key].eqNullSafe(led["_key"]) & (F.col("_nth") == 1)
+    out = each.join(led, first, "left").withColumn("before", F.when(F.col("_nth") == 1, F.col("_led.v")).otherwise(F.col("before")))
+    return out.drop("_block", "_nth", "_key", "_at", "_led")
+
+
+def changes(states: DataFrame, key: str, at: str, value: str, block: Column | None = None) -> DataFrame:
+    """Rows whose value differs from the one before it."""
+    return with_before(states, key, at, value, block).where(~F.col(value).eqNullSafe(F.col("before"))).drop("before")
 
 
 def timeout_seconds(size: str = "file_size", base: int = 600, most: int = 10_800):
@@ -69,11 +83,8 @@ NEXT = {
 
 def illegal_steps(events: DataFrame, key: str = "id", status: str = "status", at: str = "at") -> DataFrame:
     """(key, at, before, status): steps from one status to another that the job states don't allow."""
-    from pyspark.sql import Window
-
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(at))
     allowed = F.create_map(*(x for k, v in NEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    rows = events.select(key, at, before.alias("before"), status).where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
+    rows = with_before(events.select(key, at, status), key, at, status).select(key, at, "before", status).where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
     return rows.where(~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col(status)), F.lit(False)))
 
 

@@ -7,10 +7,10 @@ is split into 12 chunks of 4 symbols. By the pigeonhole principle, two signature
 symbols have a chunk with at most one difference, so indexing each chunk with each one of its symbols left out
 finds every such pair. At similarity 0.75 more than 23 differences have a chance of about 1 in 10,000.
 
-Pairs of a bucket are not all formed. First every document is compared with the smallest one among those that lead its
+Pairs of a bucket are not all formed. First every document is compared with the most alike one among those that lead its
 buckets and whose signatures are within the distance, and components are formed from the confirmed links. A bucket whose
 members are then in one component needs nothing more. The members of the others go through an exact prefix
-join: shingles ordered by rarity, the lists of those that a partner must share, again the smallest partner first, then,
+join: shingles ordered by rarity, the lists of those that a partner must share, again one partner at a time, led by another member each turn, then,
 in lists still open, all pairs across components that are within the signature distance, each in one of its lists. No
 pair is given up: a list costs more only while texts in it stay unlinked.
 
@@ -49,8 +49,9 @@ BROADCAST_NODES = 200_000
 ROWS = 1000
 #: Pairs of a node that meet its set at once.
 PAIRS = 512
-#: Rounds of smallest partners in the lists of the prefix join, before pairs across components are formed.
-ROUNDS = 2
+#: Turns of one partner a node in the lists of the prefix join, at most, before pairs across components are formed; they end when fewer than one
+#: node in FEW has found a link.
+ROUNDS, FEW = 8, 50
 
 _rng = np.random.default_rng(20240501)
 _WORD_MULTIPLIERS = _rng.integers(1, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,13 +106,13 @@ def _unpacked(sigs: pa.ListArray) -> np.ndarray:
     return np.stack([longs >> (LANE * k) & ((1 << BITS) - 1) for k in range(CHUNK)], 1).reshape(-1, SYMBOLS)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two signatures differ in at most MOST_DIFFERENCES symbols: a lane that differs fills its top bit."""
+def _differences(a: Column, b: Column) -> Column:
+    """In how many symbols two signatures differ: a lane that differs fills its top bit."""
     total = F.lit(0)
     for k in range(SYMBOLS // CHUNK):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         total = total + F.bit_count((x + F.lit(LOW)).bitwiseAND(F.lit(HIGH)))
-    return total <= MOST_DIFFERENCES
+    return total
 
 
 def _hashed_words(documents: DataFrame) -> DataFrame:
@@ -205,13 +206,19 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(cut(found.where("lo <> hi").select("key"), "open"), "key")
 
 
-def _smallest(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Each node with the smallest among the first members of its keys that is alike and in another component."""
+def _partners(members: DataFrame, labels: DataFrame | None = None, turn: int = 0) -> DataFrame:
+    """Each node with one partner of another component, the most alike among those that lead its keys.
+
+    The smallest member leads a key at first, later the first in an order of its own each turn, so that a leader that few members are
+    linked with is not asked again.
+    """
     m = _labelled(members, labels) if labels else members.withColumn("component", F.col("node"))
-    low = m.groupBy("key").agg(F.min(F.struct("node", "component", "sig")).alias("x"))
-    low = cut(low.select(F.col("key").alias("k"), F.col("x.node").alias("low"), F.col("x.component").alias("c"), F.col("x.sig").alias("low_sig")), "first")
-    fits = (m["key"] == low["k"]) & (m["component"] != low["c"]) & _alike(m["sig"], low["low_sig"])
-    return m.join(low, fits).groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
+    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    lead = m.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "component", "sig")).alias("x"))
+    lead = cut(lead.select(F.col("key").alias("k"), F.col("x.node").alias("lead"), F.col("x.component").alias("c"), F.col("x.sig").alias("lead_sig")), "first")
+    met = m.join(lead, (m["key"] == lead["k"]) & (m["component"] != lead["c"]) & (_differences(m["sig"], lead["lead_sig"]) <= MOST_DIFFERENCES))
+    best = met.groupBy("node").agg(F.min(F.struct(_differences(F.col("sig"), F.col("lead_sig")).alias("d"), "lead")).alias("x"))
+    return best.select(F.col("x.lead").alias("a"), F.col("node").alias("b"))
 
 
 def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +232,7 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         & (F.col("a_node") < F.col("b_node"))
         & (F.col("a_component") != F.col("b_component"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & _alike(F.col("a_sig"), F.col("b_sig"))
+        & (_differences(F.col("a_sig"), F.col("b_sig")) <= MOST_DIFFERENCES)
         & (F.get(F.array_intersect("a_prefix", "b_prefix"), F.lit(0)) == one["key"])
         & (F.least(left("a"), left("b")) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n")))
     )
@@ -259,14 +266,20 @@ def _components(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
     sets = _sets_of(documents, classes.join(members.select("node").distinct(), "node", "left_semi"), shingle)
     confirm = lambda pairs: cut(_confirm(cut(pairs, "pairs"), sets, percent), "links")
 
-    links = confirm(_smallest(members))
+    links = confirm(_partners(members))
     labels = cut(components(links), "labels")
     crowd = _open(members, labels).select("node").distinct()
     prefixes = cut(_prefixes(sets.join(crowd, "node", "left_semi"), percent), "prefixes")
     lists = cut(prefixes.select("node", F.explode("prefix").alias("key")).join(reps, "node").select("key", "node", "sig"), "lists")
-    for _ in range(ROUNDS):
-        links = links.unionByName(confirm(_smallest(_open(lists, labels), labels)))
-        labels = cut(components(links), "labels")
+    for turn in range(1, ROUNDS + 1):
+        open_ = cut(_open(lists, labels), "open_lists")
+        found = confirm(_partners(open_, labels, turn))
+        n_found = found.count()
+        if n_found:
+            links = links.unionByName(found)
+            labels = cut(components(links), "labels")
+        if FEW * n_found < open_.select("node").distinct().count():
+            break
     rest = _open(lists, labels).join(prefixes, "node")
     links = links.unionByName(confirm(_across(rest, labels, percent)))
     labels = cut(components(links), "labels")

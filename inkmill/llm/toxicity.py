@@ -194,7 +194,9 @@ def _chance(model: dict) -> Column:
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
     """documents with score, the chance of label 1 of every row's whole text; a column score is replaced."""
-    return _statistics(documents, model, [c for c in documents.columns if c.lower() != "score"]).select("_doc.*", _chance(model).alias("score"))
+    kept = [c for c in documents.columns if c.lower() != "score"]
+    scored = _statistics(documents, model, kept).select("_doc.*", _chance(model).alias("score"))
+    return scored if len(kept) == len(documents.columns) else scored.select(*columns(["score" if c.lower() == "score" else c for c in documents.columns]))
 
 
 def accept(documents: DataFrame, labels: DataFrame, most: float) -> DataFrame:

@@ -2,10 +2,10 @@
 
 A paragraph is a line. Its features are word 1- to 3-grams; a multinomial logistic regression with an L1
 penalty, trained here by Spark ML on the templates below, on edits of them (words left out, halves, words of the corpus around
-them) and on at most ``negatives`` of the corpus's own lines as the class unknown, keeps a sparse table of weights. A paragraph's scores are sums over the weights
+them) and on half of the corpus's own lines, told by a hash, as the class unknown, keeps a sparse table of weights. A paragraph's scores are sums over the weights
 of its n-grams, found by an equi-join; softmax gives the families' chances. A paragraph is unknown unless its best
-family's chance reaches a threshold calibrated on other lines of the corpus (the highest chance that
-``calibrate`` of them stay under), and unless the n-grams of the family's templates confirm it.
+family's chance reaches a threshold calibrated on the corpus's other lines, all of them (the highest chance that
+CALIBRATE of them stay under), and unless the n-grams of the family's templates confirm it.
 
 Notices also stand within longer lines, so what is classified is each line and, in it, each window of about a
 template's length that holds at least ``agree`` of that template's word pairs. A window is confirmed by the share of the
@@ -79,7 +79,6 @@ TEMPLATES = {
     ],
 }
 UNKNOWN = "unknown"
-NEGATIVES, CALIBRATION = 3000, 3000
 CALIBRATE, AGREE = 0.999, 0.6
 GRAM_WORDS = 3
 #: Ids of documents with a licence up to this many are broadcast.
@@ -172,40 +171,79 @@ def _least_chance(constants: dict[str, float]) -> float:
     return max((v for k, v in each.items() if k != UNKNOWN), default=0.0) / sum(each.values())
 
 
-def train(documents: DataFrame, negatives: int = NEGATIVES, calibration: int = CALIBRATION) -> dict:
-    """Weights (family, gram, weight), constants by family, and the calibrated threshold."""
+def train(documents: DataFrame) -> dict:
+    """Weights (family, gram, weight), constants by family, and the calibrated threshold.
+
+    Every line of the corpus is counted. Lines that hold the same n-grams of the templates are the same to the model: they are one row of
+    what it learns from, weighed by how many they are, so that table grows with the templates' n-grams and hardly with the corpus.
+    """
     spark = documents.sparkSession
     known = _template_rows(spark)
-    # Lines of the corpus stand for the unknown class; a line that shares three words in a row with a template is none.
-    phrases = known.select(F.explode(_grams(F.col("words"), 3, 3)).alias("g")).distinct().agg(F.collect_list("g")).first()[0]
-    drawn = documents.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(negatives)
-    lines = paragraphs(documents.join(F.broadcast(drawn), "doc_id", "left_semi")).orderBy(F.xxhash64("words"), "doc_id", "at").limit(negatives + calibration)
-    lines = cut(lines.where(~F.arrays_overlap(_grams(F.col("words"), 3, 3), F.array(*map(F.lit, phrases)))).select(F.lit(UNKNOWN).alias("family"), "words"), "unknown")
-    parity = F.pmod(F.xxhash64("words"), F.lit(2))
+    phrases = {g for (g,) in known.select(F.explode(_grams(F.col("words"), 3, 3))).distinct().collect()}
     # An edit must keep a word that no other family's notices have.
     word = known.select("family", F.explode("words").alias("w")).distinct().groupBy("w").agg(F.min("family").alias("family"), F.count("*").alias("n"))
     own = word.where("n = 1").groupBy("family").agg(F.collect_set("w").alias("own"))
     edited = known.select("family", F.explode(_edits(F.col("words"))).alias("words")).where(F.size("words") > 1).distinct()
     parts = edited.join(F.broadcast(own), "family").where(F.arrays_overlap("words", "own")).drop("own")
-    rows = parts.unionByName(lines.where(parity == 0)).withColumn("grams", _grams(F.col("words")))
+    # Words of templates are the features, so the table's size is theirs.
+    vocabulary = sorted({g for (g,) in parts.select(F.explode(_grams(F.col("words")))).distinct().collect()})
+    # Lines of the corpus stand for the unknown class; a line that shares three words in a row with a template is none.
+    # N-grams are taken within the generator, which no filter passes, so once.
+    held = F.array(_held(F.col("words"), sorted(phrases.union(vocabulary))))
+    unlike = F.transform(F.filter(held, lambda h: ~F.exists(h, lambda g: g.isin(sorted(phrases)))), lambda h: F.array_sort(h))  # noqa: PLW0108
+    lines = paragraphs(documents).select(F.explode(unlike).alias("grams"), F.pmod(F.xxhash64("words"), F.lit(2)).alias("parity"))
+    lines = cut(lines.groupBy("grams", "parity").agg(F.count("*").cast("double").alias("n")).withColumn("family", F.lit(UNKNOWN)), "unknown")
+    unknown = lines.where("parity = 0")
     # Rows of the templates weigh as much as the unknown ones together.
     names = sorted([*TEMPLATES, UNKNOWN])
     index = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(float(k)))))
-    n_known, n_all = rows.where(F.col("family") != UNKNOWN).count(), rows.count()
-    weight = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(max(n_all - n_known, 1) / max(n_known, 1))
-    rows = cut(rows.select("grams", index[F.col("family")].alias("label"), weight.alias("weight")), "training")
-    # Words of templates are the features, so the table's size is theirs.
-    vocabulary = sorted({g for (g,) in parts.select(F.explode(_grams(F.col("words")))).distinct().collect()})
+    n_known, n_unknown = parts.count(), unknown.agg(F.sum("n")).first()[0] or 0.0
+    noted = parts.select("family", _grams(F.col("words")).alias("grams"), F.lit(max(n_unknown, 1.0) / max(n_known, 1)).alias("weight"))
+    rows = noted.unionByName(unknown.select("family", "grams", F.col("n").alias("weight")))
+    rows = cut(rows.select("grams", index[F.col("family")].alias("label"), "weight"), "training")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     model = LogisticRegression(maxIter=60, regParam=2e-4, elasticNetParam=0.5, standardization=False, weightCol="weight", family="multinomial").fit(vectors.transform(rows))
     matrix, constants = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     have = {int(r[0]) for r in rows.select("label").distinct().collect()}
     weights = [(names[k], g, float(matrix[k, j])) for k in sorted(have) for j, g in enumerate(vocabulary) if abs(matrix[k, j]) > 1e-6]
     out = {"weights": weights, "constants": {names[k]: float(constants[k]) for k in sorted(have)}, "threshold": 0.5}
-    scored = _chances(lines.where(parity == 1).select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("at"), "words"), out, spark)
-    found = scored.agg(F.percentile_approx("chance", CALIBRATE, 10000)).first()[0] if lines.limit(1).count() else None
+    # The other half of all lines, which the model has not seen.
+    others = cut(lines.where("parity = 1").select(F.monotonically_increasing_id().alias("doc_id"), "grams", "n"), "others")
+    kept = sorted({g for _, g, _ in weights})
+    held = others.select("doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("fp"), F.filter("grams", lambda g: g.isin(kept)).alias("held"))
+    found = _highest(_scored(held, out, spark).join(others, "doc_id").select("chance", "n"), CALIBRATE)
     # Paragraphs without a kept n-gram are passed over: the constants alone never reach the threshold.
-    return out | {"threshold": max(0.5, float(found or 0.0), _least_chance(out["constants"]) + 1e-9)}
+    return out | {"threshold": max(0.5, found, _least_chance(out["constants"]) + 1e-9)}
+
+
+def _highest(rows: DataFrame, share: float, bins: int = 10_000) -> float:
+    """The highest chance among the lowest ``share`` of rows(chance, n), each of which stands for n; to 1 / bins squared.
+
+    A histogram finds the bin, and a second one the place within it.
+    """
+    low, width, least = 0.0, 1.0 / bins, None
+    for _ in range(2):
+        at = F.least(F.floor((F.col("chance") - low) / width), F.lit(bins - 1)).cast("int")
+        inside = rows.where((F.col("chance") >= low) & (F.col("chance") < low + width * bins)) if least is not None else rows
+        counts = sorted(inside.groupBy(at.alias("at")).agg(F.sum("n").alias("n")).collect())  # bins rows
+        if not counts:
+            return low
+        least = share * sum(c["n"] for c in counts) if least is None else least
+        for c in counts:
+            if c["n"] >= least:
+                break
+            least -= c["n"]
+        low, width = low + c["at"] * width, width / bins
+    return low + width * bins
+
+
+def _held(words: Column, grams: list[str]) -> Column:
+    """The distinct n-grams of a word array that are among grams, formed where one's first word stands."""
+    first = sorted({g.split()[0] for g in grams})
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(first))
+    # At the end of a paragraph a slice is shorter, and the same as another.
+    formed = F.flatten(F.transform(starts, lambda i: F.array(*(F.array_join(F.slice(words, i, F.lit(k)), " ") for k in range(1, GRAM_WORDS + 1)))))
+    return F.array_distinct(F.filter(formed, lambda g: g.isin(grams)))
 
 
 def _chances(rows: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
@@ -215,18 +253,18 @@ def _chances(rows: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
     word stands, and those that are kept go on to the join.
     """
     kept = sorted({g for _, g, _ in model["weights"]})
-    first = sorted({g.split()[0] for g in kept})
+    return _scored(rows.select("doc_id", "at", F.xxhash64("words").alias("fp"), _held(F.col("words"), kept).alias("held")), model, spark)
+
+
+def _scored(rows: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
+    """``_chances`` of rows(doc_id, at, fp, held), held being the kept n-grams."""
     table = spark.createDataFrame(model["weights"] or [("", "", 0.0)], "family string, gram string, weight double")
     wide = table.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("w"))
     # Each paragraph also has the empty n-gram, which counts how often it is repeated.
     wide = wide.where("gram <> ''").unionByName(spark.range(1).select(F.lit("").alias("gram"), F.create_map().cast("map<string, double>").alias("w")))
     names = sorted(model["constants"])
-    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.get("words", i - 1).isin(first))
-    # At the end of a paragraph a slice is shorter, and the same as another.
-    formed = F.flatten(F.transform(starts, lambda i: F.array(*(F.array_join(F.slice("words", i, F.lit(k)), " ") for k in range(1, GRAM_WORDS + 1)))))
-    held = F.array_distinct(F.filter(formed, lambda g: g.isin(kept)))
-    counted = F.get(F.transform(F.array(held), lambda h: F.when(F.size(h) > 0, F.concat(h, F.array(F.lit(""))))), F.lit(0))
-    gram = rows.select("doc_id", "at", F.xxhash64("words").alias("fp"), F.explode(counted).alias("gram"))
+    counted = F.get(F.transform(F.array("held"), lambda h: F.when(F.size(h) > 0, F.concat(h, F.array(F.lit(""))))), F.lit(0))
+    gram = rows.select("doc_id", "at", "fp", F.explode(counted).alias("gram"))
     hit = gram.join(F.broadcast(wide), "gram")  # as many rows as the templates have n-grams
     times = F.sum((F.col("gram") == "").cast("double"))
     sums = hit.groupBy("doc_id", "at", "fp").agg(*((F.sum(F.coalesce(F.try_element_at("w", F.lit(n)), F.lit(0.0))) / times).alias(f"s_{n}") for n in names))

@@ -243,6 +243,21 @@ def test_licences_within_longer_lines(spark):
     assert all(out[100 + k] == {("", 0)} for k in range(60))
 
 
+def test_licences_learn_from_every_line(spark):
+    """All lines of a corpus far beyond 6,000 are counted, and the threshold is that of all of them."""
+    rows = spark.range(200_000).select((F.col("id") / 200_000).alias("chance"), F.lit(3.0).alias("n"))
+    assert licences._highest(rows, 0.999) == pytest.approx(0.999, abs=1e-5)
+    text = F.concat_ws("\n", *(F.concat(F.lit(f"the word{k} of stone"), F.col("id").cast("string")) for k in range(10)))
+    seen = []
+    real = licences.cut
+    try:
+        licences.cut = lambda df, name: seen.append((name, real(df, name))) or seen[-1][1]
+        licences.train(spark.range(2000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    finally:
+        licences.cut = real
+    assert dict(seen)["unknown"].agg(F.sum("n")).first()[0] == 20_000
+
+
 # 5 and 6
 
 def labelled(spark, make_bad, n=240):

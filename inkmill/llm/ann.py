@@ -10,7 +10,8 @@ greatest one.
 
 Equal vectors are one entry of the index with their k + 1 smallest ids; as they tie for every query, no others can be
 among its k nearest. Long posting lists, and lists that many queries read, are cut into blocks that meet pairwise,
-so no task holds a whole list. Scores are recomputed in double precision on the original vectors.
+so no task holds a whole list. A query goes to its lists with a bound: the (k + 1)-th best score among the sampled vectors in its nearest
+lists. These are among what it will find, so what scores less can't be an answer and stays behind. Scores are recomputed in double precision on the original vectors.
 
 Vectors that are null, zero or hold a null, NaN or infinite component take no part, as query or as candidate.
 Vectors of different lengths have no inner product: each length is searched among itself. A query's own row alone is left out, so rows that
@@ -37,6 +38,8 @@ REPLICAS, REPLICA_RATIO = 4, 1.10
 #: Share of sampled queries' nearest sampled vectors whose lists the walk must reach, and what share of these the ratio must
 #: leave; how many queries are sampled. Neighbours in the whole table are nearer than those in the sample, and found more often.
 RECALL, RATIO_RECALL, CALIBRATION = 0.955, 0.99, 512
+#: A query's bound is told by the sampled vectors in so many of its nearest lists.
+BOUND_LISTS = 16
 #: Edges of a centroid, where walks begin, and places that a beam has beyond those asked for.
 DEGREE, SEEDS, SPARE = 24, 8, 16
 BLOCK, QUERY_BLOCK = 4096, 1024
@@ -178,18 +181,33 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _assigned(entries: DataFrame, index, most: int, ratio: float, lift: bool) -> DataFrame:
-    """entries(vk, vec, ids) once for each of their lists. lift: level the lengths, as for candidates."""
+def bounds(x: np.ndarray, rows: np.ndarray, lists: np.ndarray, sample: np.ndarray, held: list[np.ndarray], most: int, level: float) -> np.ndarray:
+    """For each row of x, the ``most``-th best inner product with the sampled vectors in the first BOUND_LISTS of its lists; -inf if they are fewer.
+
+    (rows, lists) are rows in order, each with its lists, nearest first; held are the numbers of each list's sampled vectors.
+    """
+    out, ends = np.full(len(x), -np.inf), np.searchsorted(rows, np.arange(len(x) + 1))
+    for r in range(len(x)):
+        near = np.unique(np.concatenate([held[i] for i in lists[ends[r] : ends[r + 1]][:BOUND_LISTS]] or [np.empty(0, np.int64)]))
+        if len(near) >= most:
+            # Less what rounding may add.
+            out[r] = np.partition(sample[near] @ x[r], len(near) - most)[len(near) - most] - 1e-9 * np.sqrt((x[r] ** 2).sum() * level)
+    return out
+
+
+def _assigned(entries: DataFrame, index, most: int, ratio: float, kept: int = 0) -> DataFrame:
+    """entries(vk, vec, ids) once for each of their lists. As queries, with kept, they have bounds; as candidates their lengths are levelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(1), index.value["dim"])
-                last = np.sqrt(np.maximum(index.value["level"] - (x**2).sum(1), 0)) if lift else np.zeros(len(x))
+                x, level = _matrix(b.column(1), index.value["dim"]), index.value["level"]
+                last = np.zeros(len(x)) if kept else np.sqrt(np.maximum(level - (x**2).sum(1), 0))
                 rows, lists = near_lists(np.column_stack([x, last]), index.value, most, ratio)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(c).take(pa.array(rows)) for c in range(3))], ["list", "vk", "vec", "ids"])
+                low = bounds(x, rows, lists, index.value["sample"], index.value["held"], kept, level) if kept else np.full(len(x), -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(b.column(c).take(pa.array(rows)) for c in range(3)), pa.array(low[rows])], ["list", "vk", "vec", "ids", "low"])
 
-    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>")
+    return entries.select("vk", "vec", "ids").mapInArrow(run, "list int, vk string, vec binary, ids array<long>, low double")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -246,11 +264,15 @@ def _search_length(rows: DataFrame, dim: int, level: float, k: int, recall: floa
     lists = int(min(max(n // LIST_SIZE, 1), MAX_LISTS, max(len(x) // 4, 1)))
     centroids = fit_centroids(x, lists) if len(x) else np.zeros((1, dim + 1))
     most, ratio = calibrate(x, dim, centroids, k, recall) if len(x) else (1, 1.0)
+    made = {"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim}
+    row, of = near_lists(x, made, REPLICAS, REPLICA_RATIO) if len(x) else (np.empty(0, int), np.empty(0, int))
+    order = np.argsort(of, kind="stable")
+    made |= {"sample": x[:, :dim], "held": np.split(row[order], np.searchsorted(of[order], np.arange(1, len(centroids))))}
     del x
-    index = spark.sparkContext.broadcast({"centroids": centroids, "graph": build_graph(centroids), "level": level, "dim": dim})  # MAX_LISTS rows
+    index = spark.sparkContext.broadcast(made)  # MAX_LISTS rows and SAMPLE vectors
 
-    postings = cut(_assigned(entries, index, REPLICAS, REPLICA_RATIO, True), "postings")
-    wanted = cut(_assigned(entries.where("q"), index, most, ratio, False), "wanted")
+    postings = cut(_assigned(entries, index, REPLICAS, REPLICA_RATIO), "postings")
+    wanted = cut(_assigned(entries.where("q"), index, most, ratio, kept), "wanted")
     if report is not None:
         report |= {"lists": len(centroids), "most": most, "ratio": ratio, "read": wanted.count(), "queries": wanted.select("vk").distinct().count()}
 
@@ -260,22 +282,22 @@ def _search_length(rows: DataFrame, dim: int, level: float, k: int, recall: floa
     part = lambda n: F.pmod(F.xxhash64("vk"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = postings.join(blocks, "list").select("list", part(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), "vec", "ids")
-    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec")
+    right = wanted.join(blocks, "list").select("list", every(F.col("ni")).alias("i"), part(F.col("nj")).alias("j"), "vk", "vec", "low")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """Each query of a block with its best ids in the block."""
+        """Each query of a block with its best ids in the block, those that reach its bound."""
         made: list[tuple[str, float, int, int, bool, int]] = []
         if len(a) and len(b):
             x, q = (np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1) for t in (a, b))
             near = q @ x.T
             m = min(len(x), kept + 8)
             ids = a["ids"].to_list()
-            first, keys = np.array([s[0] for s in ids]), b["vk"].to_list()
+            first, keys, low = np.array([s[0] for s in ids]), b["vk"].to_list(), b["low"].to_numpy()
             number = [int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) for v in a["vec"]]
             for r in range(len(q)):
                 # Every vector that ties with the m-th best stays in.
                 cutoff = np.partition(near[r], len(x) - m)[len(x) - m]
-                c = np.flatnonzero(near[r] >= cutoff - 1e-9 * abs(cutoff))
+                c = np.flatnonzero(near[r] >= max(cutoff - 1e-9 * abs(cutoff), low[r]))
                 exact = (x[c] * q[r]).sum(1)
                 order = np.lexsort((first[c], -exact))[:kept]
                 # A row is told by its id, which row of that id and vector it is, and its vector.

@@ -113,6 +113,19 @@ def test_ann_prunes_lists(spark):
     assert len(got) == 200 and hits >= 0.9 * 20 * 200
 
 
+def test_ann_bounds_leave_the_answers(spark, monkeypatch):
+    """What scores less than a query's bound stays behind, and what is found is the same as without bounds."""
+    one = (np.ones((1, 2)), np.zeros(1, int), np.zeros(1, int))
+    assert ann.bounds(*one, np.array([[1.0, 0], [2, 0], [3, 0]]), [np.arange(3)], 2, 9.0)[0] == pytest.approx(2.0, abs=1e-6)
+    assert ann.bounds(*one, np.ones((1, 2)), [np.arange(1)], 2, 9.0)[0] == -np.inf
+    base = np.random.default_rng(11).normal(size=(4000, 12)).round(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect()))
+    real = ann._assigned
+    monkeypatch.setattr(ann, "_assigned", lambda *a: real(*a).withColumn("low", F.lit(float("-inf"))))
+    assert sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect())) == found
+
+
 # 2
 
 def brute_overlaps(docs, items, window=10):

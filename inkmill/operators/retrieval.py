@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .embedding import WORD
 
 #: Queries that meet all rows in one pass.
@@ -17,6 +18,8 @@ QUERIES = 2_000
 #: Scores are whole millionths, so that sums don't depend on their order.
 UNIT = 1_000_000
 BROADCAST_ROWS = 500_000
+#: Pairs of a query and a row that a task may add up at most, so its memory doesn't grow with the rows.
+PAIRS = 1 << 20
 
 
 def _words(text: Column) -> Column:
@@ -30,18 +33,24 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 
 
 def lexical(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents(doc_id, text) of each of queries(query_id, text) by BM25 over an inverted index of the queries' words."""
+    """The k best documents(doc_id, text) of each of queries(query_id, text) by BM25 over an inverted index of the queries' words.
+
+    The index is dealt by document to as many tasks as its pairs with queries need; each adds up all pairs of its documents and keeps k a query.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     n_asked = asked.limit(BROADCAST_ROWS + 1).count()
     small = lambda df: F.broadcast(df) if n_asked <= BROADCAST_ROWS else df
     lengths = documents.select(F.size(_words(F.col("text"))).alias("n")).where("n > 0").agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     each = documents.select("doc_id", _words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    index = each.join(small(asked.select("word").distinct()), "word", "left_semi").groupBy("word", "doc_id", "n").agg(F.count("*").alias("tf"))
+    index = staged(each.join(small(asked.select("word").distinct()), "word", "left_semi").groupBy("word", "doc_id", "n").agg(F.count("*").alias("tf")), "index")
     df = index.groupBy("word").agg(F.count("*").alias("df"))
     rarity = F.log(1 + (F.lit(float(lengths["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(float(lengths["mean"] or 1))))
     terms = asked.join(small(df.select("word", rarity.alias("rarity"))), "word")
-    scores = index.join(small(terms), "word").groupBy("query_id", "doc_id").agg(F.sum(F.floor(UNIT * F.col("rarity") * part).cast("long")).alias("score"))
+    n_queries = asked.select("query_id").distinct().count()
+    dealt = lambda df: df.repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-lengths["n"] * n_queries // PAIRS)), "doc_id")
+    met = dealt(index).join(small(terms), "word") if n_asked <= BROADCAST_ROWS else dealt(index.join(terms, "word"))
+    scores = met.groupBy("query_id", "doc_id").agg(F.sum(F.floor(UNIT * F.col("rarity") * part).cast("long")).alias("score"))
     return _best(scores, k)
 
 

@@ -73,3 +73,14 @@ def test_rankings_and_metrics(spark, monkeypatch):
     relevant = spark.createDataFrame([(1, 6, 2), (1, 9, 1), (2, 1, 1)], "query_id long, doc_id long, gain int")
     got = {r.query_id: (r.recall, round(r.ndcg, 9), r["first"]) for r in retrieval.evaluate(a, relevant).collect()}
     assert got == {1: (0.5, round((2 / math.log2(3)) / (2 + 1 / math.log2(3)), 9), 0.5), 2: (0.0, 0.0, 0.0)}
+
+
+def test_pairs_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    """As many tasks as pairs of queries and documents need, and the same ranking."""
+    documents = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(9))) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w5"), (2, "w2 w3 w7")], "query_id long, text string")
+    whole = sorted(map(tuple, retrieval.lexical(documents, queries, 5).collect()))
+    monkeypatch.setattr(retrieval, "PAIRS", 8)
+    dealt = retrieval.lexical(documents, queries, 5)
+    assert "15), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 10

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Sketches are this exact; a combination whose sketch is below SURE of the rows is no key.
 ERROR, SURE = 0.02, 0.9
+#: Rows that a task groups at most, and different values that are told apart before rows are dealt; memory of a task doesn't grow with the tables.
+GROUPED = 1 << 20
 #: Column sets are bits of one long.
 MOST_COLUMNS = 62
 
@@ -18,8 +20,14 @@ def _quoted(c: str) -> Column:
     return F.col("`" + c.replace("`", "``") + "`")
 
 
-def _repeats(df: DataFrame, columns: tuple[str, ...]) -> bool:
-    return not df.groupBy(*map(_quoted, columns)).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def _dealt(df: DataFrame, rows: int, *by: Column) -> DataFrame:
+    """df by its values in as many parts as keep GROUPED rows each, however many cores there are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // GROUPED)), *by)
+
+
+def _repeats(df: DataFrame, columns: tuple[str, ...], n: int) -> bool:
+    """Whether two of n rows share their values of columns, which are known to be near as many as rows."""
+    return not _dealt(df.select(*map(_quoted, columns)), n, *map(_quoted, columns)).groupBy(*map(_quoted, columns)).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def minimal_keys(df: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
@@ -39,7 +47,7 @@ def minimal_keys(df: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
         if size > 1 and sets:
             near = df.agg(*(sketch(s).alias(str(k)) for k, s in enumerate(sets))).first()
             sets = [s for k, s in enumerate(sets) if near[k] >= SURE * n]
-        keys += [s for s in sets if not _repeats(df, s)]
+        keys += [s for s in sets if not _repeats(df, s, n)]
     return keys
 
 
@@ -52,27 +60,31 @@ def table_keys(spark: SparkSession, tables: dict[str, DataFrame], most: int = 2)
 def inclusions(tables: dict[str, DataFrame], kinds: tuple[str, ...] = ("integer", "long", "short", "byte")) -> DataFrame:
     """(table_name, column, ref_table, ref_column, share): columns whose values all stand in the other; share is how many of its values they are.
 
-    Every column's distinct values are dealt out once by value: a value's columns are the bits of a long, and a column is included in those whose
-    bit is set with all of its values. Bounds and sketches leave out columns beforehand that can't be part of any pair. Nulls are no values.
+    Every column's values are dealt out once by value: a value's columns are the bits of a long, and a column is included in those whose
+    bit is set with all of its values. Columns of few values send each but once. Bounds and sketches leave out columns beforehand that can't be part of any pair. Nulls are no values.
     """
     columns = [(t, f.name) for t, df in tables.items() for f in df.schema if f.dataType.typeName() in kinds]
     if not columns or len(columns) > MOST_COLUMNS:
         raise ValueError(f"1 to {MOST_COLUMNS} columns can be compared at once, not {len(columns)}")
     spark = next(iter(tables.values())).sparkSession
-    shape = {}
+    shape, rows = {}, {}
     for t, df in tables.items():
         own = [c for x, c in columns if x == t]
         if own:
-            row = df.agg(*(f(_quoted(c)) for c in own for f in (F.min, F.max, lambda x: F.approx_count_distinct(x, ERROR)))).first()
-            shape |= {(t, c): row[3 * k : 3 * k + 3] for k, c in enumerate(own)}
+            row = df.agg(F.count("*"), *(f(_quoted(c)) for c in own for f in (F.min, F.max, lambda x: F.approx_count_distinct(x, ERROR)))).first()
+            shape |= {(t, c): row[3 * k + 1 : 3 * k + 4] for k, c in enumerate(own)}
+            rows |= {(t, c): row[0] for c in own}
     fits = lambda a, b: shape[a][0] is not None and shape[b][0] is not None and shape[a][0] >= shape[b][0] and shape[a][1] <= shape[b][1] and SURE * shape[a][2] <= shape[b][2] / SURE
     pairs = {(a, b) for a in columns for b in columns if a != b and fits(a, b)}
     used = [c for c in columns if any(c in p for p in pairs)]
     if not pairs:
         return spark.createDataFrame([], "table_name string, column string, ref_table string, ref_column string, share double")
-    each = [tables[t].select(_quoted(c).cast("long").alias("value"), F.lit(k).alias("k")).where("value IS NOT NULL").distinct() for k, (t, c) in enumerate(used)]
     one = F.lit(1).cast("long")
-    masks = reduce(DataFrame.unionByName, each).groupBy("value").agg(F.bit_or(F.call_function("shiftleft", one, F.col("k"))).alias("mask"))
+    few = {c for c in used if shape[c][2] <= GROUPED}
+    sent = lambda df, c: df.distinct() if c in few else df
+    each = [sent(tables[c[0]].select(_quoted(c[1]).cast("long").alias("value"), F.lit(k).alias("k")).where("value IS NOT NULL"), c) for k, c in enumerate(used)]
+    total = sum(shape[c][2] if c in few else rows[c] for c in used)
+    masks = _dealt(reduce(DataFrame.unionByName, each), total, F.col("value")).groupBy("value").agg(F.bit_or(F.call_function("shiftleft", one, F.col("k"))).alias("mask"))
     held = F.filter(F.array(*map(F.lit, range(len(used)))), lambda k: F.call_function("getbit", F.col("mask"), k) == 1)
     per = masks.select("mask", F.explode(held).alias("k")).groupBy("k").agg(F.bit_and("mask").alias("mask"), F.count("*").alias("n"))
     names = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(used)], "k int, t string, c string")  # MOST_COLUMNS rows

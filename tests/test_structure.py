@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from inkmill.operators import structure
 
 
@@ -29,3 +31,14 @@ def test_foreign_keys(spark, sf):
             if len({tuple(r[k] for k in s) for r in data}) == len(data) and not any(set(m) <= set(s) for m in minimal):
                 minimal.add(s)
     assert keys == {("nation", ",".join(columns[k] for k in s)) for s in minimal}
+
+
+def test_values_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    """As many tasks as rows need; the same inclusions whether values are sent once or as they stand."""
+    tables = {"a": spark.range(100).select(F.col("id").alias("a_id")), "b": spark.range(300).select((F.col("id") % 50).alias("b_a_id"))}
+    whole = sorted(map(tuple, structure.inclusions(tables).collect()))
+    monkeypatch.setattr(structure, "GROUPED", 20)
+    dealt = structure.inclusions(tables)
+    assert "20), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole == [("b", "b_a_id", "a", "a_id", 0.5)]
+    assert structure.minimal_keys(tables["a"]) == [("a_id",)]

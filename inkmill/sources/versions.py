@@ -3,8 +3,9 @@
 Nothing that is written changes. A commit writes its rows, the sources that it takes out (those it replaces among them) and the regions that it
 sets into a folder of its own, and then publishes a manifest, one file that lists every live folder with the commit's number. The file is there
 whole or not at all, as the writing job's commit renames it into place, so a commit that stops anywhere leaves the version before.
-A manifest also holds each writer's last batch, so a batch that comes again is passed over. If two writers publish the same version, the file that
-is first by name counts, for readers and writers alike, and the other writer publishes again on top of it.
+A manifest also holds each writer's last batch, so a batch that comes again is passed over. If two writers publish the same version, the one whose
+manifest has that version's name first has made it, and the other, which finds the name taken, publishes again on top of it. That needs a file
+system that renames a folder in one step and not onto another, as HDFS does.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +65,23 @@ class VersionedStore:
         df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/data/{folder}/{kind}")
 
     def _publish(self, made: Version) -> bool:
-        """Publish a version; False if another writer's file counts for it."""
-        own = f"{self.path}/manifests/{made.number:012d}-{uuid.uuid4().hex}"
+        """Publish a version; False if another writer has done so."""
+        own = f"{self.path}/pending/{uuid.uuid4().hex}"
         row = [(made.number, made.writers, [list(p) for p in made.parts])]
         self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.parquet(own)
-        first = self._manifests().where(F.col("v") == made.number).agg(F.min("file")).first()[0]
-        return own.split("/")[-1] in first
+        sc = self.spark.sparkContext
+        fs = sc._jvm.org.apache.hadoop.fs
+        src, dst = fs.Path(own), fs.Path(f"{self.path}/manifests/{made.number:012d}")
+        whole = src.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(src)
+        files = fs.FileContext.getFileContext(whole.toUri(), sc._jsc.hadoopConfiguration())
+        files.mkdir(dst.getParent(), fs.permission.FsPermission.getDirDefault(), True)
+        try:
+            files.rename(src, dst, sc._gateway.new_array(fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def commit(self, writer: str, batch: int, rows: DataFrame | None = None, gone: DataFrame | None = None, regions: DataFrame | None = None) -> Version:
         """Take in a batch of a writer: rows replace what their sources had, sources of gone(source) go, regions(source, region_code) are set.

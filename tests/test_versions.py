@@ -1,8 +1,10 @@
 """The store of snapshots: commits that stop at any step, batches that come again, writers side by side, readers of old versions."""
 
+from types import SimpleNamespace
+
 import pytest
 
-from inkmill.sources import documents
+from inkmill.sources import documents, versions
 from inkmill.sources.versions import Version, VersionedStore
 from inkmill.streaming import jobs
 
@@ -79,6 +81,16 @@ def test_two_writers_of_one_version(store, monkeypatch):
     assert rows(store.snapshot()) == [("a", "1", "0"), ("b", "2", "0"), ("c", "3", "0")]
 
 
+@pytest.mark.parametrize("first", ["0", "f"])
+def test_a_published_version_stays(store, monkeypatch, first):
+    """A writer that comes later with the same version doesn't take its place, whatever the names of their files."""
+    made = iter([first * 32, ("f" if first == "0" else "0") * 32])
+    monkeypatch.setattr(versions.uuid, "uuid4", lambda: SimpleNamespace(hex=next(made)))
+    assert store._publish(Version(1, {"x": 0}, ()))
+    assert not store._publish(Version(1, {"w": 0}, ()))
+    assert store.version() == Version(1, {"x": 0}, ())
+
+
 def test_ingest_once(spark, store, tmp_path, monkeypatch):
     land = tmp_path / "land"
     land.mkdir()

@@ -88,6 +88,12 @@ def estimate_tokens(c: Column) -> Column:
     return F.ceil(wide + F.length(_sub(narrow, r"[\s\x{1C}-\x{1F}]", "")) / 4).cast("long")
 
 
+def quarter_tokens(c: Column) -> Column:
+    """The same in quarters, not rounded: the quarters of joined texts add up."""
+    narrow = F.regexp_replace(c, F.lit(WIDE), F.lit(""))
+    return 4 * (F.length(c) - F.length(narrow)).cast("long") + F.length(_sub(narrow, r"[\s\x{1C}-\x{1F}]", ""))
+
+
 def ends_sentence(c: Column, ends: str = SENTENCE_ENDS) -> Column:
     """Whether the last character that isn't white space ends a sentence; empty text does."""
     last = F.substring(_sub(c, r"\s+$", ""), -1, 1)

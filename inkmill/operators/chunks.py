@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WIDE, estimate_tokens, is_line_list_item, line_ends_sentence, starts_paragraph, strip
+from ..functions.text import WIDE, estimate_tokens, is_line_list_item, line_ends_sentence, quarter_tokens, starts_paragraph, strip
 
 # Fixed values.
 PARENT, CHILD, TITLE_LINE = "***", "<-split->", "文档名："
@@ -16,39 +16,40 @@ LINE_BREAKS = "。！？!?"
 MAX_TOKENS = 512
 
 
-def split_by_rules(text: Column, most: int = MAX_TOKENS, breaks: str = SENTENCE_BREAKS) -> Column:
-    """Parts of a text of at most ``most`` estimated tokens: cut at the last sentence end, else where it overflows.
-
-    A fold over the characters keeps the cuts, the weight (in quarter tokens) since the last cut and since the
-    last sentence end, and where that was. Blank parts are dropped.
-    """
-    chars = F.split(text, "")
-    wide = lambda c: F.when(c.rlike(WIDE), 4).when(c.rlike(r"(?U)^[\s\x{1C}-\x{1F}]$"), 0).otherwise(1)
-    steps = F.transform(chars, lambda c, i: F.struct(wide(c).alias("w"), (F.contains(F.lit(breaks), c) | ((c == "\n") & (F.get(chars, i + 1) == "\n"))).alias("ends")))
-    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("since"), F.lit(0).alias("after"), F.lit(0).alias("end"))
-
-    def state(cuts: Column, at: Column, since: Column, after: Column, end: Column) -> Column:
-        return F.struct(cuts.alias("cuts"), at.alias("at"), since.alias("since"), after.alias("after"), end.alias("end"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def let(value: Column, body: Callable[[Column], Column]) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        over = s["since"] + x["w"] > 4 * most
-        # At an overflow the text is cut at the last sentence end; if what follows it is too long too, here.
-        at_end = F.when(over & (s["end"] > 0), state(F.concat(s["cuts"], F.array(s["end"])), s["at"], s["after"], s["after"], F.lit(0))).otherwise(s)
-
-        def hard(t: Column) -> Column:
-            return F.when(t["since"] + x["w"] > 4 * most, state(F.concat(t["cuts"], F.array(t["at"])), t["at"], F.lit(0), F.lit(0), F.lit(0))).otherwise(t)
+def _hard_parts(text: Column, most: int) -> Column:
+    """Parts of a text without regard to sentences, each cut where the next character would overflow it; the last may go on."""
+    wide = lambda c: F.when(c.rlike(WIDE), 4).when(c.rlike(r"(?U)^[\s\x{1C}-\x{1F}]$"), 0).otherwise(1)
+    state = lambda cuts, at, since: F.struct(cuts.alias("cuts"), at.alias("at"), since.alias("since"))
+    fits = lambda s, w: s["since"] + w <= 4 * most
+    step = lambda s, w: F.when(fits(s, w), state(s["cuts"], s["at"] + 1, s["since"] + w)).otherwise(state(F.concat(s["cuts"], F.array(s["at"])), s["at"] + 1, w))
+    start = state(F.array().cast("array<int>"), F.lit(0), F.lit(0))
+    cuts = lambda chars: F.aggregate(F.transform(chars, wide), start, step, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["at"])))
+    part = lambda chars, c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.array_join(F.slice(chars, a + 1, F.get(c, i + 1) - a), ""))
+    return _let(F.split(text, ""), lambda chars: _let(cuts(chars), lambda c: part(chars, c)))
 
-        def take(t: Column) -> Column:
-            ends = x["ends"]
-            return state(t["cuts"], t["at"] + 1, t["since"] + x["w"], F.when(ends, 0).otherwise(t["after"] + x["w"]), F.when(ends, t["at"] + 1).otherwise(t["end"]))
 
-        return let(let(at_end, hard), take)
+def split_by_rules(text: Column, most: int = MAX_TOKENS, breaks: str = SENTENCE_BREAKS) -> Column:
+    """Parts of a text of at most ``most`` estimated tokens: cut at the last sentence end, else where it overflows.
 
-    cuts = F.aggregate(steps, start, step, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["at"])))
-    parts = let(cuts, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: text.substr(a + 1, F.get(c, i + 1) - a)))
+    A fold over the sentences keeps the cuts and the weight (in quarter tokens) since the last cut; only sentences that are too long on their
+    own are gone through by characters. Blank parts are dropped.
+    """
+    # A sentence ends behind one of the breaks, and between two line breaks.
+    sentences = F.split(text, f"(?<=[{''.join(rf'\x{{{ord(c):X}}}' for c in breaks)}])|(?<=\n)(?=\n)")
+    pieces = F.flatten(F.transform(sentences, lambda x: _let(quarter_tokens(x), lambda w: F.when(w <= 4 * most, F.array(F.struct(x.alias("t"), w.alias("w"), F.lit(True).alias("whole")))).otherwise(
+        F.transform(_hard_parts(x, most), lambda t: F.struct(t.alias("t"), quarter_tokens(t).alias("w"), F.lit(False).alias("whole")))))))
+    state = lambda cuts, at, since: F.struct(cuts.alias("cuts"), at.alias("at"), since.alias("since"))
+    # Each part of a long sentence begins behind a cut, and so does a sentence that doesn't fit.
+    joins = lambda s, x: x["whole"] & (s["since"] + x["w"] <= 4 * most)
+    step = lambda s, x: F.when(joins(s, x), state(s["cuts"], s["at"] + 1, s["since"] + x["w"])).otherwise(state(F.concat(s["cuts"], F.array(s["at"])), s["at"] + 1, x["w"]))
+    start = state(F.array().cast("array<int>"), F.lit(0), F.lit(0).cast("long"))
+    cuts = lambda p: F.aggregate(p, start, step, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["at"])))
+    part = lambda p, c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.array_join(F.slice(p["t"], a + 1, F.get(c, i + 1) - a), ""))
+    parts = _let(pieces, lambda p: _let(cuts(p), lambda c: part(p, c)))
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")
     whole = F.filter(F.array(strip(text)), lambda p: p != "")
     return F.when(estimate_tokens(text) <= most, whole).otherwise(kept)

@@ -1,6 +1,8 @@
 """Golden values of text functions, and the split rule against its step-by-step reading."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,21 @@ def test_split_by_rules(spark, sf, most):
     for t, parts in zip(texts, got, strict=True):
         assert "".join("".join(parts).split()) == "".join(t.split())
         assert all(math.ceil(sum(map(weight, p)) / 4) <= most for p in parts)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_split_by_rules_on_short_limits(spark, most):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab一 \n\n。!;") for _ in range(rng.randrange(60))) for _ in range(300)]
+    assert column(spark, texts, lambda c: chunks.split_by_rules(c, most)) == [split_brute(t, most) for t in texts]
+
+
+def test_split_by_rules_goes_by_sentences(spark):
+    """A text of sentences costs less than to go through its characters."""
+    text, took = "abc def ghi。" * 50_000, {}
+    for name, split in (("rules", chunks.split_by_rules), ("characters", lambda c: chunks._hard_parts(c, chunks.MAX_TOKENS))):
+        column(spark, [text[:100_000]], split)
+        began = time.monotonic()
+        assert "".join(column(spark, [text], split)[0]) == text
+        took[name] = time.monotonic() - began
+    assert took["rules"] < took["characters"]

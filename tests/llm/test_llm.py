@@ -455,6 +455,17 @@ def test_pieces(spark, hot, monkeypatch):
     assert {(r.did, r.fp, r.rare, tuple(r.ids)) for r in pieces.encode_ids(odd, model).collect()} == {(7, 8, "x", tuple(sp.encode("a b"))), (9, 9, "y", ())}
 
 
+def test_pieces_moves_no_text(spark):
+    """Where the caller doesn't ask for the texts, no text or other string goes into the join with the rare words' pieces."""
+    d = frame(spark, list(enumerate(TEXTS)))
+    plan = pieces.encode_ids(d, pieces.read_model(MODEL)).select("doc_id", "ids")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    side = plan.children().apply(0).output()
+    kinds = [side.apply(k).dataType().typeName() for k in range(side.size())]
+    assert len(kinds) >= 4 and "string" not in kinds
+
+
 def test_pieces_cuts_texts_as_the_pattern_does():
     import pyarrow as pa
 

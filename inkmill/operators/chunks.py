@@ -32,16 +32,20 @@ def _hard_parts(text: Column, most: int) -> Column:
     return _let(F.split(text, ""), lambda chars: _let(cuts(chars), lambda c: part(chars, c)))
 
 
+def _sentences(text: Column, most: int, breaks: str) -> Column:
+    """The sentences of a text, or their parts where one is too long on its own, with their weights."""
+    # A sentence ends behind one of the breaks, and between two line breaks.
+    sentences = F.split(text, f"(?<=[{''.join(rf'\x{{{ord(c):X}}}' for c in breaks)}])|(?<=\n)(?=\n)")
+    return F.flatten(F.transform(sentences, lambda x: _let(quarter_tokens(x), lambda w: F.when(w <= 4 * most, F.array(F.struct(x.alias("t"), w.alias("w"), F.lit(True).alias("whole")))).otherwise(
+        F.transform(_hard_parts(x, most), lambda t: F.struct(t.alias("t"), quarter_tokens(t).alias("w"), F.lit(False).alias("whole")))))))
+
+
 def split_by_rules(text: Column, most: int = MAX_TOKENS, breaks: str = SENTENCE_BREAKS) -> Column:
     """Parts of a text of at most ``most`` estimated tokens: cut at the last sentence end, else where it overflows.
 
     A fold over the sentences keeps the cuts and the weight (in quarter tokens) since the last cut; only sentences that are too long on their
     own are gone through by characters. Blank parts are dropped.
     """
-    # A sentence ends behind one of the breaks, and between two line breaks.
-    sentences = F.split(text, f"(?<=[{''.join(rf'\x{{{ord(c):X}}}' for c in breaks)}])|(?<=\n)(?=\n)")
-    pieces = F.flatten(F.transform(sentences, lambda x: _let(quarter_tokens(x), lambda w: F.when(w <= 4 * most, F.array(F.struct(x.alias("t"), w.alias("w"), F.lit(True).alias("whole")))).otherwise(
-        F.transform(_hard_parts(x, most), lambda t: F.struct(t.alias("t"), quarter_tokens(t).alias("w"), F.lit(False).alias("whole")))))))
     state = lambda cuts, at, since: F.struct(cuts.alias("cuts"), at.alias("at"), since.alias("since"))
     # Each part of a long sentence begins behind a cut, and so does a sentence that doesn't fit.
     joins = lambda s, x: x["whole"] & (s["since"] + x["w"] <= 4 * most)
@@ -49,7 +53,7 @@ def split_by_rules(text: Column, most: int = MAX_TOKENS, breaks: str = SENTENCE_
     start = state(F.array().cast("array<int>"), F.lit(0), F.lit(0).cast("long"))
     cuts = lambda p: F.aggregate(p, start, step, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["at"])))
     part = lambda p, c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.array_join(F.slice(p["t"], a + 1, F.get(c, i + 1) - a), ""))
-    parts = _let(pieces, lambda p: _let(cuts(p), lambda c: part(p, c)))
+    parts = _let(_sentences(text, most, breaks), lambda p: _let(cuts(p), lambda c: part(p, c)))
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")
     whole = F.filter(F.array(strip(text)), lambda p: p != "")
     return F.when(estimate_tokens(text) <= most, whole).otherwise(kept)

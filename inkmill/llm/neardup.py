@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, columns, cut
+from .common import ascii_lower, broadcast_if, columns, cut, fitted, release
 from .graph import components
 from .subwords import in_slices
 
@@ -45,6 +45,8 @@ LOW, HIGH = (sum(((1 << BITS) - 1 if low else 1 << BITS) << (LANE * k) for k in
 #: Two signatures this far apart or less share a bucket.
 MOST_DIFFERENCES = 2 * (SYMBOLS // CHUNK) - 1
 BROADCAST_NODES = 200_000
+#: As many rows as need all partitions: for tables that have not been counted.
+MANY = 1 << 40
 #: Rows that a Python worker works on at a time.
 ROWS = 1000
 #: Pairs of a node that meet its set at once.
@@ -200,13 +202,13 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, rows: int = MANY) -> DataFrame:
     """The members(key, node, ...) of the keys whose members are not in one component."""
     found = _labelled(members, labels).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return members.join(cut(found.where("lo <> hi").select("key"), "open"), "key")
+    return members.join(cut(fitted(found.where("lo <> hi").select("key"), rows), "open"), "key")
 
 
-def _partners(members: DataFrame, labels: DataFrame | None = None, turn: int = 0) -> DataFrame:
+def _partners(members: DataFrame, labels: DataFrame | None = None, turn: int = 0, rows: int = MANY) -> DataFrame:
     """Each node with one partner of another component, the most alike among those that lead its keys.
 
     The smallest member leads a key at first, later the first in an order of its own each turn, so that a leader that few members are
@@ -215,7 +217,7 @@ def _partners(members: DataFrame, labels: DataFrame | None = None, turn: int = 0
     m = _labelled(members, labels) if labels else members.withColumn("component", F.col("node"))
     order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
     lead = m.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "component", "sig")).alias("x"))
-    lead = cut(lead.select(F.col("key").alias("k"), F.col("x.node").alias("lead"), F.col("x.component").alias("c"), F.col("x.sig").alias("lead_sig")), "first")
+    lead = cut(fitted(lead.select(F.col("key").alias("k"), F.col("x.node").alias("lead"), F.col("x.component").alias("c"), F.col("x.sig").alias("lead_sig")), rows), "first")
     met = m.join(lead, (m["key"] == lead["k"]) & (m["component"] != lead["c"]) & (_differences(m["sig"], lead["lead_sig"]) <= MOST_DIFFERENCES))
     best = met.groupBy("node").agg(F.min(F.struct(_differences(F.col("sig"), F.col("lead_sig")).alias("d"), "lead")).alias("x"))
     return best.select(F.col("x.lead").alias("a"), F.col("node").alias("b"))
@@ -269,15 +271,19 @@ def _components(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
     links = confirm(_partners(members))
     labels = cut(components(links), "labels")
     crowd = _open(members, labels).select("node").distinct()
+    release(documents.sparkSession)
     prefixes = cut(_prefixes(sets.join(crowd, "node", "left_semi"), percent), "prefixes")
     lists = cut(prefixes.select("node", F.explode("prefix").alias("key")).join(reps, "node").select("key", "node", "sig"), "lists")
+    n_lists, n_nodes = lists.count(), prefixes.count()
     for turn in range(1, ROUNDS + 1):
-        open_ = cut(_open(lists, labels), "open_lists")
-        found = confirm(_partners(open_, labels, turn))
+        open_ = cut(fitted(_open(lists, labels, n_lists), n_lists), "open_lists")
+        n_lists = open_.count()
+        found = confirm(fitted(_partners(open_, labels, turn, n_lists), n_nodes))
         n_found = found.count()
         if n_found:
             links = links.unionByName(found)
             labels = cut(components(links), "labels")
+        release(documents.sparkSession)
         if FEW * n_found < open_.select("node").distinct().count():
             break
     rest = _open(lists, labels).join(prefixes, "node")

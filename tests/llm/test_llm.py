@@ -431,6 +431,20 @@ def test_warc_query_keeps_the_blocks(spark, sf):
     assert all("source-content-type" in r.block for r in rows if r.warc_type == "metadata")
 
 
+# 10
+
+
+def test_components_leave_no_turns_behind(spark, tmp_path, monkeypatch):
+    """Of all turns only the last one's tables stay, in as many files as they need."""
+    made = iter(range(1000))
+    monkeypatch.setattr(graph, "scratch", lambda _, name: f"{tmp_path}/{name}-{next(made)}")
+    chain = spark.range(0, 40).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(100, 110).selectExpr("id AS a", "CAST(100 AS long) AS b"))
+    got = {r.node: r.component for r in graph.components(chain).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 110), 100)}
+    assert next(made) > 3 and len(list(tmp_path.iterdir())) == 1
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == 4
+
+
 # 9
 
 TEXTS = ["", None, "  a b", "a\n\tb  c ", "a　b", "é é ﬁ 👍", "<s> </s> <unk> <0x41>", "▁▁x", "x" * 500, "abcdefghijklmnopqrstuvwxyz" * 20, "日本語テキスト " * 3, " ", "\n", "a  \n b   ", " " * 40, "The River, runs. AKIA5BAMY 123", *PROSE]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.content import block_caption, block_text, image_description, image_path, table_html, table_rows
 from ..functions.layout import FIGURE_TYPES, IMAGE_TYPES, TABLE_TYPES, TITLE_TYPES, block_type, image_action, is_skipped, is_title
-from ..functions.text import estimate_tokens, fix_percent_order, strip
+from ..functions.text import fix_percent_order, quarter_tokens, strip
 from ..staging import staged
 from .blocks import CAPTION_JOIN, merge_captions, page_texts, rest_of
 from .chunks import MAX_TOKENS, lead_ins, parent_threshold
@@ -54,20 +54,31 @@ def _captioned(parts: Column, caption: Column) -> Column:
     return F.when(F.size(parts) == 0, parts).when(place >= 0, given).otherwise(F.concat(parts, F.array(_text(caption))))
 
 
-def _run_on(parts: Column, sub: Column, text: Column, most: int) -> Column:
-    """parts with a body text joined to the last text while both fit, on a new line below a sub-heading."""
-    last = F.element_at(parts, -1)
-    joined = F.concat(last["text"], F.when(sub, "\n").otherwise(""), text)
-    fits = (F.size(parts) > 0) & F.coalesce(last["kind"] == "text", F.lit(False)) & (estimate_tokens(joined) <= most)
-    return F.when(fits, F.concat(_without_last(parts), F.array(_text(joined)))).otherwise(F.concat(parts, F.array(_text(text))))
+def _run_on(parts: Column, weight: Column, sub: Column, x: Column, most: int) -> Column:
+    """struct(parts, weight): parts with a body text joined to the last text while both fit, on a new line below a sub-heading.
+
+    weight is the last text's in quarter tokens, or null where it is not known; weights of joined texts add up, a line break having none.
+    """
+    run = lambda parts, weight: F.struct(parts.alias("parts"), weight.alias("weight"))
+    last = F.try_element_at(parts, F.lit(-1))
+
+    def joined(total: Column) -> Column:
+        text = F.concat(last["text"], F.when(sub, "\n").otherwise(""), x["text"])
+        return F.when(total <= 4 * most, run(F.concat(_without_last(parts), F.array(_text(text))), total)).otherwise(run(F.concat(parts, F.array(_text(x["text"]))), x["weight"]))
+
+    # No total where there is no text to go on.
+    total = F.when(F.coalesce(last["kind"] == "text", F.lit(False)), F.coalesce(weight, quarter_tokens(last["text"])) + x["weight"])
+    return _let(total, joined)
 
 
 def _fold(items: Column, heading: Column, most: int) -> Column:
     """A section's items to struct(parts, sub, lists, parent, kind, level, page); parent is null where nothing can be one."""
     none, no_list = F.array().cast(f"array<{PART}>"), F.array().cast("array<string>")
 
-    def state(parts: Column, sub: Column, lists: Column, head: Column) -> Column:
-        return F.struct(parts.alias("parts"), sub.alias("sub"), lists.alias("lists"), head.alias("head"))
+    unknown = F.lit(None).cast("long")
+
+    def state(parts: Column, sub: Column, lists: Column, head: Column, weight: Column = unknown) -> Column:
+        return F.struct(parts.alias("parts"), sub.alias("sub"), lists.alias("lists"), head.alias("head"), weight.alias("weight"))
 
     def flushed(s: Column) -> Column:
         return F.when(F.size(s["lists"]) > 0, F.concat(s["parts"], F.array(_text(F.array_join(s["lists"], "\n"))))).otherwise(s["parts"])
@@ -81,7 +92,9 @@ def _fold(items: Column, heading: Column, most: int) -> Column:
 
         def others(parts: Column) -> Column:
             sub_parts, sub_head = leads(F.concat(parts, F.array(_text(x["text"]))), x["text"], "sub_title", x["level"])
-            body_parts, body_head = leads(_run_on(parts, s["sub"], x["text"], most), x["text"], "paragraph")
+            body_head = leads(parts, x["text"], "paragraph")[1]
+            weight = F.when(F.size(s["lists"]) == 0, s["weight"])
+            body = lambda run: state(F.when(fresh, none).otherwise(run["parts"]), F.lit(False), no_list, body_head, F.when(~fresh, run["weight"]))
             named = F.coalesce(x["caption"], F.lit("")) != ""
             lines = F.concat(F.when(named, F.array(F.concat(F.lit(TABLE_LABEL), x["caption"]))).otherwise(no_list), x["rows"])
             table_head = F.when(fresh, head(x, F.when(named, x["caption"]).otherwise(F.get(x["rows"], F.lit(0))), "table", two)).otherwise(s["head"])
@@ -91,8 +104,8 @@ def _fold(items: Column, heading: Column, most: int) -> Column:
                 .when(x["kind"] == "table", state(F.concat(parts, F.transform(lines, _text)), s["sub"], no_list, table_head))
                 .when(x["kind"] == "note", state(_captioned(parts, x["caption"]), s["sub"], no_list, s["head"]))
                 .when(x["kind"] == "texts", state(F.concat(parts, F.transform(x["rows"], _text)), s["sub"], no_list, s["head"]))
-                .when(x["kind"] == "body", state(body_parts, F.lit(False), no_list, body_head))
-                .otherwise(state(parts, s["sub"], no_list, s["head"]))
+                .when(x["kind"] == "body", _let(_run_on(parts, weight, s["sub"], x, most), body))
+                .otherwise(state(parts, s["sub"], no_list, s["head"], weight))
             )
 
         list_parts, list_head = leads(s["parts"], x["text"], "list")
@@ -190,7 +203,7 @@ def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     blocks = _completed(blocks)
     rows = _items(blocks)
     rows = rows.withColumn("section", F.sum(F.col("tall").cast("int")).over(Window.partitionBy("doc_id").orderBy("page", "pos")))
-    item = F.struct("page", "pos", "kind", "text", "level", "path", "caption", "rows")
+    item = F.struct("page", "pos", "kind", "text", "level", "path", "caption", "rows", F.when(F.col("kind") == "body", quarter_tokens(F.col("text"))).alias("weight"))
     head = F.struct(F.col("text").alias("parent"), F.lit("title").alias("kind"), "level", "page")
     no_head = F.struct(F.lit(None).cast("string").alias("parent"), F.lit("title").alias("kind"), F.lit(2).alias("level"), F.lit(None).cast("int").alias("page"))
     sections = rows.groupBy("doc_id", "section").agg(
@@ -202,7 +215,8 @@ def chunk_blocks(blocks: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     line = lambda p: F.when(p["kind"] == "image", F.concat(F.lit(IMAGE_LABEL), F.coalesce(p["caption"], F.lit("")))).otherwise(p["text"])
     made = made.select("doc_id", "chunk_idx", "x.head.*", "x.parts").withColumn("child", F.array_join(F.transform("parts", line), "\n"))
     made = made.withColumn("child", F.when(pictured, F.col("child")).otherwise(fix_percent_order(strip(F.col("child")))))
-    made = made.where((strip(F.col("parent")) != "") | (strip(F.col("child")) != ""))
+    # It is read twice: as chunks, and for the documents that have none.
+    made = staged(made.where((strip(F.col("parent")) != "") | (strip(F.col("child")) != "")), "sections")
     bare = page_texts(blocks.join(made.select("doc_id").distinct(), "doc_id", "left_anti")).withColumn("rest", rest_of(F.col("texts")))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1
     bare = bare.select("doc_id", number.alias("chunk_idx"), F.get("texts", F.lit(0)).alias("parent"), F.lit("paragraph").alias("kind"), F.lit(2).alias("level"), "page", F.transform("rest", _text).alias("parts"), F.array_join("rest", "\n").alias("child"))

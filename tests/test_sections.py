@@ -137,3 +137,20 @@ def test_docx_walks(spark):
     assert clean == [("标题", "Title", 1), ("第一章 总则", "Heading 1", 1), ("本法全文。", "Normal", 0), ("x | y", "Normal", 0), ("1 | 2", "Normal", 0), ("其后。", "Normal", 0), ("粗体", "Heading 2", 1), ("末。", "Normal", 0)]
     chunks_ = [(r.title, r.parent, r.child) for r in sections.docx_chunks(p).orderBy("chunk_idx").collect()]
     assert chunks_ == [("标题", "第一章 总则", "标题\n本法全文。"), ("标题", "x | y", "x | y\n1 | 2"), ("标题", "第一章 总则", "其后。"), ("标题", "粗体", "末。")]
+
+
+def test_default_chunk_folds_sections_once(spark, sf):
+    """The fold's rows are written and read back, as both the chunks and the documents without any are found by them; runs stop at the limit."""
+    from inkmill.functions.text import estimate_tokens
+    from inkmill.plans import catalog
+
+    made = catalog.queries()["default_chunk"](spark, sf)
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    lines = [(1, 1, k, "title" if k == 0 else "text", "T" if k == 0 else f"{k} " + "ab字 " * k, False, [0.0, 0.0, 9.0, 30.0]) for k in range(30)]
+    blocks = spark.createDataFrame(lines, "doc_id long, page int, pos int, type string, text string, has_text_level boolean, bbox array<double>")
+    parts = [p.text for p in compose.chunk_blocks(blocks, 60).collect()[0].parts]
+    want, size = [], lambda t: spark.range(1).select(estimate_tokens(F.lit(t))).collect()[0][0]
+    # Without another title the first is the document's, and the first text the parent.
+    for *_, text, _, _ in lines[2:]:
+        want = [*want[:-1], want[-1] + text] if want and size(want[-1] + text) <= 60 else [*want, text]
+    assert parts == want and len(want) > 3

@@ -480,6 +480,18 @@ def test_pieces_moves_no_text(spark):
     assert len(kinds) >= 4 and "string" not in kinds
 
 
+def test_pieces_pack_word_numbers_by_size():
+    """The numbers that move in place of ids take a byte below 128, two below 16384, and come back row by row."""
+    import numpy as np
+
+    rows = [[], [0, 1, 127], [128, 16383], [], [16384, 1 << 19, 1 << 21, 1 << 28, (1 << 31) - 1], []]
+    ends = np.cumsum([0, *map(len, rows)])
+    packed = pieces._packed(np.array([x for r in rows for x in r], np.int64), ends)
+    assert [len(x) for x in packed.to_pylist()] == [0, 3, 4, 0, 3 + 3 + 4 + 5 + 5, 0]
+    numbers, begins = pieces._unpacked(packed)
+    assert [numbers[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == rows
+
+
 def test_pieces_cuts_texts_as_the_pattern_does():
     import pyarrow as pa
 

@@ -480,6 +480,26 @@ def test_pieces_moves_no_text(spark):
     assert len(kinds) >= 4 and "string" not in kinds
 
 
+def test_pieces_of_rare_words_meet_documents_as_a_row_each(spark):
+    """They are gathered by row before, so no aggregation stands between the written rows and the join with documents."""
+    d = frame(spark, list(enumerate(TEXTS)))
+    plan = pieces.encode_ids(d, pieces.read_model(MODEL)).select("doc_id", "ids")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "Aggregate" not in plan.toString()
+
+
+def test_frequent_words_are_found_by_hash_and_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    words, asked = pa.array(["the", "▁a", "é", "👍"]), pa.array(["é", "x", "the", "👍", "", "▁a"])
+    assert pieces.Names(words).find(asked).tolist() == [2, -1, 0, 3, -1, 1]
+    assert pieces.Names(words.slice(0, 0)).find(asked).tolist() == [-1] * 6
+    monkeypatch.setattr(pieces.Names, "_hashes", staticmethod(lambda w: np.array([len(x) % 2 for x in w.to_pylist()], np.uint64)))
+    assert pieces.Names(words).find(asked).tolist() == [2, -1, 0, 3, -1, 1]
+
+
 def test_pieces_pack_word_numbers_by_size():
     """The numbers that move in place of ids take a byte below 128, two below 16384, and come back row by row."""
     import numpy as np

@@ -19,19 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.llm import decontaminate, neardup, pieces, quality, toxicity
-from inkmill.llm.common import scratch, table
+from inkmill.llm.common import scratch, small_batches, table
 from inkmill.llm.queries import piece_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.accept(docs, table(spark, sf_dir, "labels"), 0.3)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.accept(docs, table(spark, sf_dir, "labels"), 0.5)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.deduplicate(docs)
 
 

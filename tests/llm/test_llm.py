@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkmill.llm import ann, decontaminate, graph, licences, neardup, pieces, quality, queries, tokens, toxicity, urls, warc
+from inkmill.llm import ann, common, decontaminate, graph, licences, neardup, pieces, quality, queries, tokens, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, fp string, score string, w string, key string, node string, word string, ids string, host string, components string"
 EXTRA = ("a", "b", "c", "d", "e", "f", "g", "h", "i")
@@ -500,6 +500,22 @@ def test_frequent_words_are_found_by_hash_and_compared(monkeypatch):
     assert pieces.Names(words).find(asked).tolist() == [2, -1, 0, 3, -1, 1]
 
 
+def test_python_workers_get_small_batches(spark, monkeypatch):
+    """The pipeline's steps bound what Spark sends to a Python worker at a time by bytes; a session's own bound stays."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    own = spark.newSession()
+    monkeypatch.setattr(neardup, "deduplicate", lambda docs: docs)
+    d = own.createDataFrame([(k, "x" * 1_000_000) for k in range(24)], "doc_id long, text string").coalesce(1)
+    corpus_pipeline.near_duplicates_stage(own, d, "")
+    sizes = [r.n for r in d.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) == 24 and max(sizes) <= 9
+    own.conf.set(common.BATCH, "1m")
+    common.small_batches(own)
+    assert own.conf.get(common.BATCH) == "1m"
+
+
 def test_pieces_pack_word_numbers_by_size():
     """The numbers that move in place of ids take a byte below 128, two below 16384, and come back row by row."""
     import numpy as np
